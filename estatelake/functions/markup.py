@@ -14,11 +14,19 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from estatelake.functions.text import BLANK, trim_all
-
-NODE = "struct<pos:int,parent:int,size:int,tag:string,attrs:map<string,string>,text:string>"
-NODES = f"array<{NODE}>"
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
+
+from estatelake.functions.text import trim_all
+
+NODES = ArrayType(
+    StructType()
+    .add("pos", IntegerType())
+    .add("parent", IntegerType())
+    .add("size", IntegerType())
+    .add("tag", StringType())
+    .add("attrs", MapType(StringType(), StringType()))
+    .add("text", StringType())
+)
 _ARROW_NODES = pa.list_(
     pa.struct(
         [

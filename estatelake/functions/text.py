@@ -7,12 +7,13 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Java's (?U) makes \s cover the ideographic and no-break blanks that appear in Japanese pages.
 BLANK = r"(?U)\s"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
     """Unicode compatibility folding, which Spark has no builtin for. Apply it to distinct names where possible."""
     return pa.array(

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from estatelake.fixed_values import BUILDINGS_PER_PAGE, LISTINGS_PER_PAGE, PROPOSALS_PER_PAGE, UNITS_PER_BUILDING
-from estatelake.operators.ordered import with_previous
+from estatelake.operators.ordered import numbered, with_previous
 
 
 def _page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
@@ -43,8 +43,6 @@ def proposal_page(df: DataFrame, page: int | None, size: int = PROPOSALS_PER_PAG
     last = F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
     current = F.least(F.greatest(F.lit(asked).cast("long"), F.lit(1).cast("long")), last)
     # Positions come from one count per (changed, id bucket) and numbering inside it.
-    from estatelake.operators.ordered import numbered
-
     bucket = F.struct(~F.col("changed"), F.floor(F.col("id") / 100_000))
     rows = numbered(df, bucket, ["id"], "position")
     start = (current - 1) * size
