@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelake.operators.filters import keyed_buildings, legacy_buildings
+from estatelake.session import settled
 
 
 def listed_units(buildings: DataFrame) -> DataFrame:
@@ -116,18 +117,19 @@ def apply_building_merges(
     fresh = classify_buildings(
         buildings.join(plan.select(F.col("source_id").alias("id")), "id", "left_semi"), units, index
     ).select(F.col("building_id").alias("source_id"), "verdict", F.col("building_key").alias("_now"), F.col("unit_count").alias("_units"))
-    checked = plan.join(fresh, "source_id", "left")
-    fits = F.coalesce((F.col("verdict") == "merge") & (F.col("_now") == F.col("building_key")), F.lit(False))
-    groups = checked.groupBy("building_key").agg(F.min(fits.cast("int")).alias("_fits"))
     stored = buildings.select(F.col("source_id").alias("building_key"), F.col("id").alias("keep_id"))
-    current = (
-        checked.drop("keep_id", "unit_count").withColumnRenamed("_units", "unit_count")
-        .join(groups.where("_fits = 1").select("building_key"), "building_key", "left_semi")
-        .join(stored, "building_key", "left")
+    fits = F.coalesce((F.col("verdict") == "merge") & (F.col("_now") == F.col("building_key")), F.lit(False))
+    # All four outputs follow from this table of planned buildings, which is small beside the tables it changes.
+    checked = settled(
+        plan.drop("keep_id", "unit_count").join(fresh, "source_id", "left").join(stored, "building_key", "left")
+        .select("building_key", "source_id", "keep_id", F.col("_units").alias("unit_count"), fits.cast("int").alias("_fit"))
+    )
+    groups = checked.groupBy("building_key").agg(F.min("_fit").alias("_fits"))
+    targets = building_keepers(
+        checked.join(groups.where("_fits = 1").select("building_key"), "building_key", "left_semi")
     )
-    targets = building_keepers(current)
     moving = (
-        current.join(targets, "building_key")
+        checked.join(targets, "building_key")
         .where(F.col("source_id") != F.col("target_id"))
         .select("building_key", F.col("source_id").alias("building_id"), "target_id")
     )

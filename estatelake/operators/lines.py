@@ -16,25 +16,24 @@ from estatelake.functions.text import filled, nfkc
 from estatelake.functions.transit import bare_name, bigrams, transit_kind
 
 
-def _characters(c: Column) -> Column:
-    return F.array_distinct(F.split(c, ""))
-
-
 def _tokens(c: Column, own: str, other: str) -> Column:
     """Join keys of a name: its bigrams, and its characters for names of a single character on the other side.
 
     Two names of two or more characters that contain one another share a bigram. A single character shares none with
     the longer name around it, so that case has keys of its own, one kind per direction.
     """
-    key = lambda kind: lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("piece"))
-    single = F.when(F.length(c) == 1, F.array(c)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    single = F.when(F.length(c) == 1, F.array(c)).otherwise(none)
+    letters = F.when(F.length(c) > 1, F.array_distinct(F.split(c, ""))).otherwise(none)
+    key = lambda kind: lambda piece: F.concat(F.lit(kind), piece)
     return F.concat(
-        F.transform(bigrams(c), key("bigram")),
-        F.transform(single, key(own)),
-        F.transform(F.when(F.length(c) > 1, _characters(c)).otherwise(F.array().cast("array<string>")), key(other)),
+        F.transform(bigrams(c), key(_BIGRAM)), F.transform(single, key(own)), F.transform(letters, key(other))
     )
 
 
+_BIGRAM, _SHORT_NAME, _SHORT_TARGET = "b:", "n:", "t:"
+
+
 def canonical_targets(canonical: DataFrame) -> DataFrame:
     """Distinct comparable names per canonical line: (ekidata_id, target)."""
     forms = F.concat(F.array("name_kanji", "name_kana"), F.coalesce("alternative_names", F.array().cast("array<string>")))
@@ -55,17 +54,25 @@ def name_pairs(names: DataFrame, targets: DataFrame) -> DataFrame:
     """
     left = names.select("norm").where(F.col("norm") != "").distinct()
     right = targets.select("target").distinct()
-    left_tokens = left.select("norm", F.explode(_tokens(F.col("norm"), "short norm", "short target")).alias("token"))
-    right_tokens = right.select("target", F.explode(_tokens(F.col("target"), "short target", "short norm")).alias("token"))
+    left_tokens = left.select(
+        "norm", F.size(bigrams(F.col("norm"))).alias("_n"),
+        F.explode(_tokens(F.col("norm"), _SHORT_NAME, _SHORT_TARGET)).alias("token"),
+    )
+    right_tokens = right.select(
+        "target", F.size(bigrams(F.col("target"))).alias("_t"),
+        F.explode(_tokens(F.col("target"), _SHORT_TARGET, _SHORT_NAME)).alias("token"),
+    )
     shared = (
         left_tokens.join(right_tokens, "token")
         .groupBy("norm", "target")
-        .agg(F.count_if(F.col("token.kind") == "bigram").alias("_shared"))
+        .agg(
+            F.count_if(F.startswith("token", F.lit(_BIGRAM))).alias("_shared"),
+            F.first("_n").alias("_n"), F.first("_t").alias("_t"),
+        )
     )
     norm, target = F.col("norm"), F.col("target")
-    pieces = F.size(bigrams(norm)) + F.size(bigrams(target))
     score = F.greatest(
-        F.when(norm == target, F.lit(1.0)).otherwise(F.lit(2.0) * F.col("_shared") / pieces),
+        F.when(norm == target, F.lit(1.0)).otherwise(F.lit(2.0) * F.col("_shared") / (F.col("_n") + F.col("_t"))),
         F.when(F.contains(target, norm), F.lit(CONTAINED_IN_TARGET)).otherwise(F.lit(0.0)),
         F.when(F.contains(norm, target), F.lit(CONTAINS_TARGET)).otherwise(F.lit(0.0)),
     )
@@ -88,9 +95,10 @@ def line_candidates(
     """
     wanted = normalised(lines.select("name", "region").distinct())
     # Names are scored against names: many labels fold to one norm and many lines share a target.
+    targets = canonical_targets(canonical)
     scored = (
-        name_pairs(wanted, canonical_targets(canonical))
-        .join(canonical_targets(canonical), "target")
+        name_pairs(wanted, targets)
+        .join(targets, "target")
         .groupBy("norm", "ekidata_id")
         .agg(F.max("score").alias("score"))
     )

@@ -14,6 +14,7 @@ from estatelake.functions.text import filled, name_key
 from estatelake.functions.urls import without_query
 from estatelake.operators.filters import keyed_buildings, legacy_buildings
 from estatelake.operators.ordered import latest_per_key, with_new_ids
+from estatelake.session import settled
 
 
 @dataclass
@@ -255,10 +256,19 @@ def upsert_transit(
     width or case only are one name. ``decisions`` (name, kind, canonical_id, canonical_name) and ``names``
     (type, name, translated_name) complete new rows where given.
     """
-    keyed = stops.withColumns({"line_key": name_key(F.col("line")), "station_key": name_key(F.col("station"))})
+    # Names fold once each, and of several mentions of a stop by one building only the first and last matter.
+    names_met = stops.select("line", "station").distinct()
+    keys = names_met.withColumns({"line_key": name_key(F.col("line")), "station_key": name_key(F.col("station"))})
+    met = stops.groupBy("building_id", "line", "station").agg(
+        F.max_by("walking_minutes", "ordinal").alias("walking_minutes"), F.max("ordinal").alias("ordinal"),
+        F.min(F.struct("ordinal", "region")).alias("_first"),
+    )
+    keyed = settled(met.join(keys, ["line", "station"]))
     known_lines = line.withColumn("line_key", name_key(F.col("name")))
     wanted_lines = keyed.groupBy("line_key").agg(
-        F.min_by(F.struct(F.col("line").alias("name"), "region"), F.struct("ordinal", "line")).alias("f")
+        F.min_by(
+            F.struct(F.col("line").alias("name"), F.col("_first.region").alias("region")), F.struct("_first.ordinal", "line")
+        ).alias("f")
     ).select("line_key", "f.*")
     new_lines = wanted_lines.join(known_lines.select("line_key"), "line_key", "left_anti")
     if decisions is not None:
@@ -271,18 +281,19 @@ def upsert_transit(
         new_lines.withColumns({"kind": F.coalesce("kind", F.lit("unknown")), "operator": F.lit(None).cast("string")}),
         line, "line_key",
     )
+    new_lines = settled(new_lines)
     lines = known_lines.unionByName(new_lines.select(*known_lines.columns))
 
     placed = keyed.join(lines.select("line_key", F.col("id").alias("train_line_id")), "line_key")
     known_stations = station.withColumn("station_key", name_key(F.col("name")))
     wanted = placed.groupBy("train_line_id", "station_key").agg(
-        F.min_by("station", F.struct("ordinal", "station")).alias("name")
+        F.min_by("station", F.struct("_first.ordinal", "station")).alias("name")
     )
     new_stations = wanted.join(known_stations.select("train_line_id", "station_key"), ["train_line_id", "station_key"], "left_anti")
     new_stations = _translated(new_stations, names, "station").withColumn(
         "_both", F.concat_ws("\u0001", F.col("train_line_id").cast("string"), "station_key")
     )
-    new_stations = with_new_ids(new_stations, station, "_both")
+    new_stations = settled(with_new_ids(new_stations, station, "_both"))
     stations = known_stations.unionByName(new_stations.select(*known_stations.columns))
 
     at = placed.join(
@@ -290,11 +301,11 @@ def upsert_transit(
     )
     coming = at.groupBy("building_id", "station_id").agg(F.max_by("walking_minutes", "ordinal").alias("_minutes"))
     both = link.join(coming, ["building_id", "station_id"], "full_outer")
-    met = F.col("_minutes").isNotNull()
+    seen = F.col("_minutes").isNotNull()
     links = both.select(
         "id", "building_id", "station_id",
         F.coalesce("_minutes", "walking_minutes").cast("int").alias("walking_minutes"),
-        F.when(met, as_of).otherwise(F.col("last_updated")).alias("last_updated"),
+        F.when(seen, as_of).otherwise(F.col("last_updated")).alias("last_updated"),
     )
     fresh = links.where(F.col("id").isNull()).drop("id").withColumn(
         "_both", F.concat_ws("-", F.col("building_id").cast("string"), F.col("station_id").cast("string"))

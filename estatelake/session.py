@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "estatelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back, for a result that several outputs of a job depend on. It is
+    computed once, and a lost executor costs a read instead of the whole plan behind it."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
