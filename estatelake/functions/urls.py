@@ -39,7 +39,7 @@ def pinned_photo_url(url: Column) -> Column:
     pinned = url
     for key, value in (("w", width), ("h", height)):
         present = pinned.rlike(rf"[?&]{key}=")
-        pinned = F.when(present, F.regexp_replace(pinned, rf"([?&]{key}=)[^&]*", f"${{1}}{value}".replace("${1}", "$1"))).otherwise(
+        pinned = F.when(present, F.regexp_replace(pinned, rf"(?<=[?&]{key}=)[^&]*", str(value))).otherwise(
             F.concat(pinned, F.when(F.contains(pinned, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit(f"{key}={value}"))
         )
     return F.when(F.try_parse_url(url, F.lit("PATH")) == RESIZE_PATH, pinned).otherwise(url)
@@ -54,4 +54,4 @@ def photo_key(url: Column) -> Column:
 def outline_url(page_url: Column) -> Column:
     """Address of the outline sub-page that belongs to a detail page."""
     path = F.regexp_replace(page_url, r"[?#].*$", "")
-    return F.concat(F.regexp_replace(path, "/?$", "/"), F.lit("property/"))
+    return F.concat(F.regexp_replace(path, "/$", ""), F.lit("/property/"))

@@ -466,7 +466,8 @@ def extract_detail_facts(pages: DataFrame) -> DataFrame:
 def extract_detail_photos(pages: DataFrame, photo_prefix: str) -> DataFrame:
     """One row per photo of a detail page, unique by source file: (page columns, sort_order, url, caption)."""
     table = page_nodes(pages)
-    keep = [x for x in table.columns if x != "nodes"]
+    # The photo's own address takes the place of the page's.
+    keep = [x for x in table.columns if x not in ("nodes", "url")]
     images = F.transform(
         F.filter("nodes", m.has_tag("img")),
         lambda n: F.struct(

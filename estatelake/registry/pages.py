@@ -1 +1,272 @@
+"""Page queries: elements and classes of the stored pages, and listing pages written out from the tables and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from estatelake.fixed_values import PREFECTURES_JA
+from estatelake.operators import cards, filters
+from estatelake.registry import query
+from estatelake.registry.tables import Tables, with_views
+
+SITE = "https://listings.example"
+_TEXT = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("""SELECT page_id, 'a' AS tag, href, text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1))
+    AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text FROM pages)""")
+def page_links(t: Tables):
+    rows = cards.select_nodes(t.raw("pages"), "//nav//a[@href]")
+    return rows.select("page_id", "tag", F.try_element_at("attrs", F.lit("href")).alias("href"), "text")
+
+
+@query(f"""SELECT page_id, 0 AS ordinal, {_TEXT.format("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS text FROM pages""")
+def page_titles(t: Tables):
+    return cards.select_nodes(t.raw("pages"), "//title").select("page_id", "ordinal", "text")
+
+
+@query("""SELECT 'div' AS tag, count(*) AS elements, count(*) AS exact_matches, 0::BIGINT AS partial_matches, 0::BIGINT AS multi_class
+    FROM (SELECT unnest(regexp_extract_all(html, '<div class="ad">')) FROM pages)""")
+def page_class_profile(t: Tables):
+    return cards.class_profile(t.raw("pages"), "ad")
+
+
+def _page(body: Column) -> Column:
+    return F.concat(F.lit("<!DOCTYPE html><html><head><title>list</title></head><body>"), body, F.lit("</body></html>"))
+
+
+def _join(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+# --- pager totals ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS page_id, CAST(floor(o_totalprice) AS INTEGER) AS total_items, CASE WHEN o_orderstatus = 'O' THEN
+    CAST(month(o_orderdate) AS INTEGER) + 1 ELSE CAST(month(o_orderdate) AS INTEGER) END AS scraped_pages FROM orders""")
+def page_totals(t: Tables):
+    """One list page per order, in either pager layout; its month is the last page (finished orders end on the current page)."""
+    n, month = F.format_number(F.floor("o_totalprice"), 0), F.month("o_orderdate")
+    sale = _join(
+        '<div class="pagination_set-hit">', n, '<span>件</span></div><div class="pagination_set-nav"><ol class="pagination-parts">'
+        '<li class="pagination-current">1</li><li><a href="?pn=2">', month + 1, "</a></li><li><a>次へ</a></li></ol></div>",
+    )
+    project = _join(
+        '<div class="x hitbox-number">\n ', n, '<span>件</span></div><ol class="sortbox_pagination-parts"><li>a</li>'
+        '<li class="sortbox_pagination--current">', month, "</li></ol>",
+    )
+    html = _page(F.when(F.col("o_orderstatus") == "O", sale).otherwise(project))
+    return cards.page_totals(t.raw("orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
+
+
+# --- sale cards ------------------------------------------------------------------------------------------------------
+
+
+def _sale_pages(t: Tables):
+    """One page with one card per order."""
+    n = F.floor("o_totalprice")
+    html = _page(
+        _join(
+            '<div class="property_unit property_unit--hit"><form><input type="hidden" name="bsnc" value="', F.col("o_orderkey"),
+            '"><input class="x js-clipkey" value="', F.when(F.col("o_orderstatus") == "F", F.col("o_custkey").cast("string")).otherwise(""),
+            '"></form><ul class="property_unit-pcts"><li><span class="ui-pct ui-pct--a"> ', F.col("o_orderpriority"),
+            '</span></li><li><span class="ui-pct"></span></li></ul><h2 class="property_unit-title"><a href="/sale/', F.col("o_orderkey"),
+            '/">\n Order&nbsp;', F.col("o_orderkey"), ' &amp; co </a></h2><div class="ui-media-object"><img src="s.gif" rel="m',
+            F.col("o_orderkey"), '.jpg"></div><ul class="property_unit-thumb"><li><img rel="a.jpg"><li><img rel="x/move_92_69.png"><li><img rel="b.jpg"></ul>'
+            '<div class="dottable dottable--cassette"><div class="dottable-line"><dl><dt>販売価格<dd>約<span class="dottable-value">', n,
+            '万円</span></dl></div><div class="dottable-line"><table class="dottable-fix"><tr><td><dl><dt>土地面積</dt><dd>', F.month("o_orderdate"),
+            '.5m<sup>2</sup></dd></dl></td><td><dl><dt>坪単価</dt><dd>1,', F.lpad(F.month("o_orderdate").cast("string"), 3, "0"),
+            '万円</dd></dl></td></tr></table></div><div class="dottable-line"><dl><dt>所在地</dt><dd>東京都港区', F.col("o_custkey"),
+            '</dd></dl><dl><dt>沿線・駅</dt><dd>JR', F.col("o_custkey"), '線「港」徒歩', F.month("o_orderdate"), '分</dd></dl></div>'
+            '<div class="dottable-line"><dl><dt>建ぺい率・容積率</dt><dd>建ぺい率：50％、容積率：100％</dd></dl><dl><dt>', F.col("o_orderstatus"),
+            '棟</dt><dd>first</dd></dl><dl><dt>', F.col("o_orderstatus"), '棟</dt><dd>', F.col("o_orderpriority"), "</dd></dl></div></div></div>",
+        )
+    )
+    return t.raw("orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+
+
+@query("""SELECT o_orderkey AS page_id, CAST(o_orderkey AS VARCHAR) AS source_id, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR)
+    ELSE CAST(o_orderkey AS VARCHAR) END AS js_id, o_orderpriority AS tags, 'Order' || chr(160) || o_orderkey || ' & co' AS title,
+    'https://listings.example/sale/' || o_orderkey || '/' AS url, 'm' || o_orderkey || '.jpg' AS main_image_url, 'a.jpg,b.jpg' AS image_urls,
+    CAST(floor(o_totalprice) AS BIGINT) * 10000 AS price, CAST(floor(o_totalprice) AS BIGINT) || '万円' AS price_text,
+    month(o_orderdate) + 0.5::DOUBLE AS area, 0.0::DOUBLE AS building_area, CAST(NULL AS VARCHAR) AS layout, 50 AS building_coverage, 100 AS floor_area_ratio,
+    CAST(1000 + month(o_orderdate) AS DOUBLE) * 10000 AS price_per_tsubo, 'JR' || o_custkey || '線' AS train_line, '港' AS train_station,
+    CAST(month(o_orderdate) AS INTEGER) AS walking_minutes, '東京都' AS state, '港区' AS city, CAST(o_custkey AS VARCHAR) AS district,
+    o_orderstatus || '棟=' || o_orderpriority AS extra FROM orders""")
+def sale_cards(t: Tables):
+    rows = cards.normalise_listing(cards.type_sale_facts(cards.extract_sale_cards(_sale_pages(t), SITE)))
+    extra = F.array_join(F.transform(F.map_entries("additional_fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return rows.select(
+        "page_id", "source_id", "js_id", F.array_join("tags", ",").alias("tags"), "title", "url", "main_image_url",
+        F.array_join("image_urls", ",").alias("image_urls"), "price", "price_text", "area", "building_area", "layout",
+        "building_coverage", "floor_area_ratio", "price_per_tsubo", "train_line", "train_station", "walking_minutes", "state",
+        "city", "district", extra.alias("extra"),
+    )
+
+
+# --- rental buildings and units --------------------------------------------------------------------------------------
+
+
+def _rental_pages(t: Tables):
+    """One building with two units per order; pending orders show no image."""
+    n = F.floor("o_totalprice")
+    unit = lambda no: _join(
+        '<tr class="js-cassette_link"><td><input type="checkbox" class="js-single_checkbox" value="', F.col("o_orderkey"), f"-{no}",
+        '"><input class="js-clipkey" value="c"></td><td><img class="casssetteitem_other-thumbnail-img" src="t.jpg">'
+        '<div class="js-view_gallery_images" data-imgs="1.jpg, ,2.jpg"></div></td><td> ', F.lit(no), '階 </td><td><ul><li>'
+        '<span class="cassetteitem_price cassetteitem_price--rent"><span class="cassetteitem_other-emphasis ui-text--bold">',
+        F.floor(n / 10_000), ".", F.floor(n % 10_000 / 1_000), '万円</span></span><li><span class="cassetteitem_price--administration">',
+        F.when(F.lit(no) == 1, "4000円").otherwise("-"), '</span></ul></td><td><span class="cassetteitem_madori">1LDK</span>'
+        '<span class="cassetteitem_menseki">', F.month("o_orderdate"), f'.{no}m<sup>2</sup></span></td><td>'
+        '<ul class="cassetteitem-taglist"><li>駅近<li></ul><a class="js-cassette_link_href" href="/unit/', F.col("o_orderkey"), '/">x</a></td></tr>',
+    )
+    image = F.when(F.col("o_orderstatus") == "P", "").otherwise(
+        _join('<img class="js-noContextMenu" rel="https://img.example/a/b/c/d/e/', F.col("o_orderkey"), '/x.jpg" src="i.jpg">')
+    )
+    html = _page(
+        _join(
+            '<ul><li><div class="cassetteitem"><div class="cassetteitem_object-item">', image, '</div><div class="cassetteitem_content-label">'
+            '<span class="ui-pct ui-pct--util1">賃貸マンション</span></div><div class="cassetteitem_content-title">Haus ', F.col("o_custkey"),
+            '</div><ul><li class="cassetteitem_detail-col1">北海道札幌市', F.col("o_custkey"), '</li><li class="cassetteitem_detail-col2">'
+            '<div class="cassetteitem_detail-text">南北線/幌平橋駅 歩', F.month("o_orderdate"), '分</div><div class="cassetteitem_detail-text"></div>'
+            '<div class="cassetteitem_detail-text">[バス]x</div></li><li class="cassetteitem_detail-col3"><div>築5年</div><div>3階建</div></li></ul>'
+            '<table class="cassetteitem_other"><tbody>', unit(1), unit(2), "</tbody></table></div></li></ul>",
+        )
+    )
+    return t.raw("orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+
+
+@query("""SELECT o_orderkey AS page_id, o_orderkey || '-' || no AS source_id, 'building-' || CASE WHEN o_orderstatus = 'P' THEN ''
+    ELSE CAST(o_orderkey AS VARCHAR) END AS building_key, 'Haus ' || o_custkey AS building_title, '築5年' AS building_age, '3階建' AS building_floors,
+    no || '階' AS floor, CAST(floor(o_totalprice) AS BIGINT) // 1000 * 1000 AS rent, CASE WHEN no = 1 THEN 4000::BIGINT ELSE 0::BIGINT END AS management_fee,
+    CAST(month(o_orderdate) || '.' || no || '2' AS DOUBLE) AS size, '1.jpg,2.jpg' AS image_urls, '駅近' AS tags, '北海道' AS state, '札幌市' AS city,
+    CAST(o_custkey AS VARCHAR) AS district, '南北線/幌平橋駅/' || month(o_orderdate) AS stations, 'https://listings.example/unit/' || o_orderkey || '/' AS url
+    FROM orders CROSS JOIN (VALUES (1), (2)) v(no)""")
+def rental_cards(t: Tables):
+    rows = cards.extract_rental_units(_rental_pages(t), SITE)
+    stops = F.array_join(F.transform("stations", lambda s: F.concat_ws("/", s["line"], s["station"], s["walking_minutes"].cast("string"))), ",")
+    return rows.select(
+        "page_id", "source_id", "building_key", "building_title", "building_age", "building_floors", "floor", "rent", "management_fee",
+        "size", F.array_join("image_urls", ",").alias("image_urls"), F.array_join("tags", ",").alias("tags"), "state", "city",
+        "district", stops.alias("stations"), "url",
+    )
+
+
+@query("""SELECT o_orderkey || '-' || no AS unit_key, 'building-' || o_orderkey AS building_key FROM orders CROSS JOIN (VALUES (1), (2)) v(no)
+    WHERE o_orderstatus <> 'P'""")
+def listed_units(t: Tables):
+    """Units on list pages by building key; buildings whose page gave no id are left out."""
+    from estatelake.operators.buildings import listed_units as units
+
+    return units(cards.extract_rental_buildings(_rental_pages(t), SITE))
+
+
+# --- new-apartment cards ---------------------------------------------------------------------------------------------
+
+
+def _project_pages(t: Tables):
+    """One project per part with two price phases; small ones have no price yet."""
+    n = F.floor("p_retailprice")
+    price = lambda extra: F.when(F.col("p_size") > 10, _join(n + extra, "万円台～")).otherwise("価格未定")
+    phase = lambda no, extra: _join(
+        f'<li class="cassette_price-list_item"><div class="cassette_price-value">第{no}期 <span class="cassette_price-accent">', price(extra),
+        '</span></div><p class="cassette_price-description">1LDK・2LDK / ', F.col("p_size") + no, ".5m<sup>2</sup>～90m2</p></li>",
+    )
+    html = _page(
+        _join(
+            '<div class="cassette js-bukken"><input class="js-bsnckey" value="', F.col("p_partkey"), '"><p class="cassette_header-pct"><span>免震</span>'
+            '<span> </span></p><a class="cassette_header-title" href="/project/', F.col("p_partkey"), '/">', F.col("p_name"),
+            '</a><a class="js-cassette_thumbcarousel-item"><img rel="c1.jpg"></a><a class="js-cassette_thumbcarousel-item"><img rel="c2.jpg"></a>'
+            '<div class="cassette_basic-item"><p class="cassette_basic-title">所在地</p><p class="cassette_basic-value">', F.when(F.col("p_size") > 25, "大阪府北区").otherwise("目黒区"),
+            F.col("p_size"), '</p></div><div class="cassette_basic-item"><p class="cassette_basic-title">交通</p><p class="cassette_basic-value">東横線/祐天寺 徒歩',
+            F.col("p_size"), '分～90分</p></div><div class="cassette_basic-item"><p class="cassette_basic-title">引渡</p><p class="cassette_basic-value">', F.col("p_brand"),
+            "</p></div><ul>", phase(1, 200), phase(2, 100), "</ul></div>",
+        )
+    )
+    return t.raw("part").select(F.col("p_partkey").alias("page_id"), F.lit("13").alias("province"), html.alias("html"))
+
+
+@query("""SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS source_id, CAST(p_partkey AS VARCHAR) AS js_id, p_name AS title,
+    CASE WHEN p_size > 10 THEN (CAST(floor(p_retailprice) AS BIGINT) + 100) * 10000 ELSE 0 END AS price,
+    CASE WHEN p_size > 10 THEN '第1期 ' || (CAST(floor(p_retailprice) AS BIGINT) + 200) || '万円台～ / 第2期 ' || (CAST(floor(p_retailprice) AS BIGINT) + 100) || '万円台～'
+    ELSE '第1期 価格未定 / 第2期 価格未定' END AS price_text, p_size + CASE WHEN p_size > 10 THEN 2 ELSE 1 END + 0.5::DOUBLE AS building_area, '1LDK・2LDK' AS layout,
+    CASE WHEN p_size > 25 THEN '大阪府' ELSE '東京都' END AS state, CASE WHEN p_size > 25 THEN '北区' ELSE '目黒区' END AS city, CAST(p_size AS VARCHAR) AS district,
+    '祐天寺' AS train_station, p_size AS walking_minutes, 'c1.jpg' AS main_image_url, 'c2.jpg' AS image_urls, '引渡=' || p_brand AS extra, '免震' AS tags FROM part""")
+def project_cards(t: Tables):
+    rows = cards.extract_project_cards(_project_pages(t), SITE)
+    extra = F.array_join(F.transform(F.map_entries("additional_fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return rows.select(
+        "page_id", "source_id", "js_id", "title", "price", "price_text", "building_area", "layout", "state", "city", "district",
+        "train_station", "walking_minutes", "main_image_url", F.array_join("image_urls", ",").alias("image_urls"), extra.alias("extra"),
+        F.array_join("tags", ",").alias("tags"),
+    )
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS source_id, CAST(no AS INTEGER) AS phase, CASE WHEN p_size > 10 THEN (CAST(floor(p_retailprice) AS BIGINT) + 200 - no * 100) * 10000
+    ELSE 0 END AS price, p_size + no + 1.5::DOUBLE AS area, '1LDK・2LDK' AS layout FROM part CROSS JOIN (VALUES (0), (1)) v(no)""")
+def price_phases(t: Tables):
+    return cards.price_phases(cards.extract_project_cards(_project_pages(t), SITE)).select("source_id", "phase", "price", "area", "layout")
+
+
+# --- detail pages ----------------------------------------------------------------------------------------------------
+
+_PHOTOS = "https://img.example/jj/resizeImage?src=gazo"
+
+
+def _detail_pages(t: Tables):
+    """A detail page per customer, and an outline page for those of positive balance, every other market's being empty."""
+    row = lambda label, value: _join('<tr><th class="x thSideLGray"><div class="fl">', label, "</div></th>\n<td>", value, "</td></tr>")
+    url = _join(SITE + "/detail/", F.col("c_custkey"), "/")
+    main = _page(
+        _join(
+            "<table>", row("価格", _join(F.floor("c_acctbal"), "万円[ □シミュレーション ]")), row("（備考）", "a<br>b"), row("(備考)", "second"),
+            row("住所", _join("東京都", F.col("c_custkey"), ' <a class="icon_map" href="#">地図</a>')), row("空", "-"),
+            '<tr><th class="other">x</th><td>y</td></tr></table>',
+            '<img rel="' + _PHOTOS + '%2F', F.col("c_custkey"), '_1.jpg&amp;w=100" alt=" front  side "><img rel="' + _PHOTOS + "%2F", F.col("c_custkey"),
+            '_1.jpg&amp;w=200"><img src="' + _PHOTOS + "%2F", F.col("c_custkey"), '_2.jpg"><img src="logo.gif">',
+            '<a href="/detail/', F.col("c_custkey"), '/property/?from=x">物件概要</a>',
+        )
+    )
+    outline = _page(
+        _join('<table><tr><th class="detailtable-title">構造</th><td>RC', F.col("c_nationkey"), "階建</td></tr></table>")
+    )
+    empty = _page(F.lit("<p>none</p>"))
+    pages = t.raw("customer").select(
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.struct((F.col("c_custkey") * 2).alias("page_id"), url.alias("url"), main.alias("html")),
+                    F.when(
+                        F.col("c_acctbal") > 0,
+                        F.struct(
+                            (F.col("c_custkey") * 2 + 1).alias("page_id"), F.concat(url, F.lit("property/")).alias("url"),
+                            F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), empty).otherwise(outline).alias("html"),
+                        ),
+                    ),
+                )
+            )
+        ).alias("p")
+    )
+    return pages.select("p.*")
+
+
+@query("""SELECT c_custkey * 2 AS page_id, sort_order, label, value FROM customer, LATERAL (VALUES (0, '価格', CAST(floor(c_acctbal) AS BIGINT) || '万円'),
+    (1, '（備考）', 'a b'), (2, '住所', '東京都' || c_custkey)) v(sort_order, label, value)
+    WHERE c_acctbal <= 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY') UNION ALL SELECT c_custkey * 2, 0, '構造', 'RC' || c_nationkey || '階建' FROM customer
+    WHERE c_acctbal > 0 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+def detail_facts(t: Tables):
+    return cards.resolve_details(_detail_pages(t), _PHOTOS)[0]
+
+
+@query("""SELECT c_custkey * 2 AS page_id, sort_order, url, caption FROM customer, LATERAL (VALUES
+    (0, 'https://img.example/jj/resizeImage?src=gazo%2F' || c_custkey || '_1.jpg&w=100', 'front side'),
+    (1, 'https://img.example/jj/resizeImage?src=gazo%2F' || c_custkey || '_2.jpg', '')) v(sort_order, url, caption)""")
+def detail_photos(t: Tables):
+    return cards.resolve_details(_detail_pages(t), _PHOTOS)[1]
+
+
+@query("""SELECT c_custkey * 2 AS page_id, '（備考）' AS label FROM customer WHERE c_acctbal <= 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY')
+    UNION ALL SELECT c_custkey * 2, '構造' FROM customer WHERE c_acctbal > 0 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+def extra_facts(t: Tables):
+    return filters.extra_facts(cards.resolve_details(_detail_pages(t), _PHOTOS)[0]).select("page_id", "label")
