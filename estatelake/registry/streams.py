@@ -1 +1,108 @@
+"""Streaming queries, each run over all data there is and read back from what it wrote."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from estatelake.registry import query
+from estatelake.registry.pages import SITE, _sale_pages
+from estatelake.registry.tables import Tables, with_views
+from estatelake.session import shared_folder
+from estatelake.sources.tables import read_log, read_table
+from estatelake.streaming.changes import stream_changes as changes
+from estatelake.streaming.ingest import stream_pages, stream_upsert
+from estatelake.streaming.windows import dedupe_stream, stream_counts
+
+
+def _stream(t: Tables) -> DataFrame:
+    """The event file as a stream."""
+    reader = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet")
+    return reader.option("maxFilesPerTrigger", 1).parquet(t.path)
+
+
+def _folder(t: Tables) -> str:
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _run(t: Tables, stream: DataFrame) -> DataFrame:
+    """Runs a stream to the end of its input and reads back what it wrote."""
+    folder = _folder(t)
+    running = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR p <> event_type""")
+def stream_first_and_changes(t: Tables):
+    """Unit mode: the first value and every change of it."""
+    return _run(t, changes(_stream(t), "user_id", ["ts", "event_id"], ["event_type"], first=True)).drop("ts")
+
+
+@query("""SELECT user_id, event_id, value, event_type FROM (SELECT *, lag(value) OVER w AS v, lag(event_type) OVER w AS p, row_number()
+    OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n > 1 AND (p <> event_type OR v <> value)""")
+def stream_changes(t: Tables):
+    return _run(t, changes(_stream(t), "user_id", ["ts", "event_id"], ["value", "event_type"])).drop("ts")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(t: Tables):
+    items = _stream(t).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return _run(t, dedupe_stream(items, ["user_id", "event_type"], "ts", "60 days")).drop("ts")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS items,
+    count(*) FILTER (value < 10) AS new_items, count(*) FILTER (value >= 10 AND value < 30) AS updated_items FROM events
+    GROUP BY 1, 2, time_bucket(INTERVAL 6 HOUR, ts) HAVING time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <=
+    (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 1 HOUR""")
+def stream_window_counts(t: Tables):
+    """Windows the watermark has passed; the last ones wait for later data."""
+    status = F.when(F.col("value") < 10, "new").when(F.col("value") < 30, "updated").otherwise("unchanged")
+    items = _stream(t).select("event_type", status.alias("metric_status"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = _run(t, stream_counts(items, ["event_type"], "ts", "6 hours"))
+    return rows.select(
+        F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "items", "new_items", "updated_items"
+    )
+
+
+def _crawled(t: Tables) -> str:
+    """Two crawls of the orders' pages through the ingest stream: in the second one, finished orders are cheaper by the
+    digit at the end of their price and the others unchanged."""
+    folder = _folder(t)
+    first = _sale_pages(t).select(
+        "page_id", F.concat(F.lit("https://listings.example/list?ar=030&bs=021&ta=13&pn="), F.col("page_id") + 1).alias("url"),
+        F.lit("property-list").alias("kind"), "html",
+    )
+    cheaper = F.regexp_replace("html", r"([0-9])万円</span></dl>", "万円</span></dl>")
+    done = t.raw("orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("page_id"), F.lit(True).alias("done"))
+    second = first.join(done, "page_id", "left").withColumn("html", F.when(F.col("done"), cheaper).otherwise(F.col("html"))).drop("done")
+    day = lambda n: F.to_timestamp(F.lit(f"2024-02-0{n + 1} 00:00:00"))
+    for crawl in (first, second):
+        crawl.write.mode("append").parquet(f"{folder}/pages")
+        stream_upsert(stream_pages(t.spark, f"{folder}/pages"), f"{folder}/tables", SITE, f"{folder}/state", day).awaitTermination()
+    return f"{folder}/tables"
+
+
+_CRAWL = """SELECT CAST(o_orderkey AS VARCHAR) AS source_id, o_orderstatus = 'F' AS moved, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders"""
+
+
+@query(with_views("", """SELECT source_id, CASE WHEN moved THEN n // 10 ELSE n END * 10000 AS price, CASE WHEN moved THEN n // 10 ELSE n END || '万円' AS price_text,
+    '030' AS region, '13' AS province, '中古一戸建て' AS property_type, CASE WHEN moved THEN '2024-02-02' ELSE '2024-02-01' END AS updated FROM crawl""", crawl=_CRAWL))
+def stream_upserted_listings(t: Tables):
+    rows = read_table(t.spark, _crawled(t), "listing")
+    return rows.select(
+        "source_id", "price", "price_text", "region", "province", "property_type",
+        F.date_format("last_updated", "yyyy-MM-dd").alias("updated"),
+    )
+
+
+@query(with_views("", "SELECT (n // 10) * 10000 AS price, '2024-02-02' AS recorded FROM crawl WHERE moved", crawl=_CRAWL))
+def stream_upserted_history(t: Tables):
+    rows = read_log(t.spark, _crawled(t), "price_history")
+    return rows.select("price", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded"))
