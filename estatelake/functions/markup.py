@@ -117,16 +117,20 @@ def attr(node: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(node["attrs"], F.lit(name)), F.lit(""))
 
 
+def let(value: Column, body: Matcher) -> Column:
+    """``body`` of the value, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def inside(nodes: Column, node: Column) -> Column:
     """The element and everything in it, as a slice of the array that holds it."""
-    offset = node["pos"] - F.get(nodes, F.lit(0))["pos"] + 1
-    return F.slice(nodes, offset, node["size"] + 1)
+    return let(node, lambda n: F.slice(nodes, n["pos"] - F.get(nodes, F.lit(0))["pos"] + 1, n["size"] + 1))
 
 
 def parent_of(nodes: Column, node: Column) -> Column:
     """The enclosing element, null where it lies outside the array."""
     at = node["parent"] - F.get(nodes, F.lit(0))["pos"]
-    return F.when(at >= 0, F.get(nodes, F.greatest(at, F.lit(0))))
+    return let(at, lambda i: F.when(i >= 0, F.get(nodes, F.greatest(i, F.lit(0)))))
 
 
 def text_content(nodes: Column) -> Column:
@@ -178,10 +182,16 @@ def element_word(tag: str, word: str) -> Matcher:
 def descend(nodes: Column, *path: Matcher) -> Column:
     """Elements reached by the path, each step searched at and below the elements of the step before. An element
     reachable through two nested elements is listed twice."""
-    found = F.filter(nodes, path[0])
-    for step in path[1:]:
-        found = F.flatten(F.transform(found, _search(nodes, step)))
-    return found
+    if len(path) == 1:
+        return F.filter(nodes, path[0])
+
+    def walk(bound: Column) -> Column:
+        found = F.filter(bound, path[0])
+        for step in path[1:]:
+            found = F.flatten(F.transform(found, _search(bound, step)))
+        return found
+
+    return let(nodes, walk)
 
 
 def _search(nodes: Column, step: Matcher) -> Matcher:

@@ -50,12 +50,12 @@ def _non_empty(texts: Column) -> Column:
 
 def _last_wins(entries: Column) -> Column:
     """Map of (key, value) entries; where a key repeats, the later entry counts."""
-    size = F.size(entries)
-    kept = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(size - i - 1, F.lit(0))), lambda o: o["key"] == e["key"]),
-    )
-    return F.map_from_entries(kept)
+
+    def fold(all_: Column) -> Column:
+        later = lambda i: F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0)))
+        return F.filter(all_, lambda e, i: ~F.exists(later(i), lambda o: o["key"] == e["key"]))
+
+    return F.map_from_entries(m.let(entries, fold))
 
 
 def _pair(key: Column, value: Column) -> Column:
@@ -65,56 +65,62 @@ def _pair(key: Column, value: Column) -> Column:
 # --- sale cards ------------------------------------------------------------------------------------------------------
 
 
-def _line_pairs(card: Column, box: Column) -> Column:
+def _line_pairs(box: Column) -> Column:
     """Label and value of every line of a card's fact box, in the order later pairs overwrite earlier ones."""
 
+    def value_of(dd: Column) -> Column:
+        spans = F.filter(dd, m.element("span", "dottable-value"))
+        return F.when(F.size(spans) > 0, m.trimmed_text_of(dd, F.get(spans, F.lit(0)))).otherwise(
+            trim_all(m.text_content(dd))
+        )
+
+    def pair_of_label(dt: Column) -> Column:
+        dd_in = lambda holder: m.inside(holder, m.first(holder, m.has_tag("dd")))
+        dd = m.let(m.inside(box, m.parent_of(box, dt)), dd_in)
+        return _pair(m.trimmed_text_of(box, dt), m.let(dd, value_of))
+
+    def pair_of_cell(td: Column) -> Column:
+        return m.let(
+            m.inside(box, td),
+            lambda cell: _pair(
+                m.trimmed_text_of(cell, m.first(cell, m.has_tag("dt"))),
+                m.trimmed_text_of(cell, m.first(cell, m.has_tag("dd"))),
+            ),
+        )
+
     def line_entries(line: Column) -> Column:
-        own = m.inside(card, line)
-
-        def pair_of_label(dt: Column) -> Column:
-            holder = m.inside(card, m.parent_of(card, dt))
-            dd = m.first(holder, m.has_tag("dd"))
-            content = m.inside(card, dd)
-            span = m.first(content, m.element("span", "dottable-value"))
-            value = F.when(span.isNotNull(), m.trimmed_text_of(card, span)).otherwise(m.trimmed_text_of(card, dd))
-            return _pair(m.trimmed_text_of(card, dt), value)
-
-        def pair_of_cell(td: Column) -> Column:
-            content = m.inside(card, td)
-            dt, dd = m.first(content, m.has_tag("dt")), m.first(content, m.has_tag("dd"))
-            return _pair(m.trimmed_text_of(card, dt), m.trimmed_text_of(card, dd))
-
-        labels = F.transform(F.filter(own, m.has_tag("dt")), pair_of_label)
-        cells = F.transform(m.descend(own, m.has_tag("tr"), m.has_tag("td")), pair_of_cell)
+        labels = F.transform(F.filter(line, m.has_tag("dt")), pair_of_label)
+        cells = F.transform(m.descend(line, m.has_tag("tr"), m.has_tag("td")), pair_of_cell)
         return F.concat(labels, cells)
 
-    lines = F.filter(m.inside(card, box), m.element("div", "dottable-line"))
-    return F.flatten(F.transform(lines, line_entries))
+    lines = F.filter(box, m.element("div", "dottable-line"))
+    return F.flatten(F.transform(F.transform(lines, lambda n: m.inside(box, n)), line_entries))
 
 
-def _card_facts(card: Column, box: Column) -> Column:
-    scope = m.inside(card, box)
-    name_label = F.get(
-        F.filter(scope, lambda n: (n["tag"] == "dt") & (m.text_of(card, n) == LABEL_NAME)), F.lit(0)
+def _card_facts(box: Column) -> Column:
+    """The label/value map of a card's fact box."""
+    name_labels = F.filter(box, lambda n: (n["tag"] == "dt") & (m.text_of(box, n) == LABEL_NAME))
+    name = m.let(
+        m.inside(box, m.parent_of(box, F.get(name_labels, F.lit(0)))),
+        lambda holder: m.trimmed_text_of(holder, m.first(holder, m.has_tag("dd"))),
     )
-    name = m.trimmed_text_of(card, m.first(m.inside(card, m.parent_of(card, name_label)), m.has_tag("dd")))
-    photo_list = m.first(scope, m.element("ul", "property_unit-info-pct"))
-    photo_types = F.array_join(
-        _non_empty(
-            F.transform(
-                F.filter(m.inside(card, photo_list), m.has_tag("li")),
-                lambda li: m.trimmed_text_of(card, m.first(m.inside(card, li), m.has_tag("span"))),
-            )
+    first_span = lambda item: m.trimmed_text_of(item, m.first(item, m.has_tag("span")))
+    photo_types = m.let(
+        m.inside(box, m.first(box, m.element("ul", "property_unit-info-pct"))),
+        lambda ul: F.array_join(
+            _non_empty(
+                F.transform(
+                    F.transform(F.filter(ul, m.has_tag("li")), lambda li: m.inside(ul, li)), first_span
+                )
+            ),
+            ", ",
         ),
-        ", ",
     )
     extra = F.array(
         _pair(F.lit(LABEL_NAME), F.coalesce(name, F.lit(""))),
         _pair(F.lit(LABEL_PHOTOS), F.coalesce(photo_types, F.lit(""))),
     )
-    pairs = F.filter(
-        F.concat(_line_pairs(card, box), extra), lambda e: (e["key"] != "") & (e["value"] != "")
-    )
+    pairs = F.filter(F.concat(_line_pairs(box), extra), lambda e: (e["key"] != "") & (e["value"] != ""))
     return _last_wins(pairs)
 
 
@@ -122,7 +128,6 @@ def extract_sale_cards(pages: DataFrame, origin: str) -> DataFrame:
     """One row per for-sale card with its raw texts and its label/value map ``facts``. Cards without an id or a fact
     box are left out."""
     c = F.col("c")
-    box = m.first(c, m.element("div", "dottable"))
     source_id = m.attr(m.first(c, lambda n: (n["tag"] == "input") & F.contains(m.attr(n, "name"), F.lit("bsnc"))), "value")
     clip_key = m.attr(m.first(c, m.element("input", "js-clipkey")), "value")
     thumbs = F.transform(
@@ -130,13 +135,14 @@ def extract_sale_cards(pages: DataFrame, origin: str) -> DataFrame:
     )
     cards = _cards(pages, m.class_contains("property_unit "))
     keep = [x for x in cards.columns if x != "c"]
-    # The size test comes first: without a fact box there is nothing to read, and a null box reads nothing.
+    box = m.inside(c, m.first(c, m.element("div", "dottable")))
     return (
-        cards.where((source_id != "") & box.isNotNull())
+        cards.withColumns({"source_id": source_id, "box": box})
+        .where((F.col("source_id") != "") & F.col("box").isNotNull())
         .select(
             *keep,
-            source_id.alias("source_id"),
-            F.coalesce(filled(clip_key), source_id).alias("js_id"),
+            "source_id",
+            F.coalesce(filled(clip_key), F.col("source_id")).alias("js_id"),
             _non_empty(
                 _all_text(c, m.descend(c, m.element("ul", "property_unit-pcts"), m.has_tag("li"), m.element("span", "ui-pct")))
             ).alias("tags"),
@@ -144,7 +150,7 @@ def extract_sale_cards(pages: DataFrame, origin: str) -> DataFrame:
             absolute_url(m.attr(m.first(c, m.has_tag("a")), "href"), origin).alias("url"),
             m.attr(m.first(c, m.element("div", "ui-media-object"), m.has_tag("img")), "rel").alias("main_image_url"),
             F.filter(thumbs, lambda u: (u != "") & ~F.contains(u, F.lit(MOVIE_ICON))).alias("image_urls"),
-            _card_facts(c, box).alias("facts"),
+            _card_facts(F.col("box")).alias("facts"),
         )
     )
 
@@ -234,7 +240,8 @@ def extract_rental_buildings(pages: DataFrame, origin: str) -> DataFrame:
         m.trimmed_text_of(c, F.get(col3, F.lit(1))).alias("building_floors"),
         stations.alias("stations"),
         F.filter(
-            F.transform(rows, lambda r: _unit(m.inside(c, r), origin)), lambda u: u["source_id"] != ""
+            F.transform(F.transform(rows, lambda r: m.inside(c, r)), lambda row: _unit(row, origin)),
+            lambda u: u["source_id"] != "",
         ).alias("units"),
     )
 
@@ -243,7 +250,7 @@ def _unit(row: Column, origin: str) -> Column:
     text = lambda *path: m.trimmed_text_of(row, m.first(row, *path))
     href = m.attr(m.first(row, m.element("a", "js-cassette_link_href")), "href")
     row_pos = F.get(row, F.lit(0))["pos"]
-    cells = F.filter(row, lambda n: (n["tag"] == "td") & (n["parent"] == row_pos))
+    cells = m.let(row_pos, lambda pos: F.filter(row, lambda n: (n["tag"] == "td") & (n["parent"] == pos)))
     images = F.split(m.attr(m.first(row, m.element("div", "js-view_gallery_images")), "data-imgs"), ",")
     return F.struct(
         m.attr(m.first(row, m.element("input", "js-single_checkbox")), "value").alias("source_id"),
@@ -299,19 +306,24 @@ def _tidy(card: Column, node: Column) -> Column:
 
 def _phase(item: Column) -> Column:
     """Price phase of a project: its text, price, layouts and smallest area."""
-    accent = _tidy(item, m.first(item, m.element_word("span", "cassette_price-accent")))
-    value = _tidy(item, m.first(item, m.element_word("div", "cassette_price-value")))
-    described = _tidy(item, m.first(item, m.element_word("p", "cassette_price-description")))
-    # Layouts and sizes are parted by the last " / " of the description.
-    parted = F.contains(described, F.lit(" / "))
-    sizes = trim_all(F.substring_index(described, " / ", -1))
-    layout = F.when(parted, trim_all(F.regexp_replace(described, r"^(.*) / .*$", "$1"))).otherwise(described)
-    return F.struct(
-        F.coalesce(filled(value), accent).alias("text"),
-        parse_price(accent).alias("price"),
-        layout.alias("layout"),
-        F.when(parted, known(parse_area(sizes))).otherwise(F.lit(0.0)).alias("area"),
+    tidy = lambda tag, word: _tidy(item, m.first(item, m.element_word(tag, word)))
+
+    def described(accent: Column, value: Column, text: Column) -> Column:
+        # Layouts and sizes are parted by the last " / " of the description.
+        parted = F.contains(text, F.lit(" / "))
+        sizes = trim_all(F.substring_index(text, " / ", -1))
+        return F.struct(
+            F.coalesce(filled(value), accent).alias("text"),
+            parse_price(accent).alias("price"),
+            F.when(parted, trim_all(F.regexp_replace(text, r"^(.*) / .*$", "$1"))).otherwise(text).alias("layout"),
+            F.when(parted, known(parse_area(sizes))).otherwise(F.lit(0.0)).alias("area"),
+        )
+
+    texts = F.struct(
+        tidy("span", "cassette_price-accent").alias("accent"), tidy("div", "cassette_price-value").alias("value"),
+        tidy("p", "cassette_price-description").alias("description"),
     )
+    return m.let(texts, lambda t: described(t["accent"], t["value"], t["description"]))
 
 
 def price_phases(cards: DataFrame) -> DataFrame:
@@ -323,7 +335,7 @@ def lead_phase(phases: Column) -> Column:
     """The cheapest phase that has a price (the earlier one on a tie), or the first phase where none has."""
     priced = F.filter(phases, lambda p: p["price"] > 0)
     lowest = F.array_min(F.transform(priced, lambda p: p["price"]))
-    cheapest = F.get(F.filter(priced, lambda p: p["price"] == lowest), F.lit(0))
+    cheapest = m.let(lowest, lambda low: F.get(F.filter(priced, lambda p: p["price"] == low), F.lit(0)))
     return F.coalesce(cheapest, F.get(phases, F.lit(0)))
 
 
@@ -348,15 +360,16 @@ def extract_project_cards(pages: DataFrame, origin: str, province: Column | None
     )
     basics = F.filter(
         F.transform(
-            F.filter(c, m.element_word("div", "cassette_basic-item")),
+            F.transform(F.filter(c, m.element_word("div", "cassette_basic-item")), lambda n: m.inside(c, n)),
             lambda item: _pair(
-                _tidy(c, m.first(m.inside(c, item), m.element_word("p", "cassette_basic-title"))),
-                _tidy(c, m.first(m.inside(c, item), m.element_word("p", "cassette_basic-value"))),
+                _tidy(item, m.first(item, m.element_word("p", "cassette_basic-title"))),
+                _tidy(item, m.first(item, m.element_word("p", "cassette_basic-value"))),
             ),
         ),
         lambda e: (e["key"] != "") & (e["value"] != ""),
     )
-    phases = F.transform(F.filter(c, m.element_word("li", "cassette_price-list_item")), lambda li: _phase(m.inside(c, li)))
+    items = F.transform(F.filter(c, m.element_word("li", "cassette_price-list_item")), lambda li: m.inside(c, li))
+    phases = F.transform(items, _phase)
     cards = _cards(pages, m.element_word("div", "cassette")).where(source_id != "")
     raw = cards.select(
         *[x for x in cards.columns if x != "c"],
@@ -411,30 +424,29 @@ def extract_project_cards(pages: DataFrame, origin: str, province: Column | None
 
 def _cell_text(nodes: Column, cell: Column) -> Column:
     """Text of a value cell: line breaks read as blanks, links to maps are left out."""
-    content = m.inside(nodes, cell)
-    maps = F.filter(content, lambda n: (n["tag"] == "a") & m.attr(n, "class").rlike(r"(^|\s)\S*_map(\s|$)"))
-    shown = F.filter(
-        content,
-        lambda n: n["tag"].isin("#text", "br")
-        & ~F.exists(maps, lambda a: (n["pos"] > a["pos"]) & (n["pos"] <= a["pos"] + a["size"])),
-    )
-    return F.array_join(F.transform(shown, lambda n: F.when(n["tag"] == "br", " ").otherwise(n["text"])), "")
+
+    def text(content: Column) -> Column:
+        maps = F.filter(content, lambda n: (n["tag"] == "a") & m.attr(n, "class").rlike(r"(^|\s)\S*_map(\s|$)"))
+        shown = m.let(
+            maps,
+            lambda hidden: F.filter(
+                content,
+                lambda n: n["tag"].isin("#text", "br")
+                & ~F.exists(hidden, lambda a: (n["pos"] > a["pos"]) & (n["pos"] <= a["pos"] + a["size"])),
+            ),
+        )
+        return F.array_join(F.transform(shown, lambda n: F.when(n["tag"] == "br", " ").otherwise(n["text"])), "")
+
+    return m.let(m.inside(nodes, cell), text)
 
 
 def _next_element(nodes: Column, node: Column) -> Column:
-    """The next sibling element. Both share a parent, so it is the first element of that parent behind this one."""
+    """The next sibling element: the first entry behind the element, past one text, if it has the same parent."""
     rest = F.slice(nodes, node["pos"] - F.get(nodes, F.lit(0))["pos"] + node["size"] + 2, F.lit(2))
     ahead = F.filter(rest, lambda n: (n["parent"] == node["parent"]) & (n["tag"] != "#text"))
     return F.get(ahead, F.lit(0))
 
 
-def _first_by_key(entries: Column) -> Column:
-    """Entries whose key did not occur earlier in the array."""
-    return F.filter(
-        entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda o: o["key"] == e["key"])
-    )
-
-
 def extract_detail_facts(pages: DataFrame) -> DataFrame:
     """One row per fact of a detail page: (page columns, sort_order, label, value). The first row of a label counts;
     labels that differ only by width are the same label."""
@@ -443,13 +455,18 @@ def extract_detail_facts(pages: DataFrame) -> DataFrame:
         rf"(^|\s)({'|'.join(DETAIL_LABEL_CLASSES)})(\s|$)"
     )
 
+    def label_of(own: Column) -> Column:
+        boxes = F.filter(own, m.has_tag("div"))
+        return collapse_ws(F.when(F.size(boxes) > 0, m.text_of(own, F.get(boxes, F.lit(0)))).otherwise(m.text_content(own)))
+
+    def value_of(cell: Column) -> Column:
+        return F.when(cell["tag"] == "td", strip_brackets(collapse_ws(_cell_text(nodes, cell)))).otherwise("")
+
     def fact(th: Column) -> Column:
-        own = m.inside(nodes, th)
-        box = m.first(own, m.has_tag("div"))
-        label = collapse_ws(F.when(box.isNotNull(), m.text_of(nodes, box)).otherwise(m.text_of(nodes, th)))
-        cell = _next_element(nodes, th)
-        value = F.when(cell["tag"] == "td", strip_brackets(collapse_ws(_cell_text(nodes, cell)))).otherwise("")
-        return F.struct(label.alias("label"), F.coalesce(value, F.lit("")).alias("value"))
+        value = m.let(_next_element(nodes, th), value_of)
+        return F.struct(
+            m.let(m.inside(nodes, th), label_of).alias("label"), F.coalesce(value, F.lit("")).alias("value")
+        )
 
     table = page_nodes(pages)
     keep = [x for x in table.columns if x != "nodes"]
@@ -516,7 +533,7 @@ def outline_links(pages: DataFrame) -> DataFrame:
         F.transform(F.filter("nodes", m.has_tag("a")), lambda n: m.attr(n, "href")), lambda h: h != ""
     )
     table = page_nodes(pages)
-    linked = F.exists(hrefs, lambda h: target(h) == wanted)
+    linked = m.let(wanted, lambda address: F.exists(hrefs, lambda h: target(h) == address))
     return table.where(linked).select("page_id", wanted.alias("outline_url"))
 
 
@@ -563,18 +580,22 @@ def page_totals(pages: DataFrame) -> DataFrame:
         ),
         F.get(F.filter(nodes, lambda n: (n["tag"] == "ol") & (m.attr(n, "class") == "sortbox_pagination-parts")), F.lit(0)),
     )
-    items = F.filter(m.inside(nodes, pager), m.has_tag("li"))
     number = lambda text: F.regexp_extract(text, r"^\s*([0-9]+)", 1).try_cast("int")
-    linked = F.filter(
-        F.transform(items, lambda li: number(m.trimmed_text_of(nodes, m.first(m.inside(nodes, li), m.has_tag("a"))))),
-        lambda n: n > 0,
-    )
-    current = F.filter(
-        items, lambda li: m.attr(li, "class").rlike(r"(^|\s)(pagination-current|sortbox_pagination--current)(\s|$)")
-    )
-    last = F.coalesce(
-        F.try_element_at(linked, F.lit(-1)), number(m.trimmed_text_of(nodes, F.get(current, F.lit(0)))), F.lit(1)
-    )
+
+    def last_page(box: Column) -> Column:
+        items = F.transform(F.filter(box, m.has_tag("li")), lambda li: m.inside(box, li))
+        numbers = F.transform(items, lambda li: number(m.trimmed_text_of(li, m.first(li, m.has_tag("a")))))
+        current = F.filter(
+            box,
+            lambda n: (n["tag"] == "li")
+            & m.attr(n, "class").rlike(r"(^|\s)(pagination-current|sortbox_pagination--current)(\s|$)"),
+        )
+        return F.coalesce(
+            F.try_element_at(F.filter(numbers, lambda n: n > 0), F.lit(-1)),
+            number(m.trimmed_text_of(box, F.get(current, F.lit(0)))),
+        )
+
+    last = F.coalesce(m.let(m.inside(nodes, pager), last_page), F.lit(1))
     table = page_nodes(pages)
     return table.select(
         *[x for x in table.columns if x != "nodes"], total.alias("total_items"), last.alias("scraped_pages")

@@ -57,7 +57,7 @@ def page_totals(t: Tables):
         '<li class="sortbox_pagination--current">', month, "</li></ol>",
     )
     html = _page(F.when(F.col("o_orderstatus") == "O", sale).otherwise(project))
-    return cards.page_totals(t.raw("orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
+    return cards.page_totals(t.spread("orders", "o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
 
 
 # --- sale cards ------------------------------------------------------------------------------------------------------
@@ -83,7 +83,7 @@ def _sale_pages(t: Tables):
             '棟</dt><dd>first</dd></dl><dl><dt>', F.col("o_orderstatus"), '棟</dt><dd>', F.col("o_orderpriority"), "</dd></dl></div></div></div>",
         )
     )
-    return t.raw("orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    return t.spread("orders", "o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
 @query("""SELECT o_orderkey AS page_id, CAST(o_orderkey AS VARCHAR) AS source_id, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR)
@@ -134,7 +134,7 @@ def _rental_pages(t: Tables):
             '<table class="cassetteitem_other"><tbody>', unit(1), unit(2), "</tbody></table></div></li></ul>",
         )
     )
-    return t.raw("orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    return t.spread("orders", "o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
 @query("""SELECT o_orderkey AS page_id, o_orderkey || '-' || no AS source_id, 'building-' || CASE WHEN o_orderstatus = 'P' THEN ''
@@ -184,7 +184,7 @@ def _project_pages(t: Tables):
             "</p></div><ul>", phase(1, 200), phase(2, 100), "</ul></div>",
         )
     )
-    return t.raw("part").select(F.col("p_partkey").alias("page_id"), F.lit("13").alias("province"), html.alias("html"))
+    return t.spread("part", "p_partkey").select(F.col("p_partkey").alias("page_id"), F.lit("13").alias("province"), html.alias("html"))
 
 
 @query("""SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS source_id, CAST(p_partkey AS VARCHAR) AS js_id, p_name AS title,
@@ -232,7 +232,7 @@ def _detail_pages(t: Tables):
         _join('<table><tr><th class="detailtable-title">構造</th><td>RC', F.col("c_nationkey"), "階建</td></tr></table>")
     )
     empty = _page(F.lit("<p>none</p>"))
-    pages = t.raw("customer").select(
+    pages = t.spread("customer", "c_custkey").select(
         F.explode(
             F.array_compact(
                 F.array(
