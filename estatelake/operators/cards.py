@@ -23,6 +23,7 @@ from estatelake.functions.places import complete_address, parse_address
 from estatelake.functions.text import collapse_ws, filled, nfkc, strip_brackets, trim_all
 from estatelake.functions.transit import parse_access, parse_station, parse_station_info
 from estatelake.functions.urls import absolute_url, outline_url, photo_key
+from estatelake.session import settled
 
 _STRINGS = "array<string>"
 
@@ -447,10 +448,8 @@ def _next_element(nodes: Column, node: Column) -> Column:
     return F.get(ahead, F.lit(0))
 
 
-def extract_detail_facts(pages: DataFrame) -> DataFrame:
-    """One row per fact of a detail page: (page columns, sort_order, label, value). The first row of a label counts;
-    labels that differ only by width are the same label."""
-    nodes = F.col("nodes")
+def _detail_facts(nodes: Column) -> Column:
+    """Array of (label, value) in document order, repeated labels included."""
     labelled = lambda n: (n["tag"] == "th") & m.attr(n, "class").rlike(
         rf"(^|\s)({'|'.join(DETAIL_LABEL_CLASSES)})(\s|$)"
     )
@@ -468,53 +467,25 @@ def extract_detail_facts(pages: DataFrame) -> DataFrame:
             m.let(m.inside(nodes, th), label_of).alias("label"), F.coalesce(value, F.lit("")).alias("value")
         )
 
-    table = page_nodes(pages)
-    keep = [x for x in table.columns if x != "nodes"]
-    facts = F.filter(
+    return F.filter(
         F.transform(F.filter(nodes, labelled), fact),
         lambda f: (f["label"] != "") & (f["value"] != "") & (f["value"] != "-"),
     )
-    rows = table.select(*keep, F.posexplode(facts).alias("_at", "_fact")).select(
-        *keep, "_at", "_fact.*", nfkc(F.col("_fact.label")).alias("_key")
-    )
-    return _first_rows(rows, keep, ["label", "value"])
 
 
-def extract_detail_photos(pages: DataFrame, photo_prefix: str) -> DataFrame:
-    """One row per photo of a detail page, unique by source file: (page columns, sort_order, url, caption)."""
-    table = page_nodes(pages)
-    # The photo's own address takes the place of the page's.
-    keep = [x for x in table.columns if x not in ("nodes", "url")]
+def _detail_photos(nodes: Column, photo_prefix: str) -> Column:
+    """Array of (url, caption) in document order, repeated files included."""
     images = F.transform(
-        F.filter("nodes", m.has_tag("img")),
+        F.filter(nodes, m.has_tag("img")),
         lambda n: F.struct(
-            F.coalesce(filled(m.attr(n, "rel")), m.attr(n, "src")).alias("url"),
-            collapse_ws(m.attr(n, "alt")).alias("caption"),
+            F.coalesce(filled(m.attr(n, "rel")), m.attr(n, "src")).alias("url"), collapse_ws(m.attr(n, "alt")).alias("caption")
         ),
     )
-    rows = (
-        table.select(*keep, F.posexplode(images).alias("_at", "_img"))
-        .select(*keep, "_at", "_img.*", photo_key(F.col("_img.url")).alias("_key"))
-        .where(F.startswith("url", F.lit(photo_prefix)) & F.col("_key").isNotNull())
-    )
-    return _first_rows(rows, keep, ["url", "caption"])
-
-
-def _first_rows(rows: DataFrame, keep: list[str], values: list[str]) -> DataFrame:
-    """First row per page and key in document order, renumbered from 0. Grouping by key folds repeats before the
-    shuffle; what is left per page is the page's own short list."""
-    group = "page_id"
-    firsts = rows.groupBy(group, "_key").agg(
-        F.min("_at").alias("_at"), F.min_by(F.struct(*[k for k in keep if k != group], *values), "_at").alias("_row")
-    )
-    listed = firsts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", "_row"))).alias("_rows"))
-    return listed.select(group, F.posexplode("_rows").alias("sort_order", "_r")).select(
-        group, "sort_order", "_r._row.*"
-    )
+    return F.filter(images, lambda i: F.startswith(i["url"], F.lit(photo_prefix)))
 
 
-def outline_links(pages: DataFrame) -> DataFrame:
-    """(page_id, outline_url) of pages that link to their own outline sub-page."""
+def _outline_link(nodes: Column) -> Column:
+    """Address of the page's own outline sub-page where the page links to it, else null."""
     wanted = outline_url(F.col("url"))
     origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     base = F.regexp_replace("url", r"[?#].*$", "")
@@ -530,33 +501,66 @@ def outline_links(pages: DataFrame) -> DataFrame:
         )
 
     hrefs = F.filter(
-        F.transform(F.filter("nodes", m.has_tag("a")), lambda n: m.attr(n, "href")), lambda h: h != ""
+        F.transform(F.filter(nodes, m.has_tag("a")), lambda n: m.attr(n, "href")), lambda h: h != ""
     )
-    table = page_nodes(pages)
     linked = m.let(wanted, lambda address: F.exists(hrefs, lambda h: target(h) == address))
-    return table.where(linked).select("page_id", wanted.alias("outline_url"))
+    return F.when(linked, wanted)
+
+
+def read_details(pages: DataFrame, photo_prefix: str) -> DataFrame:
+    """Everything a detail page says, in one walk: (page_id, url, outline_url, facts, photos)."""
+    nodes = F.col("nodes")
+    return page_nodes(pages.select("page_id", "url", "html")).select(
+        "page_id", "url", _outline_link(nodes).alias("outline_url"), _detail_facts(nodes).alias("facts"),
+        _detail_photos(nodes, photo_prefix).alias("photos"),
+    )
+
+
+def detail_facts(details: DataFrame) -> DataFrame:
+    """(page_id, sort_order, label, value). The first row of a label counts; labels that differ only by width are the
+    same label."""
+    rows = details.select("page_id", F.posexplode("facts").alias("_at", "_row"))
+    return _first_rows(rows.withColumn("_key", nfkc(F.col("_row.label"))))
+
+
+def detail_photos(details: DataFrame) -> DataFrame:
+    """(page_id, sort_order, url, caption), unique by source file."""
+    rows = details.select("page_id", F.posexplode("photos").alias("_at", "_row"))
+    return _first_rows(rows.withColumn("_key", photo_key(F.col("_row.url"))).where(F.col("_key").isNotNull()))
+
+
+def extract_detail_facts(pages: DataFrame) -> DataFrame:
+    return detail_facts(read_details(pages, ""))
+
+
+def extract_detail_photos(pages: DataFrame, photo_prefix: str) -> DataFrame:
+    return detail_photos(read_details(pages, photo_prefix))
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """First row per page and key in document order, renumbered from 0. Grouping by key folds repeats before the
+    shuffle; what is left per page is the page's own list."""
+    firsts = rows.groupBy("page_id", "_key").agg(F.min("_at").alias("_at"), F.min_by("_row", "_at").alias("_row"))
+    listed = firsts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_row"))).alias("_rows"))
+    return listed.select("page_id", F.posexplode("_rows").alias("sort_order", "_r")).select(
+        "page_id", "sort_order", "_r._row.*"
+    )
 
 
 def resolve_details(pages: DataFrame, photo_prefix: str) -> tuple[DataFrame, DataFrame]:
     """Facts and photos of every page that is not itself an outline. A page with an outline takes the outline's facts
     where that has any; the photos are always the page's own."""
-    facts = extract_detail_facts(pages.select("page_id", "url", "html"))
-    photos = extract_detail_photos(pages.select("page_id", "url", "html"), photo_prefix)
-    links = outline_links(pages)
-    ids = pages.select(F.col("page_id").alias("outline_id"), F.col("url").alias("outline_url"))
-    pairs = links.join(ids, "outline_url").select("page_id", "outline_id")
-    filled_pairs = pairs.join(facts.select(F.col("page_id").alias("outline_id")).distinct(), "outline_id", "left_semi")
-    outlines = pairs.select(F.col("outline_id").alias("page_id")).distinct()
-    own = facts.join(outlines, "page_id", "left_anti").join(filled_pairs, "page_id", "left_anti")
-    borrowed = (
-        facts.withColumnRenamed("page_id", "outline_id")
-        .join(filled_pairs, "outline_id")
-        .select("page_id", "sort_order", "label", "value")
-    )
-    return (
-        own.select("page_id", "sort_order", "label", "value").unionByName(borrowed),
-        photos.join(outlines, "page_id", "left_anti").select("page_id", "sort_order", "url", "caption"),
+    details = settled(read_details(pages, photo_prefix))
+    ids = details.select(
+        F.col("page_id").alias("outline_id"), F.col("url").alias("outline_url"), (F.size("facts") > 0).alias("_filled")
     )
+    pairs = details.where(F.col("outline_url").isNotNull()).select("page_id", "outline_url").join(ids, "outline_url")
+    outlines = pairs.select(F.col("outline_id").alias("page_id")).distinct()
+    borrowed = pairs.where("_filled").select("page_id", F.col("outline_id").alias("_from"))
+    shown = details.join(outlines, "page_id", "left_anti")
+    own = shown.join(borrowed.select("page_id"), "page_id", "left_anti").select("page_id", "facts")
+    lent = details.select(F.col("page_id").alias("_from"), "facts").join(borrowed, "_from").select("page_id", "facts")
+    return detail_facts(own.unionByName(lent)), detail_photos(shown)
 
 
 # --- pager, selectors and class usage --------------------------------------------------------------------------------
