@@ -34,8 +34,9 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 
 
 def _cards(pages: DataFrame, match: m.Matcher) -> DataFrame:
-    """One row per card: the page's other columns, the card's place on the page and the card's own elements ``c``."""
-    nodes = page_nodes(pages)
+    """One row per card: the page's other columns, the card's place on the page and the card's own elements ``c``. The
+    page's address makes way for the card's."""
+    nodes = page_nodes(pages).drop("url")
     keep = [c for c in nodes.columns if c != "nodes"]
     slices = F.transform(F.filter("nodes", match), lambda n: m.inside(F.col("nodes"), n))
     return nodes.select(*keep, F.posexplode(slices).alias("ordinal", "c"))

@@ -35,15 +35,14 @@ def with_section(pages: DataFrame) -> DataFrame:
     ).withColumn("section_key", F.concat_ws("-", "region", "province", "section_type"))
 
 
-_KEEP = ["page_id", "url", "html", "section_type", "region", "province", "page", "section_key"]
+_KEEP = ["page_id", "html", "section_type", "region", "province", "page", "section_key"]
 
 
 def read_sale_pages(sale: DataFrame, project: DataFrame, origin: str) -> DataFrame:
     """Listings of for-sale and new-apartment pages in stored form, with the section's type and the place their address
     gives them (the section's own where it gives none). ``ordinal`` is the order in which they were met."""
-    page_columns = [c for c in _KEEP if c != "url"]
-    old = cards.type_sale_facts(cards.extract_sale_cards(with_section(sale).select(*page_columns), origin))
-    new = cards.extract_project_cards(with_section(project).select(*page_columns), origin).drop("phases")
+    old = cards.type_sale_facts(cards.extract_sale_cards(with_section(sale).select(*_KEEP), origin))
+    new = cards.extract_project_cards(with_section(project).select(*_KEEP), origin).drop("phases")
     rows = old.unionByName(new, allowMissingColumns=True)
     names = listing_types(rows.sparkSession).select(F.col("type").alias("section_type"), "type_name_ja")
     typed = locate(cards.normalise_listing(rows)).join(names, "section_type", "left")
@@ -64,8 +63,7 @@ def ingest_sales(listing: DataFrame, sale: DataFrame, project: DataFrame, origin
 def ingest_rentals(tables: dict[str, DataFrame], pages: DataFrame, origin: str, as_of: Column) -> Ingest:
     """Buildings, units, lines, stations and links of rental pages. Buildings still stored under a unit's id take their
     building key first, then the page's buildings and units are written."""
-    page_columns = [c for c in _KEEP if c != "url"]
-    units = cards.extract_rental_units(with_section(pages).select(*page_columns), origin)
+    units = cards.extract_rental_units(with_section(pages).select(*_KEEP), origin)
     met = settled(
         units.withColumn("ordinal", F.struct("page", "page_id", "building_ordinal", "unit_ordinal"))
     )
