@@ -102,15 +102,15 @@ def detect_changes(
 
 
 def with_children(
-    parent: DataFrame, child: DataFrame, key: str, order: list[Column], child_key: str | None = None
+    parent: DataFrame, child: DataFrame, key: str, order: list[Column], slice_by: Column, child_key: str | None = None
 ) -> DataFrame:
     """Each parent row with its children, one row per child in ``order`` (``child_no`` from 1; one row with nulls for a
-    parent without children). The children stay rows: a parent may have any number of them.
+    parent without children). The children stay rows, and ``slice_by`` (which follows ``order``) cuts the numbering of a
+    parent with very many of them into slices.
 
     A child list is read for one parent or one page of parents at a time, so narrow ``parent`` first.
     """
     child_key = child_key or key
     mine = child.join(parent.select(F.col(key).alias(child_key)).distinct(), child_key, "left_semi")
-    numbered_children = mine.withColumn("child_no", F.row_number().over(W.partitionBy(child_key).orderBy(*order)))
-    on = parent[key] == numbered_children[child_key]
-    return parent.join(numbered_children, on, "left").drop(numbered_children[child_key])
+    listed = numbered(mine, slice_by, order, "child_no", [child_key])
+    return parent.join(listed, parent[key] == listed[child_key], "left").drop(listed[child_key])

@@ -33,21 +33,26 @@ def with_previous(
     )
 
 
-def numbered(df: DataFrame, bucket: Column, order: list[str], name: str = "position") -> DataFrame:
-    """Adds a gapless 1-based ``name`` over all rows, ordered by ``bucket`` and then by ``order``.
+def numbered(
+    df: DataFrame, bucket: Column, order: list[str | Column], name: str = "position", keys: list[str] = []
+) -> DataFrame:
+    """Adds a gapless 1-based ``name`` over all rows (of each key, with ``keys``), ordered by ``bucket`` and then by
+    ``order``.
 
     Rows are numbered inside their bucket; only one count per bucket passes through the running total. A bucket that
-    does not decrease along ``order`` gives the global order, a hashed one gives plain unique numbers.
+    does not decrease along ``order`` gives the whole order, a hashed one gives plain unique numbers.
     """
     rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").count()
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-    return rows.join(offsets, "_bucket").select(*df.columns, (F.col("_offset") + inside).cast("long").alias(name))
+    counts = rows.groupBy(*keys, "_bucket").count()
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
+    return rows.join(offsets, [*keys, "_bucket"]).select(
+        *df.columns, (F.col("_offset") + inside).cast("long").alias(name)
+    )
 
 
-def with_new_ids(new: DataFrame, stored: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+def with_new_ids(new: DataFrame, stored: DataFrame, key: str, buckets: int = 8192) -> DataFrame:
     """Gives new rows surrogate ids above the stored ones. The ids depend on the keys only, so a retry repeats them."""
     highest = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     rows = numbered(new, F.pmod(F.xxhash64(key), F.lit(buckets)), [key], "_n")

@@ -169,6 +169,34 @@ def apply_summary(t: Tables):
     return lines.apply_summary(left, _proposals(t))
 
 
+@query(with_views("", "SELECT count(*) AS total, count(*) FILTER (changed) AS changed_total FROM proposed", **_RESOLVED))
+def proposal_totals(t: Tables):
+    return listings.proposal_totals(_proposals(t))
+
+
+@query(with_views("", "SELECT id, new_kind FROM proposed WHERE changed", **_RESOLVED))
+def changed_proposals(t: Tables):
+    from estatelake.operators.filters import changed_only
+
+    return changed_only(_proposals(t)).select("id", "new_kind")
+
+
+@query(with_views("", "SELECT id, name FROM lines ORDER BY id LIMIT 20", lines=_LINES))
+def sample_lines(t: Tables):
+    return listings.first_lines(line_rows(t), 20).select("id", "name")
+
+
+@query(with_views("", """SELECT name || CASE WHEN region = 'ECONOMY' THEN '行' ELSE '' END AS name, CASE WHEN region = 'ECONOMY' AND best < 0.55
+    THEN 'bus' ELSE 'unknown' END AS kind, region = 'ECONOMY' AND best < 0.55 AS decided FROM (SELECT l.name, l.region, max(score) AS best
+    FROM lines l LEFT JOIN ranked r ON r.name = l.name AND r.region = l.region GROUP BY l.name, l.region)""", **_MATCHED))
+def rule_decisions(t: Tables):
+    """Labels of one region end in a destination mark, which marks a bus unless a canonical line is close."""
+    mark = F.when(F.col("region") == "ECONOMY", "行").otherwise("")
+    labelled = line_rows(t).withColumn("name", F.concat("name", mark))
+    found = settled(lines.line_candidates(labelled, canonical(t), 15, _areas(t)))
+    return lines.rule_decisions(labelled, found).select("name", "kind", "decided")
+
+
 # --- duplicate lines -------------------------------------------------------------------------------------------------
 
 

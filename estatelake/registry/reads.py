@@ -291,16 +291,17 @@ def price_changes(t: Tables):
     return rows.select("property_id", "event_id", "price", "price_text", "recorded_at")
 
 
-@query(with_views("listing history", """SELECT l.id, l.price, h.price AS point, h.recorded_at, CAST(row_number() OVER
-    (PARTITION BY l.id ORDER BY h.recorded_at, h.event_id) AS INTEGER) AS child_no FROM (SELECT * FROM listing
+@query(with_views("listing history", """SELECT l.id, l.price, h.price AS point, h.recorded_at, row_number() OVER
+    (PARTITION BY l.id ORDER BY h.recorded_at, h.event_id) AS child_no FROM (SELECT * FROM listing
     WHERE section_type = '1-URGENT' AND region = '1' ORDER BY price, id LIMIT 12) l
     LEFT JOIN history h ON h.property_id = l.id"""))
 def listing_with_history(t: Tables):
     page = listings.listing_page(filter_listings(t.listing, SCOPE)).select("id", "price")
     points = t.history.select("property_id", F.col("price").alias("point"), "recorded_at", "event_id")
     order = [F.asc("recorded_at"), F.asc("event_id")]
-    rows = listings.with_children(page, points, "id", order, "property_id").drop("event_id")
-    return rows.withColumn("child_no", F.coalesce("child_no", F.lit(1)))
+    day = F.date_trunc("day", F.col("recorded_at"))
+    rows = listings.with_children(page, points, "id", order, day, "property_id").drop("event_id")
+    return rows.withColumn("child_no", F.coalesce("child_no", F.lit(1)).cast("long"))
 
 
 # --- runs ------------------------------------------------------------------------------------------------------------
@@ -400,3 +401,34 @@ def due_for_refresh(t: Tables):
     requests = last.select("property_id", "requested_at", names.alias("status"))
     as_of = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
     return filters.due_for_refresh(customers, requests, as_of).select("id", "price")
+
+
+@query(with_views("places history", """SELECT c_custkey AS id, c_name, h.price, h.recorded_at, row_number() OVER (PARTITION BY c_custkey
+    ORDER BY h.recorded_at, h.event_id) AS child_no FROM places LEFT JOIN history h ON property_id = c_custkey"""))
+def customers_with_history(t: Tables):
+    """Every customer with all its price points in order."""
+    parents = t.places.select(F.col("c_custkey").alias("id"), "c_name")
+    points = t.history.select("property_id", "price", "recorded_at", "event_id")
+    day = F.date_trunc("day", F.col("recorded_at"))
+    order = [F.asc("recorded_at"), F.asc("event_id")]
+    rows = listings.with_children(parents, points, "id", order, day, "property_id").drop("event_id")
+    return rows.withColumn("child_no", F.coalesce("child_no", F.lit(1)).cast("long"))
+
+
+@query(with_views("listing history", """, page AS (SELECT * FROM listing WHERE section_type = '1-URGENT' AND price < 30000000 ORDER BY price DESC, id
+    LIMIT 12), two AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY recorded_at DESC, price DESC) AS n FROM history
+    WHERE property_id IN (SELECT id FROM page)) SELECT id, price, CASE WHEN building_area > 0 OR area > 0 THEN CAST(floor(price /
+    CASE WHEN building_area > 0 THEN building_area ELSE area END + 0.5) AS BIGINT) END AS unit_price, greatest(coalesce((SELECT price FROM two
+    WHERE property_id = id AND n = 2) - (SELECT price FROM two WHERE property_id = id AND n = 1), 0), 0) AS cut FROM page"""))
+def listing_search(t: Tables):
+    """The search page as a whole: filter, order, page, last price cut and unit price."""
+    from estatelake.plans.search import listing_search as search
+
+    rows = search(t.listing, t.history, {"section_type": "1-URGENT"}, "price_desc", price="under30")
+    return rows.select("id", "price", "unit_price", "cut")
+
+
+@query("SELECT page_id, CAST(length(html) AS INTEGER) AS chars FROM pages WHERE contains(url, '.example.com/')")
+def pages_of_site(t: Tables):
+    """A scan of stored pages that reads only the pages of one host."""
+    return t.raw("pages").where(F.contains("url", F.lit(".example.com/"))).select("page_id", F.length("html").alias("chars"))

@@ -68,3 +68,10 @@ PARTITIONS = {
     "listing": ["section_type", "region"],
     "building": ["region"],
 }
+
+# Order inside the files of a table, so that a search's range and sort columns skip row groups.
+CLUSTERING = {
+    "listing": ["province", "price"],
+    "building": ["province", "last_updated"],
+    "rental_unit": ["building_id", "rent"],
+}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from estatelake.schemas import PARTITIONS, TABLES
+from estatelake.schemas import CLUSTERING, PARTITIONS, TABLES
 
 
 def _schema(name: str) -> StructType:
@@ -39,9 +39,17 @@ def read_table(spark: SparkSession, root: str, name: str, version: int | None =
 
 
 def write_table(df: DataFrame, root: str, name: str, version: int) -> None:
-    """Writes one version whole. Writing the same version again replaces it, so a retried job leaves one result."""
+    """Writes one version whole. Writing the same version again replaces it, so a retried job leaves one result.
+
+    Rows are rebalanced by partition before the write: adaptive execution gives a large partition several files and
+    packs small ones together, whatever the job's own parallelism was.
+    """
     out = conform(df, name)
-    parts = PARTITIONS.get(name, [])
+    parts, order = PARTITIONS.get(name, []), CLUSTERING.get(name, [])
+    if parts:
+        out = out.hint("rebalance", *parts)
+    if parts or order:
+        out = out.sortWithinPartitions(*parts, *order)
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if parts:
         writer = writer.partitionBy(*parts)

@@ -91,7 +91,7 @@ if __name__ == "__main__":
             else:
                 found = [] if df.count() >= 0 else []
                 name += " (no sql)"
-            rows = df.count() if not found else "?"
+            rows = len(con.execute(entry.sql).fetchall()) if entry.sql and not found else "?"
         except Exception as e:
             found, rows = [f"{type(e).__name__}: {str(e)[:600]}"], "?"
         failed += bool(found)

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from estatelake.operators import buildings, counts, filters, lines, listings, metrics, ordered, rentals, translations, upserts
@@ -275,3 +276,22 @@ def test_listing_options(spark):
     assert ids(price="30to60") == [2] and ids(size="60") == [1, 2] and ids(walk="10") == [1] and ids(price="zzz", size="7", walk="x") == [1, 2, 3]
     assert not filters.has_active_filters() and filters.has_active_filters(walk="5") and not filters.has_active_filters(price="zzz")
     assert rentals.filter_units is filters.filter_units
+
+
+def test_canonical_file_and_observed_counters(spark, tmp_path):
+    path = tmp_path / "lines.json"
+    path.write_text('[{"ekidata_id":"7","name_kanji":"a","prefectures":["13"]},{"ekidata_id":"","name_kanji":"b"},{"ekidata_id":"8","name_kanji":"c"}]')
+    found = canonical.read_canonical_lines(spark, str(path))
+    assert rows(found, "ekidata_id", "name_kanji") == [("7", "a"), ("8", "c")]
+    seen = Observation("ingest")
+    classified = spark.createDataFrame([("new",), ("new",), ("updated",)], "metric_status string")
+    metrics.observed(classified, seen).write.mode("overwrite").parquet(str(tmp_path / "out"))
+    assert (seen.get["items"], seen.get["new_items"], seen.get["updated_items"], seen.get["unchanged_items"]) == (3, 2, 1, 0)
+
+
+def test_children_are_numbered_across_slices(spark):
+    parent = spark.createDataFrame([(1,), (2,)], "id long")
+    child = spark.createDataFrame([(1, i) for i in range(25)], "property_id long, i int")
+    got = listings.with_children(parent, child, "id", [F.asc("i")], F.floor(F.col("i") / 4), "property_id")
+    assert rows(got.where("id = 1"), "i", "child_no") == sorted(((i, i + 1) for i in range(25)), key=repr)
+    assert rows(got.where("id = 2"), "child_no") == [(None,)]
