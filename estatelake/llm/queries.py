@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import sentencepiece
+from estatelake.llm import chat, sentencepiece, urls
 from estatelake.llm.common import digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,60 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         digest(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+URL_RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
+]
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by the longest listed entry that covers its URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.url_verdicts(pages, spark.createDataFrame(URL_RULES, "entry string, verdict string")).drop("url")
+
+
+_RULE_ROWS = ", ".join(f"('{e.split('/')[0]}', '{e[len(e.split('/')[0]):]}', '{v}')" for e, v in URL_RULES)
+SQL["op8_url_filter"] = f"""WITH rules(h, p, v) AS (VALUES {_RULE_ROWS}),
+    page AS (SELECT row_number() OVER () AS n, page_id,
+        coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    hit AS (SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+        FROM page JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM page LEFT JOIN hit USING (n)"""
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one formatted text with a loss mask; the columns are read back from that text."""
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    formatted = chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows, "conv_id", "turn")))
+    back = formatted.withColumn("back", chat.read_back(F.col("formatted"))).withColumn("lost", chat.loss_text(F.col("formatted"), F.col("loss")))
+    return back.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        digest(F.array_join(F.transform("back", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"),
+        digest(F.col("lost")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+SQL["op10_chat_format"] = r"""WITH row AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    part AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?SYS\]|/?INST\]|ROLE\]|/?TEXT\])', '\1\\\2\3', 'g'))
+        + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 +
+            length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?SYS\]|/?INST\]|ROLE\]|/?TEXT\])', '\1\\\2\3', 'g')) END AS chars
+        FROM row)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM part GROUP BY conv_id"""
