@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, sentencepiece, urls
+from estatelake.llm import chat, secrets, sentencepiece, urls
 from estatelake.llm.common import digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,15 @@ SQL["op10_chat_format"] = r"""WITH row AS (
         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(sum(chars) AS BIGINT) AS formatted_chars
     FROM part GROUP BY conv_id"""
+
+
+@query
+def op3_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document: counts and a digest of the patterns' spans, and all spans."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        digest(line(F.filter("spans", lambda s: s.kind != "random"))).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+    )
