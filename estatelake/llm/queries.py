@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, secrets, sentencepiece, urls
+from estatelake.llm import chat, decontamination, secrets, sentencepiece, urls
 from estatelake.llm.common import digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,30 @@ def op3_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
         digest(line(F.filter("spans", lambda s: s.kind != "random"))).alias("base_sha256"), line(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a ten-word window of a benchmark item."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontamination.contamination(docs, items).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        digest(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+HITS_SQL = f"""d AS (SELECT row_number() OVER () AS n_row, *, {_WORDS} AS w FROM {{documents}}),
+    i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM
+        (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+    dg AS (SELECT n_row, s, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM
+        (SELECT n_row, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+    hit AS (SELECT n_row, s, n, item_id FROM dg JOIN iw USING (n, g)),
+    hit_words AS (SELECT n_row, count(*) AS n_hit FROM (SELECT DISTINCT n_row, unnest(range(s, s + n)) FROM hit) GROUP BY n_row),
+    hit_items AS (SELECT n_row, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+        FROM (SELECT DISTINCT n_row, item_id FROM hit) GROUP BY n_row)"""
+SQL["op7_benchmark_decontamination"] = f"""WITH {HITS_SQL.format(documents="documents")}
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit_words USING (n_row) LEFT JOIN hit_items USING (n_row)"""
