@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, secrets, sentencepiece, urls
+from estatelake.llm import chat, decontamination, ngram_jaccard, secrets, sentencepiece, urls
 from estatelake.llm.common import digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,10 @@ SQL["op7_benchmark_decontamination"] = f"""WITH {HITS_SQL.format(documents="docu
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
         sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN hit_words USING (n_row) LEFT JOIN hit_items USING (n_row)"""
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document under a Jaccard similarity of 0.8 of its five-word n-grams."""
+    found = ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "copies", F.col("links").alias("n_links"))
