@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, ngram_jaccard, secrets, sentencepiece, urls
-from estatelake.llm.common import digest, table
+from estatelake.llm import chat, decontamination, mtree, ngram_jaccard, secrets, sentencepiece, urls
+from estatelake.llm.common import digest, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,22 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document under a Jaccard similarity of 0.8 of its five-word n-grams."""
     found = ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "copies", F.col("links").alias("n_links"))
+
+
+@query
+def op5_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every fiftieth vector with all others."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("id"), mtree.quantised(F.col("embedding")).alias("vector")
+    )
+    rows = stored(rows)
+    found = mtree.top_k(rows, rows.where(F.col("id") % 50 == 0), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+SQL["op5_mtree_top_k"] = """WITH v AS (SELECT row_number() OVER () AS n, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x
+        FROM embeddings WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len(embedding) > 0),
+    s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
