@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, mtree, ngram_jaccard, secrets, sentencepiece, urls
+from estatelake.llm import chat, decontamination, mtree, ngram_jaccard, secrets, sentencepiece, toxicity, urls
 from estatelake.llm.common import digest, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,20 @@ SQL["op5_mtree_top_k"] = """WITH v AS (SELECT row_number() OVER () AS n, vec_id,
         FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+TOXIC = 0.3
+
+
+def held_out(key: str = "doc_id"):
+    """Documents whose labels are never learnt from."""
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 4 == 2
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learnt from the labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), toxicity.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
