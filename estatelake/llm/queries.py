@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, mtree, ngram_jaccard, secrets, sentencepiece, toxicity, urls
+from estatelake.llm import chat, decontamination, line_dedup, mtree, ngram_jaccard, secrets, sentencepiece, toxicity, urls
 from estatelake.llm.common import digest, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     scored = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), toxicity.score(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+@query
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that equal or resemble an earlier one."""
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", "emptied", digest(F.coalesce("text", F.lit(""))).alias("text_sha256"))
