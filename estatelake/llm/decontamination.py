@@ -49,7 +49,7 @@ def windows_of(items: DataFrame, size: int) -> DataFrame:
     )
 
 
-def phrase_hits(tokens: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3) -> DataFrame:
+def phrase_hits(tokens: DataFrame, items: DataFrame, size: int = 10, rarest: int = 2) -> DataFrame:
     """(row, item, start, length): every occurrence of a window of an item in a row of ``tokens``, in words.
 
     Both inputs come from ``tokenised``. Windows with a term that the corpus does not have are dropped at once. Join keys are
