@@ -103,14 +103,18 @@ def proximity_hits(tokens: DataFrame, items: DataFrame, within: int = 20) -> Dat
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", size: int = 10,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, spans (merged hit spans in words), n_hit, items (sorted ids as strings).
 
     A word is hit if it lies in any occurrence of a window of ``size`` consecutive words of a benchmark item. Null and empty
     texts have no words and no hits, on either side; repeated rows each get their own row. What is gathered per document are
-    its own hits, at most its length times the items it holds.
+    its own hits, at most its length times the items it holds. Columns named in ``carry`` come out unchanged in a
+    struct ``carried``.
     """
-    tokens = tokenised(docs, text, key)
+    carried = ["carried"] if carry else []
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    tokens = tokenised(docs, "__text", "__key", *carried)
     items = tokenised(benchmark, text, item_key)
     hits = phrase_hits(tokens, items, size).join(items.select(F.col("row").alias("item"), F.col(item_key).cast("string").alias("id")), "item")
     spans = hits.groupBy("row").agg(
@@ -123,7 +127,7 @@ def contamination(
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1).start.alias("start"), F.greatest(F.element_at(done, -1).end, s.end).alias("end")))),
     ).otherwise(F.array_append(done, s))
     merged = F.aggregate("found", none, merge)
-    out = tokens.select("row", key, F.size("words").cast("long").alias("n_words")).join(spans, "row", "left")
+    out = tokens.select("row", F.col("__key").alias(key), *carried, F.size("words").cast("long").alias("n_words")).join(spans, "row", "left")
     out = out.withColumn("spans", F.coalesce(merged, none)).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
-    return out.select(key, "n_words", "spans", covered.alias("n_hit"), "items")
+    return out.select(*carried, key, "n_words", "spans", covered.alias("n_hit"), "items")

@@ -235,15 +235,17 @@ def signatures(docs: DataFrame, text: str, n: int) -> DataFrame:
 
 def jaccard_join(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: row (an id of its own), key, class_id (smallest key connected by links), copies (rows with
     the same n-grams, itself included), links (other rows with a similarity of at least ``threshold``, copies counted each)
     and keep (true for one row of each connected group: the one of the smallest key, null last, then the smallest row).
 
     Null, empty and wordless texts have no n-grams, hence no links and a group of their own; their class_id is their key.
-    Repeated rows are copies of each other.
+    Repeated rows are copies of each other. Columns named in ``carry`` come out unchanged in a struct ``carried``.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *carried)
     base = stored(signatures(base, "text", n))
     classes = base.where("size > 0").groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     members = stored(base.where("size > 0").select("row", "key", "same").join(classes, "same").select("row", "key", "node", "copies"))
@@ -277,7 +279,8 @@ def jaccard_join(
     chosen = placed.groupBy("component").agg(first)
     found = placed.drop("key").join(chosen, "component").select("row", "copies", "links", "first")
     one = F.lit(1).cast("long")
-    return base.select("row", "key").join(found, "row", "left").select(
+    return base.select("row", "key", *(["carried"] if carry else [])).join(found, "row", "left").select(
+        *(["carried"] if carry else []),
         "row", F.col("key").alias(key), F.when(F.col("first").isNull(), F.col("key")).otherwise(F.col("first.key")).alias("class_id"),
         F.coalesce("copies", one).alias("copies"), F.coalesce("links", F.lit(0).cast("long")).alias("links"),
         (F.col("first").isNull() | (F.col("first.row") == F.col("row"))).alias("keep"),
