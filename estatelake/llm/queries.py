@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, line_dedup, mtree, ngram_jaccard, secrets, sentencepiece, toxicity, urls
+from estatelake.llm import chat, decontamination, line_dedup, mtree, ngram_jaccard, pii, secrets, sentencepiece, toxicity, urls
 from estatelake.llm.common import digest, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,14 @@ def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that equal or resemble an earlier one."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", "emptied", digest(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
+SURROGATE_KEY = b"a key of the operator of the corpus"
+
+
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it."""
+    done = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return done.select("doc_id", *[count(k) for k in ("email", "phone", "ip", "card", "iban", "ssn", "given", "surname")], "text")
