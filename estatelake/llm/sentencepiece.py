@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType, arrow_udf
 
 BLANK = "▁"
-MEMORY_WORDS = 400_000
-MEMORY_PAIRS = 400_000
+MEMORY_WORDS = 200_000
+MEMORY_PAIRS = 250_000
 MEMORY_CHARS = 48
 
 # Kinds of pieces in the model file (fixed values of the format).
@@ -106,7 +107,9 @@ class Encoder:
         self.cuts = not any(BLANK in t.lstrip(BLANK) for t in self.ids)
         self.word = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.pairs: dict[int, bool] = {}
+        # Packed ids of words: those met lately, and those of the time before, which are forgotten next.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging: best score first, ties from the left. Characters without a piece stay."""
@@ -145,7 +148,16 @@ class Encoder:
 
     def backtrack(self, text: str) -> list[int]:
         """The ids of a text whose characters all have pieces."""
-        n, sizes, shorter, pairs, vocabulary = len(text), self.sizes, self.shorter, self.pairs, len(self.sizes)
+        # Mostly the leftmost longest pieces fit together as they stand; then this is the result, as there is only one.
+        vocabulary, last = len(self.sizes), -1
+        greedy = [i for _, (_, i) in self.finder.iter_long(text)]
+        for i in greedy:
+            if not self.compatible(last, i):
+                break
+            last = i
+        else:
+            return greedy
+        n, sizes, shorter, pairs = len(text), self.sizes, self.shorter, self.pairs
         longest = [-1] * n
         for end, (back, i) in self.finder.iter(text):
             longest[end - back] = i  # ends only grow, so the longest stays
@@ -197,23 +209,19 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """The packed ids of a word that is not in memory, from the parts between its safe cuts."""
-        found, start, known = [], 0, self.known
-        for end in [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.together] + [len(word)]:
+        # Letters alone are seldom cut, so they are not looked through.
+        if word.isalpha() or word[1:].isalpha():
+            return array("i", self.part(word)).tobytes()
+        found, start, together = [], 0, self.together
+        for end in [*(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in together), len(word)]:
             part, start = word[start:end], end
-            ids = known.get(part)
+            ids = self.known.get(part)
             if ids is None:
-                ids = np.array(self.part(part), np.int32).tobytes()
-                self._keep(part, ids)
+                ids = array("i", self.part(part)).tobytes()
+                if len(part) <= MEMORY_CHARS:
+                    self.known[part] = ids
             found.append(ids)
-        if len(found) > 1:
-            self._keep(word, ids := b"".join(found))
-        return ids
-
-    def _keep(self, word: str, ids: bytes) -> None:
-        if len(word) <= MEMORY_CHARS:
-            if len(self.known) >= MEMORY_WORDS:
-                self.known.clear()
-            self.known[word] = ids
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as packed 32-bit integers."""
@@ -221,9 +229,17 @@ class Encoder:
             return b""
         escaped = BLANK + text.replace(" ", BLANK)
         words = self.word.findall(escaped) if self.cuts else [escaped]
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = known.get(word) or older.get(word) or self._word(word)
+                if len(word) <= MEMORY_CHARS:
+                    known[word] = ids
+                found[i] = ids
+                if len(known) >= MEMORY_WORDS:
+                    self.known, self.older = known, older = {}, known
         return b"".join(found)
 
 
