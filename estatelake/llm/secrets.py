@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on every long token.
 
 The battery asks of each distinct token of 20 and more characters whether it can be ordinary text of its alphabet. The null
-hypothesis is ordinary text: letters come unevenly, kinds of characters (lower, upper, digit, sign) change rarely, vowels and
+hypothesis is ordinary text: letters come unevenly, kinds of characters (lower, upper, digit) change rarely, vowels and
 consonants alternate. Three tests look for the opposite:
 
 * uniformity: the chi-squared statistic against the uniform alphabet, written as the index of coincidence
@@ -85,18 +85,19 @@ def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
     name, size = F.lit(ENCODINGS[-1][0]), F.lit(ENCODINGS[-1][2])
     for e, look, k in reversed(ENCODINGS[:-1]):
         name, size = F.when(c.rlike(look), e).otherwise(name), F.when(c.rlike(look), k).otherwise(size)
-    kind = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "+/_=-", "sssss")
+    # Signs join words in paths and names, so they stand for no kind of their own.
+    kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[+/_=-]", ""), "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d")
     # A digit 1 is no vowel, so digits go first.
     vowel = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "x"), "(?i)[aeiou]", "1"), "[^1]", "0")
     n = F.length(c).cast("double")
     frame = tokens.withColumns({"encoding": name, "size": size, "__n": n, "__chars": F.split(c, ""), "__kind": kind, "__vowel": vowel})
     counts = F.transform(F.array_distinct("__chars"), lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))).cast("double"))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, o: a + o * o)
-    changes = lambda s: F.size(F.filter(
-        F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(s), i, F.lit(1)) != F.substring(F.col(s), i + 1, F.lit(1))
-    )).cast("double")
+    changes = lambda s: F.when(F.length(s) > 1, F.size(F.filter(
+        F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(F.col(s), i, F.lit(1)) != F.substring(F.col(s), i + 1, F.lit(1))
+    ))).otherwise(0).cast("double")
     frame = frame.withColumns({
-        "__squares": squares, "__changes": changes("__kind"), "__turns": changes("__vowel"),
+        "__squares": squares, "__changes": changes("__kind"), "__turns": changes("__vowel"), "__pairs": F.greatest(F.length("__kind") - 1, F.lit(1)).cast("double"),
         "__ones": F.length(F.replace("__vowel", F.lit("0"), F.lit(""))).cast("double"),
     })
     n, k = F.col("__n"), F.col("size").cast("double")
@@ -110,12 +111,12 @@ def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
     frame = frame.withColumns({
         "chi_squared": k / n * F.col("__squares") - n,
         "z_uniform": (s2 - coincidence) / spread,
-        "z_runs": (F.col("__changes") - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES)),
+        "z_runs": (F.col("__changes") - F.col("__pairs") * TEXT_CHANGES) / F.sqrt(F.col("__pairs") * TEXT_CHANGES * (1 - TEXT_CHANGES)),
         "z_serial": (serial - TEXT_SERIAL) * F.sqrt(n),
     })
     z = (F.col("z_uniform") + F.col("z_runs") + F.least(F.col("z_serial"), F.lit(3.0))) / 3**0.5
     p = F.when(F.col("encoding") == "decimal", 1.0).otherwise(_upper_tail(z))
-    return frame.withColumn("p", p).drop("__n", "__chars", "__kind", "__vowel", "__squares", "__changes", "__turns", "__ones")
+    return frame.withColumn("p", p).drop("__n", "__chars", "__kind", "__vowel", "__squares", "__changes", "__turns", "__ones", "__pairs")
 
 
 def discoveries(tested: DataFrame, rate: float = 0.01, token: str = "token") -> DataFrame:

@@ -106,12 +106,14 @@ def _surprise(t: Column, o: Column, toxic: int, ordinary: int) -> Column:
 def _dictionaries(examples: DataFrame, toxic: int, ordinary: int, terms: int, common: int) -> tuple[bytes, bytes]:
     words = examples.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
     counts = stored(words.groupBy("term").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("o")))
-    used = [r.term for r in counts.orderBy(F.desc("o"), "term").select("term").limit(common).collect()]
+    used = [r.term for r in counts.where("o > 0").orderBy(F.desc("o"), "term").select("term").limit(common).collect()]
     leaning = counts.where(F.col("t") >= 3).where(F.col("t") / toxic > 5 * (F.col("o") + 0.5) / ordinary) if toxic and ordinary else counts.limit(0)
     found = leaning.withColumn("g", _surprise(F.col("t"), F.col("o"), toxic, ordinary)).orderBy(F.desc("g"), "term").select("term", "g").limit(terms).collect()
     least = max(15.0, 0.04 * found[0].g) if found else 0.0
-    ordinary_words = (" " + " ".join(used) + " ").encode()
-    return ordinary_words, (" " + " ".join(r.term for r in found if r.g >= least) + " ").encode() + ordinary_words
+    marked = [r.term for r in found if r.g >= least]
+    lean = set(marked)
+    ordinary_words = (" " + " ".join(w for w in used if w not in lean) + " ").encode()
+    return ordinary_words, (" " + " ".join(marked) + " ").encode() + ordinary_words
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
