@@ -38,7 +38,6 @@ PREFECTURES_JA = (
 
 # --- fixed values: crawl plan ---
 PAGE_SIZES = {"rental": 50, "sale": 100}
-MAX_PAGES_PER_SECTION = 5000
 CAUGHT_UP_PAGES = 2
 # URL of one list page per search; {site} is the listing site's origin, which the caller supplies.
 PAGE_URLS = {

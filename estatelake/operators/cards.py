@@ -443,8 +443,13 @@ def _cell_text(nodes: Column, cell: Column) -> Column:
 
 
 def _next_element(nodes: Column, node: Column) -> Column:
-    """The next sibling element: the first entry behind the element, past one text, if it has the same parent."""
-    rest = F.slice(nodes, node["pos"] - F.get(nodes, F.lit(0))["pos"] + node["size"] + 2, F.lit(2))
+    """The next sibling element, past any texts and comments: the first entry behind the element that has the same parent and
+    is no text. Only the rest of the parent is looked through."""
+    start = F.get(nodes, F.lit(0))["pos"]
+    parent = F.get(nodes, node["parent"] - start)
+    end = F.coalesce(parent["pos"] + parent["size"], start + F.size(nodes) - 1)
+    behind = node["pos"] + node["size"]
+    rest = F.slice(nodes, behind - start + 2, F.greatest(end - behind, F.lit(0)))
     ahead = F.filter(rest, lambda n: (n["parent"] == node["parent"]) & (n["tag"] != "#text"))
     return F.get(ahead, F.lit(0))
 

@@ -13,7 +13,7 @@ from estatelake.fixed_values import (
 )
 from estatelake.functions.replies import parse_choice
 from estatelake.functions.text import filled, nfkc
-from estatelake.functions.transit import bare_name, bigrams, transit_kind
+from estatelake.functions.transit import bare_name, bigrams, fallback_kind, transit_kind
 
 
 def _tokens(c: Column, own: str, other: str) -> Column:
@@ -157,14 +157,24 @@ def read_decisions(replies: DataFrame, candidates: DataFrame, canonical: DataFra
 
 def propose(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     """One proposal per line: old and new kind and canonical line, whether a bus label loses its translated name, and
-    whether anything changes at all."""
-    a, b = lines.alias("a"), decisions.alias("b")
-    same = (F.col("a.name") == F.col("b.name")) & F.col("a.region").eqNullSafe(F.col("b.region"))
-    clear = (F.col("b.kind") == "bus") & F.col("a.translated_name").isNotNull()
+    whether anything changes at all. A line that no decision names keeps its canonical line and takes the kind its name
+    suggests, or keeps its own kind where the name suggests none."""
+    said = decisions.withColumn("_said", F.lit(True)).alias("d")
+    same = (F.col("a.name") == F.col("d.name")) & F.col("a.region").eqNullSafe(F.col("d.region"))
+    guess = fallback_kind(nfkc(F.col("a.name")))
+    kept = F.when(guess == "unknown", F.coalesce("a.kind", guess)).otherwise(guess)
+    answered = lambda new, old: F.when(F.col("d._said"), F.col(f"d.{new}")).otherwise(old).alias(new)
+    met = lines.alias("a").join(said, same, "left").select(
+        F.struct("a.*").alias("a"), F.struct(
+            answered("kind", kept), answered("canonical_id", F.col("a.canonical_id")),
+            answered("canonical_name", F.col("a.canonical_name") if "canonical_name" in lines.columns else F.lit(None)),
+        ).alias("b"),
+    )
+    clear = F.coalesce(F.col("b.kind") == "bus", F.lit(False)) & F.col("a.translated_name").isNotNull()
     changed = (
         ~F.col("a.kind").eqNullSafe(F.col("b.kind")) | ~F.col("a.canonical_id").eqNullSafe(F.col("b.canonical_id")) | clear
     )
-    return a.join(b, same).select(
+    return met.select(
         "a.id", "a.name", "a.region",
         F.col("a.kind").alias("old_kind"), F.col("b.kind").alias("new_kind"),
         F.col("a.canonical_id").alias("old_canonical_id"), F.col("b.canonical_id").alias("new_canonical_id"),

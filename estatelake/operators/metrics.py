@@ -23,8 +23,12 @@ def observed(classified: DataFrame, observation: Observation) -> DataFrame:
 
 
 def page_metrics(classified: DataFrame, keys: list[str] = ["section_key", "page"]) -> DataFrame:
-    """Items per page by status. Rows of buildings without a key have no status but count as items."""
-    return classified.groupBy(*keys).agg(*_status_counts())
+    """Items per page by status. Rows of buildings without a key have no status but count as items; a row whose ``item`` is
+    false stands for a page without items."""
+    counts = _status_counts()
+    if "item" in classified.columns:
+        counts[0] = F.count_if("item").alias("items")
+    return classified.groupBy(*keys).agg(*counts)
 
 
 def ingest_metrics(classified: DataFrame, section: str = "section_key", page: str = "page") -> DataFrame:

@@ -27,9 +27,12 @@ def with_previous(
     carried = tails.select(
         *keys, "_slice", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_slice")).alias("_carried")
     )
-    joined = rows.join(carried, [*keys, "_slice"], "left")
-    return joined.select(
-        *df.columns, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")).alias(name)
+    same = F.lit(True)
+    for c in [*keys, "_slice"]:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return rows.alias("r").join(carried.alias("t"), same, "left").select(
+        *[F.col(f"r.{c}").alias(c) for c in df.columns],
+        F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")).alias(name),
     )
 
 
@@ -47,8 +50,13 @@ def numbered(
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    return rows.join(offsets, [*keys, "_bucket"]).select(
-        *df.columns, (F.col("_offset") + inside).cast("long").alias(name)
+    # Null keys and buckets are keys and buckets like any other, so their rows are numbered too.
+    same = F.lit(True)
+    for c in [*keys, "_bucket"]:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
+    ranked = rows.withColumn("_inside", inside)
+    return ranked.alias("r").join(offsets.alias("o"), same).select(
+        *[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("_offset") + F.col("_inside")).cast("long").alias(name)
     )
 
 

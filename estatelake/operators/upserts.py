@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from estatelake.functions.text import filled, name_key
 from estatelake.functions.urls import without_query
 from estatelake.operators.filters import keyed_buildings, legacy_buildings
-from estatelake.operators.ordered import latest_per_key, with_new_ids
+from estatelake.operators.ordered import with_new_ids, with_previous
 from estatelake.session import settled
 
 
@@ -21,16 +21,47 @@ from estatelake.session import settled
 class Upsert:
     """``snapshot`` is the table after the batch, ``history`` the rows to append to its change log, and ``classified``
     one row per batch key with the status it counts as (``metric_status``) and the write it caused
-    (``write_status``)."""
+    (``write_status``). ``sightings`` has the status of every row of the batch (key, ordinal, metric_status)."""
 
     snapshot: DataFrame
     history: DataFrame | None
     classified: DataFrame
+    sightings: DataFrame
 
 
-def last_of_batch(batch: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
-    """One row per key: a key met twice in a batch counts as it was met last."""
-    return latest_per_key(batch, [key], [F.desc(ordinal)])
+def _sighted(snapshot: DataFrame, batch: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Every row of the batch with ``_before``: the values of the row of its key before it, the stored ones for the first row,
+    null for the first row of a new key. Rows count in the order of ``ordinal`` where the batch has one.
+
+    A key met very often is cut into slices of its ordinals, so it does not fill one task.
+    """
+    if "ordinal" not in batch.columns:
+        batch = batch.withColumn("ordinal", F.lit(0))
+    kind = batch.schema["ordinal"].dataType
+    if hasattr(kind, "names"):
+        slices = F.col(f"ordinal.{kind.names[0]}")
+    else:
+        slices = F.floor(F.col("ordinal") / 1024)
+    rows = with_previous(batch, [key], ["ordinal"], values, slices, "_previous")
+    stored = snapshot.select(F.col(key).alias("_stored_key"), F.struct(*values).alias("_stored"))
+    joined = rows.join(stored, F.col(key) == F.col("_stored_key"), "left")
+    return settled(joined.withColumn("_before", F.coalesce("_previous", "_stored")).drop("_previous", "_stored_key", "_stored"))
+
+
+def _changed(values: list[str]) -> Column:
+    """Whether a sighted row differs from what was known before it. Texts may be missing or empty alike."""
+    differs = F.lit(False)
+    for c in values:
+        differs = differs | _differs(f"_before.{c}", c, text=c.endswith("_text"))
+    return F.col("_before").isNotNull() & differs
+
+
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key, as it was met last, with ``_moved``: whether any of its rows changed an amount."""
+    own = [c for c in rows.columns if c not in ("_before", "_step", "_status")]
+    return rows.groupBy(F.col(key).alias("_k")).agg(
+        F.max_by(F.struct(*own), F.col("ordinal")).alias("_row"), F.bool_or("_step").alias("_moved")
+    ).select("_row.*", "_moved")
 
 
 def repeated_keys(batch: DataFrame, key: str) -> DataFrame:
@@ -73,11 +104,16 @@ def upsert_listings(snapshot: DataFrame, batch: DataFrame, as_of: Column, baseli
 
     A new listing is inserted without a history row (``baseline`` adds one). A changed price or price text updates the
     price and place columns, the type and ``last_updated``, and logs the new price. A changed section or place alone
-    updates those columns and leaves ``last_updated``. Empty and missing price texts are the same text.
+    updates those columns and leaves ``last_updated``. Empty and missing price texts are the same text. A key met several
+    times in a batch is stored as it was met last, and every change of price between its rows is logged.
     """
-    coming = last_of_batch(batch, "source_id") if "ordinal" in batch.columns else batch
+    met = _sighted(snapshot, batch, "source_id", ["price", "price_text", "region", "province"])
+    step, moved_place = _changed(["price", "price_text"]), _changed(["region", "province"])
+    status = F.when(F.col("_before").isNull(), "new").when(step | moved_place, "updated").otherwise("unchanged")
+    met = met.withColumns({"_step": step, "_status": status})
+    coming = _last(met, "source_id")
     both = _sides(snapshot, coming, "source_id")
-    price = _differs("s.price", "b.price") | _differs("s.price_text", "b.price_text", text=True)
+    price = F.col("b._moved")
     place = _differs("s.region", "b.region") | _differs("s.province", "b.province")
     section = _differs("s.section_type", "b.section_type")
     known = F.col("s").isNotNull() & F.col("b").isNotNull()
@@ -107,15 +143,14 @@ def upsert_listings(snapshot: DataFrame, batch: DataFrame, as_of: Column, baseli
     kept = rows.where(F.col("s").isNotNull()).select(*[updated(c) for c in snapshot.columns])
     inserted = with_new_ids(
         rows.where(F.col("_write") == "insert").select(
-            *_insert(snapshot.columns, coming.columns, as_of, ("last_updated",))
+            *_insert(snapshot.columns, batch.columns, as_of, ("last_updated",))
         ),
         snapshot,
         "source_id",
     )
     after = kept.unionByName(_cast_like(inserted, snapshot))
-    moved = rows.where(F.col("_write") == "price").select(
-        F.col("s.id").alias("property_id"), F.col("b.price").alias("price"),
-        filled(F.col("b.price_text")).alias("price_text"), as_of.alias("recorded_at"),
+    moved = met.where("_step").join(after.select(F.col("id").alias("property_id"), "source_id"), "source_id").select(
+        "property_id", "price", filled(F.col("price_text")).alias("price_text"), as_of.alias("recorded_at")
     )
     if baseline:
         moved = moved.unionByName(
@@ -127,7 +162,7 @@ def upsert_listings(snapshot: DataFrame, batch: DataFrame, as_of: Column, baseli
     classified = rows.where(F.col("b").isNotNull()).select(
         F.col("_key").alias("source_id"), metric.alias("metric_status"), F.col("_write").alias("write_status")
     )
-    return Upsert(after, moved, classified)
+    return Upsert(after, moved, classified, met.select("source_id", "ordinal", F.col("_status").alias("metric_status")))
 
 
 def first_seen_buildings(units: DataFrame, order: list[str]) -> DataFrame:
@@ -194,13 +229,18 @@ def upsert_buildings(snapshot: DataFrame, seen: DataFrame, as_of: Column) -> Dat
 
 def upsert_units(snapshot: DataFrame, batch: DataFrame, buildings: DataFrame, as_of: Column) -> Upsert:
     """Rental units by ``source_id``. A new unit is inserted with a first history row; a changed rent updates the rent
-    and fee columns and is logged; a changed fee alone is not a change. A unit stays with its building."""
+    and fee columns and is logged; a changed fee alone is not a change. A unit stays with its building. A unit met several
+    times in a batch is stored as it was met last, and every change of rent between its rows is logged."""
     named = keyed_buildings(batch)
-    coming = last_of_batch(named, "source_id") if "ordinal" in named.columns else named
-    amounts = [c for c in ("rent", "rent_text", "management_fee", "management_fee_text") if c in coming.columns]
+    met = _sighted(snapshot, named, "source_id", ["rent"])
+    step = _changed(["rent"])
+    status = F.when(F.col("_before").isNull(), "new").when(step, "updated").otherwise("unchanged")
+    met = met.withColumns({"_step": step, "_status": status})
+    coming = _last(met, "source_id")
+    amounts = [c for c in ("rent", "rent_text", "management_fee", "management_fee_text") if c in named.columns]
     texts = [c for c in amounts if c.endswith("_text")]
     both = _sides(snapshot, coming, "source_id")
-    moved = F.col("s").isNotNull() & F.col("b").isNotNull() & _differs("s.rent", "b.rent")
+    moved = F.col("s").isNotNull() & F.col("b").isNotNull() & F.col("b._moved")
     write = (
         F.when(F.col("b").isNull(), "absent").when(F.col("s").isNull(), "insert").when(moved, "price").otherwise("keep")
     )
@@ -217,25 +257,23 @@ def upsert_units(snapshot: DataFrame, batch: DataFrame, buildings: DataFrame, as
     kept = rows.where(F.col("s").isNotNull()).select(*[updated(c) for c in snapshot.columns])
     fresh = rows.where(F.col("_write") == "insert").select(
         *_insert(
-            [x for x in snapshot.columns if x != "building_id"], coming.columns, as_of, ("insert_date", "last_updated")
+            [x for x in snapshot.columns if x != "building_id"], named.columns, as_of, ("insert_date", "last_updated")
         ),
         F.col("b.building_key").alias("building_key"),
     )
     owners = buildings.select(F.col("id").alias("building_id"), F.col("source_id").alias("building_key"))
     inserted = with_new_ids(fresh.join(owners, "building_key", "left").drop("building_key"), snapshot, "source_id")
     after = kept.unionByName(_cast_like(inserted, snapshot))
-    log = rows.where(F.col("_write") == "price").select(
-        F.col("s.id").alias("rental_unit_id"), *[amount(c).alias(c) for c in amounts], as_of.alias("recorded_at")
-    )
-    first = inserted.select(
-        F.col("id").alias("rental_unit_id"), *[filled(F.col(c)).alias(c) if c in texts else F.col(c) for c in amounts],
-        as_of.alias("recorded_at"),
-    )
+    # A new unit's first row and every changed one.
+    said = [filled(F.col(c)).alias(c) if c in texts else F.col(c) for c in amounts]
+    log = met.where(F.col("_step") | F.col("_before").isNull()).join(
+        after.select(F.col("id").alias("rental_unit_id"), "source_id"), "source_id"
+    ).select("rental_unit_id", *said, as_of.alias("recorded_at"))
     metric = F.when(F.col("s").isNull(), "new").when(moved, "updated").otherwise("unchanged")
     classified = rows.where(F.col("b").isNotNull()).select(
         F.col("_key").alias("source_id"), metric.alias("metric_status"), F.col("_write").alias("write_status")
     )
-    return Upsert(after, log.unionByName(first), classified)
+    return Upsert(after, log, classified, met.select("source_id", "ordinal", F.col("_status").alias("metric_status")))
 
 
 @dataclass
@@ -284,7 +322,12 @@ def upsert_transit(
     new_lines = settled(new_lines)
     lines = known_lines.unionByName(new_lines.select(*known_lines.columns))
 
-    placed = keyed.join(lines.select("line_key", F.col("id").alias("train_line_id")), "line_key")
+    # Stored lines may share a key (they await a merge): the one of the very name, else the lowest id.
+    by_key = lines.groupBy("line_key").agg(F.min("id").alias("_by_key"))
+    by_name = lines.groupBy(F.col("name").alias("line")).agg(F.min("id").alias("_by_name"))
+    placed = keyed.join(by_key, "line_key").join(by_name, "line", "left").withColumn(
+        "train_line_id", F.coalesce("_by_name", "_by_key")
+    ).drop("_by_name", "_by_key")
     known_stations = station.withColumn("station_key", name_key(F.col("name")))
     wanted = placed.groupBy("train_line_id", "station_key").agg(
         F.min_by("station", F.struct("_first.ordinal", "station")).alias("name")
@@ -296,9 +339,11 @@ def upsert_transit(
     new_stations = settled(with_new_ids(new_stations, station, "_both"))
     stations = known_stations.unionByName(new_stations.select(*known_stations.columns))
 
-    at = placed.join(
-        stations.select("train_line_id", "station_key", F.col("id").alias("station_id")), ["train_line_id", "station_key"]
-    )
+    station_by_key = stations.groupBy("train_line_id", "station_key").agg(F.min("id").alias("_by_key"))
+    station_by_name = stations.groupBy("train_line_id", F.col("name").alias("station")).agg(F.min("id").alias("_by_name"))
+    at = placed.join(station_by_key, ["train_line_id", "station_key"]).join(
+        station_by_name, ["train_line_id", "station"], "left"
+    ).withColumn("station_id", F.coalesce("_by_name", "_by_key"))
     coming = at.groupBy("building_id", "station_id").agg(F.max_by("walking_minutes", "ordinal").alias("_minutes"))
     both = link.join(coming, ["building_id", "station_id"], "full_outer")
     seen = F.col("_minutes").isNotNull()

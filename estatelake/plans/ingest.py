@@ -17,7 +17,9 @@ from estatelake.sources.dims import listing_types
 
 @dataclass
 class Ingest:
-    """Next tables and history rows by name, and every batch key with the status it counts as."""
+    """Next tables and history rows by name, and every row of the pages with the status it counts as: a listing met again on
+    a later page compares with what the page before said; rows of buildings without a key have no status but are items; a
+    page without items has one row that is no item."""
 
     tables: dict[str, DataFrame]
     logs: dict[str, DataFrame]
@@ -35,6 +37,21 @@ def with_section(pages: DataFrame) -> DataFrame:
     ).withColumn("section_key", F.concat_ws("-", "region", "province", "section_type"))
 
 
+def _on_pages(pages: DataFrame, met: DataFrame, sightings: DataFrame) -> DataFrame:
+    """(source_id, section_key, page, item, metric_status) of every row met, and a row for each page that holds none."""
+    status = sightings.where(F.col("source_id").isNotNull())
+    rows = met.select("source_id", "section_key", "page", "page_id", "ordinal").join(status, ["source_id", "ordinal"], "left")
+    listed = with_section(pages).select("page_id", "section_key", "page")
+    items = rows.select("page_id", "section_key", "page", "source_id", F.lit(True).alias("item"), "metric_status")
+    same = F.lit(True)
+    for c in ("page_id", "section_key", "page"):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"i.{c}"))
+    joined = listed.alias("l").join(items.alias("i"), same, "left").select("l.*", "source_id", "item", "metric_status")
+    return joined.select(
+        "source_id", "section_key", "page", F.coalesce("item", F.lit(False)).alias("item"), "metric_status"
+    )
+
+
 _KEEP = ["page_id", "html", "section_type", "region", "province", "page", "section_key"]
 
 
@@ -56,7 +73,8 @@ def ingest_sales(listing: DataFrame, sale: DataFrame, project: DataFrame, origin
     met = settled(read_sale_pages(sale, project, origin).withColumn("insert_date", F.to_date(as_of)))
     batch = met.select(*[c for c in listing.columns if c in met.columns], "ordinal")
     done = upserts.upsert_listings(listing, batch, as_of)
-    classified = met.select("source_id", "section_key", "page").distinct().join(done.classified, "source_id")
+    pages = sale.select("page_id", "url").unionByName(project.select("page_id", "url"))
+    classified = _on_pages(pages, met, done.sightings)
     return Ingest({"listing": done.snapshot}, {"price_history": done.history}, classified)
 
 
@@ -81,7 +99,7 @@ def ingest_rentals(tables: dict[str, DataFrame], pages: DataFrame, origin: str,
         )
     )
     transit = upserts.upsert_transit(stops, tables["train_line"], tables["station"], tables["building_station"], as_of)
-    classified = met.select("source_id", "section_key", "page").distinct().join(done.classified, "source_id")
+    classified = _on_pages(pages.select("page_id", "url"), met, done.sightings)
     return Ingest(
         {
             "building": building, "rental_unit": done.snapshot, "train_line": transit.line, "station": transit.station,

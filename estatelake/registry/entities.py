@@ -127,12 +127,21 @@ def _proposals(t: Tables):
 _CHOSEN = """SELECT name, region, CASE WHEN contains(name, 'ring') THEN 'bus' WHEN contains(name, 'gear') THEN 'unknown'
     ELSE 'subway' END AS kind, CASE WHEN NOT contains(name, 'ring') AND NOT contains(name, 'gear') AND NOT contains(name, 'bolt')
     THEN ekidata_id END AS canonical_id FROM ranked WHERE rank = CASE WHEN length(name) % 2 = 0 THEN 1 ELSE 2 END"""
-_PROPOSED = """SELECT l.id, l.name, l.region, l.kind AS old_kind, d.kind AS new_kind, l.canonical_id AS old_canonical_id,
-    d.canonical_id AS new_canonical_id, c.romaji AS new_canonical_name, l.translated_name AS old_translated_name,
-    d.kind = 'bus' AND l.translated_name IS NOT NULL AS clear_bus_name, l.kind <> d.kind OR
-    l.canonical_id IS DISTINCT FROM d.canonical_id OR (d.kind = 'bus' AND l.translated_name IS NOT NULL) AS changed
-    FROM lines l JOIN chosen d ON l.name = d.name AND l.region = d.region LEFT JOIN canon c ON c.id = d.canonical_id"""
-_RESOLVED = dict(_MATCHED, chosen=_CHOSEN, proposed=_PROPOSED)
+# A line without a reply keeps its canonical line and, as no name here is a bus name, its kind.
+_PROPOSED = """SELECT *, new_kind = 'bus' AND old_translated_name IS NOT NULL AS clear_bus_name, old_kind IS DISTINCT FROM new_kind OR
+    old_canonical_id IS DISTINCT FROM new_canonical_id OR (new_kind = 'bus' AND old_translated_name IS NOT NULL) AS changed
+    FROM (SELECT l.id, l.name, l.region, l.kind AS old_kind, CASE WHEN d.name IS NULL THEN coalesce(l.kind, 'unknown') ELSE d.kind END AS new_kind,
+    l.canonical_id AS old_canonical_id, CASE WHEN d.name IS NULL THEN l.canonical_id ELSE d.canonical_id END AS new_canonical_id,
+    CASE WHEN d.name IS NOT NULL THEN c.romaji END AS new_canonical_name, l.translated_name AS old_translated_name
+    FROM lines l LEFT JOIN {chosen} d ON l.name = d.name AND l.region = d.region LEFT JOIN canon c ON c.id = d.canonical_id)"""
+_ANSWERED = "(SELECT * FROM chosen WHERE length(name) % 3 > 0)"
+_RESOLVED = dict(_MATCHED, chosen=_CHOSEN, proposed=_PROPOSED.format(chosen="chosen"))
+
+
+@query(with_views("", "SELECT * FROM proposed", **dict(_MATCHED, chosen=_CHOSEN, proposed=_PROPOSED.format(chosen=_ANSWERED))))
+def proposals_without_reply(t: Tables):
+    """Proposals where the decider answered for two names in three."""
+    return lines.propose(line_rows(t), _decisions(t).where(F.length("name") % 3 > 0))
 
 
 @query(with_views("", "SELECT * FROM proposed", **_RESOLVED))

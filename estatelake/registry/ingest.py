@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estatelake.operators import counts, listings, metrics, upserts
+from estatelake.operators.listings import with_children
 from estatelake.operators.ordered import latest_per_key
 from estatelake.registry import query
 from estatelake.registry.tables import Tables, with_views
 from estatelake.sources import pages as page_source
+from estatelake.sources.tables import conform
 
 CUT = "2024-01-08 00:00:00"
 AS_OF = "2024-02-01 00:00:00"
@@ -44,13 +46,20 @@ _BOTH = """SELECT coalesce(s.source_id, b.source_id) AS source_id, s.id, s.ts, s
     b.section_type AS b_section, s.price AS s_price, b.price AS b_price, s.price_text AS s_text, b.price_text AS b_text,
     s.region AS s_region, b.region AS b_region, s.province AS s_province, b.province AS b_province,
     s.source_id IS NULL AS is_new, b.source_id IS NULL AS is_absent,
-    s.price IS DISTINCT FROM b.price OR coalesce(s.price_text, '') <> coalesce(b.price_text, '') AS priced,
+    coalesce(m.priced, FALSE) AS priced, coalesce(m.rent_moved, FALSE) AS rent_moved,
     s.region IS DISTINCT FROM b.region OR s.province IS DISTINCT FROM b.province AS placed
-    FROM stored s FULL OUTER JOIN batch b ON s.source_id = b.source_id"""
+    FROM stored s FULL OUTER JOIN batch b ON s.source_id = b.source_id LEFT JOIN moved m ON m.source_id = b.source_id"""
+# The stored row of each key followed by all its rows of the batch, each with what was known before it.
+_STEPS = f"""SELECT *, known AND n >= 0 AND price IS DISTINCT FROM p_price AS rent_moved, known AND n >= 0 AND
+    (price IS DISTINCT FROM p_price OR coalesce(price_text, '') <> coalesce(p_text, '')) AS priced FROM (SELECT *, lag(n) OVER w IS NOT NULL
+    AS known, lag(price) OVER w AS p_price, lag(price_text) OVER w AS p_text FROM (SELECT source_id, id, price, price_text, -1 AS n FROM stored
+    UNION ALL SELECT o.source_id, s.id, o.price, o.price_text, o.event_id FROM observation o LEFT JOIN stored s ON s.source_id = o.source_id
+    WHERE o.ts >= TIMESTAMP '{CUT}') WINDOW w AS (PARTITION BY source_id ORDER BY n))"""
+_MOVED = "SELECT source_id, bool_or(priced) AS priced, bool_or(rent_moved) AS rent_moved FROM steps GROUP BY source_id"
 
 
 def _upsert_sql(body: str) -> str:
-    return with_views("observation", body, stored=_STORED, batch=_BATCH, pairs=_BOTH)
+    return with_views("observation", body, stored=_STORED, batch=_BATCH, steps=_STEPS, moved=_MOVED, pairs=_BOTH)
 
 
 def _listings(t: Tables):
@@ -67,10 +76,20 @@ def upsert_snapshot(t: Tables):
     return _listings(t).snapshot.drop("id")
 
 
-@query(_upsert_sql(f"""SELECT id AS property_id, b_price AS price, nullif(b_text, '') AS price_text,
-    TIMESTAMP '{AS_OF}' AS recorded_at FROM pairs WHERE NOT is_new AND NOT is_absent AND priced"""))
+@query(_upsert_sql(f"""SELECT id AS property_id, price, nullif(price_text, '') AS price_text,
+    TIMESTAMP '{AS_OF}' AS recorded_at FROM steps WHERE id IS NOT NULL AND priced"""))
 def upsert_history(t: Tables):
-    return _listings(t).history
+    """Changes of the listings that were stored before."""
+    top = stored_listings(t).agg(F.max("id")).scalar()
+    return _listings(t).history.where(F.col("property_id") <= top)
+
+
+@query(_upsert_sql("SELECT source_id, price, nullif(price_text, '') AS price_text FROM steps WHERE priced"))
+def upsert_all_steps(t: Tables):
+    """Every change within the batch, of new listings too."""
+    done = _listings(t)
+    keys = done.snapshot.select(F.col("id").alias("property_id"), "source_id")
+    return done.history.join(keys, "property_id").select("source_id", "price", "price_text")
 
 
 @query(_upsert_sql("""SELECT source_id, CASE WHEN is_new THEN 'new' WHEN priced OR placed THEN 'updated'
@@ -121,16 +140,16 @@ def _units(t: Tables):
 
 
 @query(_upsert_sql(f"""SELECT source_id, CASE WHEN is_new THEN ascii(b_region) ELSE id END AS building_id,
-    CASE WHEN is_new OR (NOT is_absent AND s_price <> b_price) THEN b_price ELSE s_price END AS rent,
-    CASE WHEN is_new THEN b_text WHEN NOT is_absent AND s_price <> b_price THEN nullif(b_text, '') ELSE s_text END AS rent_text,
-    CASE WHEN is_new OR (NOT is_absent AND s_price <> b_price) THEN TIMESTAMP '{AS_OF}' ELSE ts END AS last_updated
+    CASE WHEN is_new OR rent_moved THEN b_price ELSE s_price END AS rent,
+    CASE WHEN is_new THEN b_text WHEN rent_moved THEN nullif(b_text, '') ELSE s_text END AS rent_text,
+    CASE WHEN is_new OR rent_moved THEN TIMESTAMP '{AS_OF}' ELSE ts END AS last_updated
     FROM pairs"""))
 def unit_upsert_snapshot(t: Tables):
     return _units(t).snapshot.drop("id")
 
 
-@query(_upsert_sql("""SELECT count(*) AS rows, count(*) FILTER (is_new) AS first_rows, CAST(sum(b_price) AS BIGINT) AS rents,
-    count(nullif(b_text, '')) AS texts FROM pairs WHERE is_new OR (NOT is_absent AND s_price <> b_price)"""))
+@query(_upsert_sql("""SELECT count(*) AS rows, count(*) FILTER (id IS NULL) AS first_rows, CAST(sum(price) AS BIGINT) AS rents,
+    count(nullif(price_text, '')) AS texts FROM steps WHERE n >= 0 AND (NOT known OR rent_moved)"""))
 def unit_upsert_history(t: Tables):
     top = _stored_units(t).agg(F.max("id")).scalar()
     return _units(t).history.agg(
@@ -139,7 +158,7 @@ def unit_upsert_history(t: Tables):
     )
 
 
-@query(_upsert_sql("""SELECT source_id, CASE WHEN is_new THEN 'new' WHEN s_price <> b_price THEN 'updated'
+@query(_upsert_sql("""SELECT source_id, CASE WHEN is_new THEN 'new' WHEN rent_moved THEN 'updated'
     ELSE 'unchanged' END AS metric_status FROM pairs WHERE NOT is_absent"""))
 def unit_upsert_classified(t: Tables):
     return _units(t).classified.select("source_id", "metric_status")
@@ -299,7 +318,7 @@ _PAGED = """SELECT CASE WHEN is_new THEN 'new' WHEN priced OR placed THEN 'updat
 @query(with_views("observation", """SELECT section_key, page, count(*) AS items,
     count(*) FILTER (metric_status = 'new') AS new_items, count(*) FILTER (metric_status = 'updated') AS updated_items,
     count(*) FILTER (metric_status = 'unchanged') AS unchanged_items, count(DISTINCT section_key || page) AS pages
-    FROM paged GROUP BY ROLLUP (section_key, page)""", stored=_STORED, batch=_BATCH, pairs=_BOTH, paged=_PAGED))
+    FROM paged GROUP BY ROLLUP (section_key, page)""", stored=_STORED, batch=_BATCH, steps=_STEPS, moved=_MOVED, pairs=_BOTH, paged=_PAGED))
 def ingest_metrics(t: Tables):
     return metrics.ingest_metrics(_paged(t))
 
@@ -384,7 +403,7 @@ _SECTIONS = """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN '040' WHEN '2-HI
     || '&po=1&pj=2&popj=12&pc=100&page=' || p
     ELSE 'https://listings.example/jj/bukken/ichiran/JJ012FC001/?ar=099&bs=021&ta=' || province || '&pn=' || p ||
     '&ekTjCd=&ekTjNm=&kb=1&kj=9&km=1&kt=9999999&tb=0&tj=0&tt=9999999&po=1&pj=2&pc=100' END AS url
-    FROM (SELECT *, CAST(least(5000, greatest(scraped_pages, ceil(total_items / CASE type WHEN '040' THEN 50.0 ELSE 100.0 END), 1))
+    FROM (SELECT *, CAST(greatest(scraped_pages, ceil(total_items / CASE type WHEN '040' THEN 50.0 ELSE 100.0 END), 1)
     AS INTEGER) AS total_pages FROM sections), unnest(generate_series(1, total_pages)) AS u(p)""", sections=_SECTIONS))
 def page_plan(t: Tables):
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "040").when(F.col("o_orderpriority") == "2-HIGH", "010").otherwise("021")
@@ -393,3 +412,33 @@ def page_plan(t: Tables):
     ).agg((F.count("*") * 37).cast("int").alias("total_items"), F.max(F.month("o_orderdate")).alias("scraped_pages"))
     plan = page_source.page_plan(sections.withColumn("region", F.lit("099")), "https://listings.example")
     return plan.select("type", "province", "page", "total_pages", "url")
+
+
+# --- odd input -------------------------------------------------------------------------------------------------------
+
+
+@query(with_views("listing", """SELECT l.id, e.event_id, row_number() OVER (PARTITION BY l.id ORDER BY CASE WHEN e.value < 20 THEN NULL
+    ELSE e.ts END NULLS FIRST, e.event_id) AS child_no FROM listing l JOIN events e ON l.id = e.user_id"""))
+def children_without_time(t: Tables):
+    """Events as children of listings; the cheap ones have no time and come first."""
+    time = F.when(F.col("value") >= 20, F.col("ts"))
+    child = t.raw("events").select(F.col("user_id").alias("listing_id"), "event_id", time.alias("at"))
+    rows = with_children(t.listing.select("id"), child, "id", [F.asc("at"), F.asc("event_id")], F.to_date("at"), "listing_id")
+    return rows.where(F.col("child_no").isNotNull()).select("id", "event_id", "child_no")
+
+
+@query("""WITH line AS (SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT n_nationkey + 100, lower(n_name) FROM nation),
+    stop AS (SELECT o_orderkey, n_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+    SELECT o_orderkey AS building_id, (SELECT min(id) FROM line WHERE name = n_name) AS train_line_id, c_mktsegment AS station FROM stop""")
+def transit_equal_keys(t: Tables):
+    """Stops of lines that are stored twice, in capitals and in small letters: the line of the very name gets them, once."""
+    names = t.raw("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    stored = conform(names.unionByName(names.select(F.col("id") + 100, F.lower("name")).toDF("id", "name")), "train_line")
+    stops = t.raw("orders").join(t.places, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("building_id"), F.col("n_name").alias("line"), F.col("c_mktsegment").alias("station"),
+        F.lit(5).alias("walking_minutes"), "region", F.col("o_orderkey").alias("ordinal"),
+    )
+    none = lambda name: conform(t.spark.createDataFrame([], "id long"), name)
+    done = upserts.upsert_transit(stops, stored, none("station"), none("building_station"), _as_of())
+    named = done.station.select(F.col("id").alias("station_id"), F.col("name").alias("station"), "train_line_id")
+    return done.link.join(named, "station_id").select("building_id", F.col("train_line_id"), "station")

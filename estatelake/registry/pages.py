@@ -270,3 +270,13 @@ def detail_photos(t: Tables):
     UNION ALL SELECT c_custkey * 2, '構造' FROM customer WHERE c_acctbal > 0 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
 def extra_facts(t: Tables):
     return filters.extra_facts(cards.resolve_details(_detail_pages(t), _PHOTOS)[0]).select("page_id", "label")
+
+
+@query("""SELECT c_custkey AS page_id, CAST(n AS INTEGER) AS sort_order, label, value FROM customer, LATERAL (VALUES (0, '名前', c_name),
+    (1, '番号', CAST(c_custkey AS VARCHAR))) v(n, label, value)""")
+def detail_facts_with_comments(t: Tables):
+    """Cells that follow their label behind several comments and texts."""
+    row = lambda label, value: _join('<tr><th class="x thSideLGray"><div class="fl">', label, "</div></th>\n<!-- a -->\n<!-- b --> - <!-- c --><td>", value, "</td></tr>")
+    page = _page(_join("<table>", row("名前", F.col("c_name")), row("番号", F.col("c_custkey")), "</table>"))
+    made = t.spread("customer", "c_custkey").select(F.col("c_custkey").alias("page_id"), F.lit(SITE + "/detail/").alias("url"), page.alias("html"))
+    return cards.extract_detail_facts(made)

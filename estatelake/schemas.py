@@ -6,6 +6,8 @@ _STOPS = "array<struct<line:string,station:string,walking_minutes:int>>"
 
 TABLES = {
     "page": "page_id long, url string, kind string, html string",
+    "page_reject": "page_id long, url string, kind string, html string",
+    "ingest_commit": "query_id string, batch_id long, version long",
     "listing": (
         "id long, source_id string, js_id string, region string, province string, section_type string, "
         "property_type string, price long, price_text string, area double, land_area double, land_area_text string, "

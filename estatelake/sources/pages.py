@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelake.fixed_values import (
-    MAX_PAGES_PER_SECTION, NEW_APARTMENT_TYPE, PAGE_SIZES, PAGE_URLS, RENTAL_TYPE,
+    NEW_APARTMENT_TYPE, PAGE_SIZES, PAGE_URLS, RENTAL_TYPE,
 )
 from estatelake.sources.dims import listing_types, prefectures
 
@@ -47,16 +47,18 @@ def default_section_plan(spark: SparkSession, **only: str) -> DataFrame:
     return section_plan(listing_types(spark), prefectures(spark), **only)
 
 
-def page_counts(sections: DataFrame) -> DataFrame:
+def page_counts(sections: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages of each section from its item total and the last page its pager showed (columns ``total_items`` and
-    ``scraped_pages``); the pager under-reports, so it is only a floor."""
+    ``scraped_pages``); the pager under-reports, so it is only a floor. Where a caller sets ``max_pages``, the column
+    ``pages_left_out`` says how many pages that cuts off."""
     size = F.when(F.col("type") == RENTAL_TYPE, PAGE_SIZES["rental"]).otherwise(PAGE_SIZES["sale"])
     computed = F.ceil(F.col("total_items") / size).cast("int")
-    return sections.withColumn("computed_pages", F.when(F.col("total_items") > 0, computed).otherwise(0)).withColumn(
-        "total_pages",
-        F.least(
-            F.lit(MAX_PAGES_PER_SECTION), F.greatest(F.col("scraped_pages"), F.col("computed_pages"), F.lit(1))
-        ).cast("int"),
+    counted = sections.withColumn("computed_pages", F.when(F.col("total_items") > 0, computed).otherwise(0))
+    pages = F.greatest(F.col("scraped_pages"), F.col("computed_pages"), F.lit(1)).cast("int")
+    if max_pages is None:
+        return counted.withColumn("total_pages", pages)
+    return counted.withColumns(
+        {"total_pages": F.least(pages, F.lit(max_pages)), "pages_left_out": F.greatest(pages - max_pages, F.lit(0))}
     )
 
 
@@ -73,7 +75,7 @@ def page_url(site: str):
     return url
 
 
-def page_plan(sections: DataFrame, site: str) -> DataFrame:
-    """One row per page to fetch. A section never has more than the page cap, so the generated range is bounded."""
-    pages = page_counts(sections).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("total_pages"))))
+def page_plan(sections: DataFrame, site: str, max_pages: int | None = None) -> DataFrame:
+    """One row per page to fetch."""
+    pages = page_counts(sections, max_pages).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("total_pages"))))
     return pages.withColumn("url", page_url(site))

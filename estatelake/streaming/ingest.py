@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from estatelake.fixed_values import NEW_APARTMENT_TYPE, RENTAL_TYPE
 from estatelake.plans.ingest import Ingest, ingest_rentals, ingest_sales
 from estatelake.schemas import TABLES
-from estatelake.sources.tables import append_log, read_table, versions, write_table
+from estatelake.sources.tables import append_log, read_log, read_table, versions, write_table
 
 
 def stream_pages(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -36,21 +36,46 @@ def _store(done: Ingest, root: str, version: int) -> None:
         append_log(rows, root, name, version)
 
 
-def upsert_batch(root: str, origin: str, as_of: Callable[[int], Column]) -> Callable[[DataFrame, int], None]:
+def _version(spark: SparkSession, root: str, query: str, batch: int) -> int:
+    """The version a micro-batch writes: the one it was given at its first try, else the next after all there are. Which batch
+    of which query writes a version is recorded before anything is written, so a repeated batch replaces its own output, and
+    the first batch of another query (or of a new checkpoint) never replaces what is stored."""
+    known = read_log(spark, root, "ingest_commit")
+    mine = known.where((F.col("query_id") == query) & (F.col("batch_id") == batch)).agg(F.max("version")).first()[0]
+    if mine is not None:
+        return mine
+    stored = [v for name in TABLES for v in versions(spark, root, name)]
+    version = max([0, *stored, known.agg(F.max("version")).first()[0] or 0]) + 1
+    row = spark.createDataFrame([(query, batch, version)], TABLES["ingest_commit"])
+    append_log(row, root, "ingest_commit", version)
+    return version
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query a checkpoint folder belongs to; Spark writes it when the query first starts."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def upsert_batch(
+    root: str, origin: str, as_of: Callable[[int], Column], checkpoint: str
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: for-sale and rental pages of one micro-batch into the next version of every table.
 
-    Batch ``n`` always writes version ``n + 1`` and its own part of the change logs, so a repeated batch replaces its
-    earlier output and appends nothing twice.
+    A repeated batch writes its own version again and its own part of the change logs, so nothing is appended twice. Pages
+    without a URL belong to no section; they are kept in the log ``page_reject``.
     """
 
     def run(pages: DataFrame, batch: int) -> None:
-        spark, version, now = pages.sparkSession, batch + 1, as_of(batch)
+        spark, now = pages.sparkSession, as_of(batch)
+        version = _version(spark, root, _query_id(spark, checkpoint), batch)
         pages = pages.persist()
+        append_log(pages.where(F.col("url").isNull()), root, "page_reject", version)
+        pages_here = pages.where(F.col("url").isNotNull())
         section = F.regexp_extract("url", r"[?&]bs=([0-9]+)", 1)
         before = lambda name: _before(spark, root, name, version)
-        rental = pages.where(section == RENTAL_TYPE)
-        project = pages.where(section == NEW_APARTMENT_TYPE)
-        sale = pages.where(~section.isin(RENTAL_TYPE, NEW_APARTMENT_TYPE))
+        rental = pages_here.where(section == RENTAL_TYPE)
+        project = pages_here.where(section == NEW_APARTMENT_TYPE)
+        sale = pages_here.where(~section.isin(RENTAL_TYPE, NEW_APARTMENT_TYPE))
 
         if not (sale.isEmpty() and project.isEmpty()):
             _store(ingest_sales(before("listing"), sale, project, origin, now), root, version)
@@ -68,7 +93,7 @@ def stream_upsert(
     """Writes all page files there are now, in micro-batches, and stops."""
     stamp = as_of or (lambda _: F.current_timestamp())
     return (
-        pages.writeStream.foreachBatch(upsert_batch(root, origin, stamp))
+        pages.writeStream.foreachBatch(upsert_batch(root, origin, stamp, checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -42,7 +42,7 @@ def test_sale_upsert(spark):
     assert rows(done.snapshot, "source_id", "id", "price", "section_type", "property_type", "last_updated") == [
         ("A", 1, 9, "021", "y", T1), ("B", 2, 20, "021", "y", T0), ("C", 3, 30, "021", "x", T0), ("D", 4, 40, "021", "y", T1),
     ]
-    assert rows(done.history, "property_id", "price", "price_text", "recorded_at") == [(1, 9, "9", T1)]
+    assert rows(done.history, "property_id", "price", "price_text", "recorded_at") == [(1, 8, "8", T1), (1, 9, "9", T1)]
     assert rows(done.classified, "source_id", "metric_status", "write_status") == [
         ("A", "updated", "price"), ("B", "unchanged", "place"), ("C", "unchanged", "keep"), ("D", "new", "insert"),
     ]
@@ -52,10 +52,10 @@ def test_sale_upsert(spark):
 def test_sale_upsert_twice_adds_nothing_and_baseline_logs_new(spark):
     stored, batch = sale_case(spark)
     first = upserts.upsert_listings(stored, batch, AT(T1))
-    again = upserts.upsert_listings(first.snapshot, batch, AT(T2))
+    again = upserts.upsert_listings(first.snapshot, batch.where("ordinal > 0"), AT(T2))
     assert again.history.count() == 0
     assert rows(again.snapshot, *stored.columns) == rows(first.snapshot, *stored.columns)
-    assert upserts.upsert_listings(stored, batch, AT(T1), baseline=True).history.count() == 2
+    assert upserts.upsert_listings(stored, batch, AT(T1), baseline=True).history.count() == 3
 
 
 def test_unit_upsert(spark):
@@ -254,7 +254,8 @@ def test_ingest_jobs_end_to_end(spark):
     none = lambda name: spark.createDataFrame([], tables.TABLES[name])
     done = ingest_sales(none("listing"), page(sale('<input name="bsnc" value="A">', BOX), "011"), empty, SITE, AT(T1))
     assert rows(done.tables["listing"], "source_id", "section_type", "property_type", "region", "province", "building_area") == [("A", "011", "中古マンション", "030", "13", 50.45)]
-    assert rows(done.classified, "source_id", "section_key", "metric_status") == [("A", "030-13-011", "new")]
+    assert rows(done.classified.where("item"), "source_id", "section_key", "metric_status") == [("A", "030-13-011", "new")]
+    assert rows(done.classified.where("NOT item"), "section_key", "metric_status") == [("030-13-010", None)]
     names = ("building", "rental_unit", "train_line", "station", "building_station")
     rented = ingest_rentals({n: none(n) for n in names}, page(RENTAL, "040"), SITE, AT(T1))
     assert rows(rented.tables["building"], "source_id", "title") == [("building-100426191626", "A")]
