@@ -202,8 +202,53 @@ def first(nodes: Column, *path: Matcher) -> Column:
     return F.get(descend(nodes, *path), F.lit(0))
 
 
-# One step of a selector: a tag name followed by any number of [conditions].
-_STEP = re.compile(r"([a-zA-Z0-9_-]+)((?:\[[^\]]*\])*)$")
+# What a condition may ask of an element, by the text in front of its quoted value: a builder from the array that is searched
+# and the value. ``@name`` with and without a value is read apart.
+CONDITIONS: dict[str, Callable[[Column, str], Matcher]] = {
+    "class~=": lambda nodes, value: lambda n: (attr(n, "class") != "") & class_contains(value)(n),
+    "text()=": lambda nodes, value: lambda n: text_of(nodes, n) == value,
+    "contains(text(),": lambda nodes, value: lambda n: F.contains(text_of(nodes, n), F.lit(value)),
+}
+
+
+def _attribute(name: str, value: str | None) -> Matcher:
+    """An attribute that is there and not empty, with one value where one is asked for."""
+    if value is None:
+        return lambda n: attr(n, name) != ""
+    return lambda n: (attr(n, name) == value) & F.lit(value != "")
+
+
+def _condition(nodes: Column, text: str) -> Matcher | None:
+    """The test behind the text between two brackets; none for a text of any other shape."""
+    subject, quoted, rest = text.partition('"')
+    value = rest.partition('"')[0] if quoted else None
+    if subject.startswith("@"):
+        return _attribute(subject[1:].removesuffix("="), value)
+    builder = CONDITIONS.get(subject)
+    return builder(nodes, value) if builder and value is not None else None
+
+
+def _tokens(path: str) -> list[tuple[str, list[str]]] | None:
+    """(tag, texts in brackets) of each step of a path whose steps start with ``//``, read in one pass; null where a character
+    stands where none may."""
+    steps: list[tuple[str, list[str]]] = []
+    at = 0
+    while at < len(path):
+        if path.startswith("//", at):
+            at += 2
+            steps.append(("", []))
+        elif path[at] == "[" and steps and steps[-1][0]:
+            end = path.find("]", at)
+            if end < 0:
+                return None
+            steps[-1][1].append(path[at + 1 : end])
+            at = end + 1
+        elif steps and not steps[-1][1] and (path[at].isalnum() or path[at] in "_-") and path[at].isascii():
+            steps[-1] = (steps[-1][0] + path[at].lower(), steps[-1][1])
+            at += 1
+        else:
+            return None
+    return [step for step in steps if step[0]] or None
 
 
 def selector(query: str) -> list[Callable[[Column], Matcher]] | None:
@@ -213,37 +258,12 @@ def selector(query: str) -> list[Callable[[Column], Matcher]] | None:
     An attribute test needs a non-empty value, ``class~=`` is a substring match, and conditions of any other shape
     are ignored.
     """
-    match_path = re.match(r"\.?//(.+)$", query or "")
-    if not match_path:
-        return None
-    steps: list[Callable[[Column], Matcher]] = []
-    for part in filter(None, match_path.group(1).split("//")):
-        shape = _STEP.match(part)
-        if not shape:
-            return None
-        steps.append(_step(shape.group(1).lower(), re.findall(r"\[([^\]]*)\]", shape.group(2))))
-    return steps
-
-
-def _step(tag: str, conditions: list[str]) -> Callable[[Column], Matcher]:
-    def on(nodes: Column) -> Matcher:
-        tests: list[Matcher] = [has_tag(tag)]
-        for condition in conditions:
-            if m := re.search(r'@([a-zA-Z0-9_-]+)(?:="([^"]*)")?', condition):
-                name, value = m.group(1), m.group(2)
-                if value is None:
-                    tests.append(lambda n, name=name: attr(n, name) != "")
-                else:
-                    tests.append(lambda n, name=name, value=value: (attr(n, name) == value) & F.lit(value != ""))
-            elif m := re.search(r'class~="([^"]*)"', condition):
-                tests.append(lambda n, part=m.group(1): (attr(n, "class") != "") & class_contains(part)(n))
-            elif m := re.search(r'text\(\)="([^"]*)"', condition):
-                tests.append(lambda n, text=m.group(1): text_of(nodes, n) == text)
-            elif m := re.search(r'contains\(text\(\),"([^"]*)"\)', condition):
-                tests.append(lambda n, text=m.group(1): F.contains(text_of(nodes, n), F.lit(text)))
-        return both(*tests)
-
-    return on
+    steps = _tokens((query or "").removeprefix("."))
+
+    def step(tag: str, conditions: list[str]) -> Callable[[Column], Matcher]:
+        return lambda nodes: both(has_tag(tag), *filter(None, (_condition(nodes, c) for c in conditions)))
+
+    return [step(*s) for s in steps] if steps else None
 
 
 def select(nodes: Column, query: str) -> Column:
