@@ -14,6 +14,7 @@ from estatelake.llm.common import stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BROADCAST_DOCUMENTS = 1_000_000  # row ids of documents up to which they are broadcast
 BROADCAST_ROWS = 200_000  # rows of benchmark side tables (a few short columns) up to which they are broadcast
 
 
@@ -80,7 +81,11 @@ def phrase_hits(tokens: DataFrame, items: DataFrame, size: int = 10, rarest: int
     same = lambda w: (F.col("shift") + w.start >= 0) & (
         F.slice("words", F.greatest(F.col("shift") + w.start, F.lit(0)) + 1, w.length) == F.slice("item_words", w.start + 1, w.length)
     )
-    checked = stored(candidates).join(tokens.select("row", "words"), "row").select(
+    candidates = stored(candidates)
+    holders = candidates.select("row").distinct()
+    few = holders.count() <= BROADCAST_DOCUMENTS
+    held = tokens.select("row", "words").join(F.broadcast(holders) if few else holders, "row", "left_semi")
+    checked = candidates.join(held, "row").select(
         "row", "item", "shift", F.explode(F.filter("windows", same)).alias("w")
     )
     return checked.select("row", "item", (F.col("shift") + F.col("w.start")).alias("start"), F.col("w.length").alias("length"))
