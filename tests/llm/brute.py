@@ -34,7 +34,7 @@ def line_norm(line):
 
 
 def sim_hash(norm):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in norm.split(" ")]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(norm.split(" "))]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 

@@ -46,7 +46,7 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_simhash_counts_long_lines_in_stretches(spark):
-    texts = ["a b a", sentence(127), sentence(128), sentence(1000), "x " * 70_000 + "y"]
+    texts = ["a b a", sentence(127), sentence(128), sentence(1000), "x " * 70_000 + "y", " ".join(f"w{i}" for i in range(40_000))]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, norm string")
     assert {r.k: r.hash % 2**64 for r in line_dedup.simhash(rows, ["k"]).collect()} == {i: brute.sim_hash(t) for i, t in enumerate(texts)}
 
