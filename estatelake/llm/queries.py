@@ -179,7 +179,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that equal or resemble an earlier one."""
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return kept.select("doc_id", "n_lines", "n_removed", "emptied", digest(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
