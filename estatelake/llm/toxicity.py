@@ -103,14 +103,23 @@ def _surprise(t: Column, o: Column, toxic: int, ordinary: int) -> Column:
     )
 
 
+def _discoveries(g: list[float], tested: int, rate: float = 0.01) -> int:
+    """How many of the largest G statistics are found at a false discovery rate (Benjamini-Hochberg over all tested terms). The
+    level is absolute: how common the commonest term is doesn't matter, so a language with few toxic documents keeps its terms."""
+    p = [math.erfc(math.sqrt(max(x, 0.0) / 2)) for x in g]
+    return max((i for i, x in enumerate(p, 1) if x <= rate * i / tested), default=0)
+
+
 def _dictionaries(examples: DataFrame, toxic: int, ordinary: int, terms: int, common: int) -> tuple[bytes, bytes]:
     words = examples.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
     counts = stored(words.groupBy("term").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("o")))
     used = [r.term for r in counts.where("o > 0").orderBy(F.desc("o"), "term").select("term").limit(common).collect()]
-    leaning = counts.where(F.col("t") >= 3).where(F.col("t") / toxic > 5 * (F.col("o") + 0.5) / ordinary) if toxic and ordinary else counts.limit(0)
+    # Terms in fewer than three documents can't be significant, so what is tested are the terms that can.
+    able = counts.where(F.col("t") + F.col("o") >= 3)
+    tested = able.count()
+    leaning = able.where(F.col("t") / toxic > 5 * (F.col("o") + 0.5) / ordinary).where("t >= 3") if toxic and ordinary else counts.limit(0)
     found = leaning.withColumn("g", _surprise(F.col("t"), F.col("o"), toxic, ordinary)).orderBy(F.desc("g"), "term").select("term", "g").limit(terms).collect()
-    least = max(15.0, 0.04 * found[0].g) if found else 0.0
-    marked = [r.term for r in found if r.g >= least]
+    marked = [r.term for r in found[: _discoveries([r.g for r in found], tested)]]
     lean = set(marked)
     ordinary_words = (" " + " ".join(w for w in used if w not in lean) + " ").encode()
     return ordinary_words, (" " + " ".join(marked) + " ").encode() + ordinary_words
