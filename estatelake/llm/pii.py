@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,6 +63,7 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)*"
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sum(TITLES.values(), []))})\.?[  ](?:({_NAME})[  ])?({_NAME})")
 _GIVEN = re.compile(rf"(?<!\w)({'|'.join(sum(GIVEN.values(), []))})(?:[  ]({_NAME}))?(?!\w)")
+_WORD_OF_NAME = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _CODE = re.compile(r"\+(\d{1,3})(?=\D)")
 
 
@@ -129,6 +131,20 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if m[2] and m[2][0].isupper():
             take(*m.span(1), f"given-{GENDER[m[1].lower()]}-{script_of(m[1])}", m[1].lower())
             take(*m.span(2), f"surname-{script_of(m[2])}", m[2].lower())
+    people: dict[str, str] = {}
+    for _, _, kind, norm in sorted(found):
+        if kind.startswith(("given", "surname")):
+            people.setdefault(norm, kind)
+    if people:
+        # Mentions of a person who is known by now need no title or given name; small letters are other words.
+        taken = sorted(found)
+        starts = [f[0] for f in taken]
+        for m in _WORD_OF_NAME.finditer(text):
+            kind = people.get(m[0].lower())
+            if kind and m[0][0].isupper():
+                i = bisect_right(starts, m.start())
+                if (i == 0 or taken[i - 1][1] <= m.start()) and (i == len(taken) or m.end() <= starts[i]):
+                    found.append((*m.span(), kind, m[0].lower()))
     return sorted(found)
 
 
