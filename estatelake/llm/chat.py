@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Spark's JSON reader refuses longer strings than 20,000,000 characters unless told otherwise.
+JSON = {"maxStringLen": "2147483647"}
 TURNS = "array<struct<role:string,text:string>>"
 
 # Layouts by name. ``list`` names a field of messages with a role and a text field; ``turns`` names the role and the fields of
@@ -45,12 +47,12 @@ def _paths(layout: dict) -> list[str]:
 
 def field_paths(record: Column) -> Column:
     """Sorted distinct nested field paths of a JSON object: ``a``, ``a.b`` for objects in it, ``a[].b`` for lists of objects."""
-    top = F.from_json(record, "map<string,string>")
-    lists = lambda v: F.flatten(F.transform(F.from_json(v, "array<map<string,string>>"), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))
+    top = F.from_json(record, "map<string,string>", JSON)
+    lists = lambda v: F.flatten(F.transform(F.from_json(v, "array<map<string,string>>", JSON), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))
     below = F.transform(
         F.map_entries(top),
         lambda e: F.when(F.ltrim(e.value).startswith("["), F.transform(F.array_distinct(lists(e.value)), lambda k: F.concat(e.key, F.lit("[]."), k)))
-        .when(F.ltrim(e.value).startswith("{"), F.transform(F.map_keys(F.from_json(e.value, "map<string,string>")), lambda k: F.concat(e.key, F.lit("."), k))),
+        .when(F.ltrim(e.value).startswith("{"), F.transform(F.map_keys(F.from_json(e.value, "map<string,string>", JSON)), lambda k: F.concat(e.key, F.lit("."), k))),
     )
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_distinct(F.concat(
@@ -67,13 +69,13 @@ def fingerprint(paths: Column, layouts: dict = LAYOUTS) -> Column:
 def _mapped(record: Column, layout: dict) -> Column:
     if "list" in layout:
         field, role, text = layout["list"]
-        items = F.from_json(record, f"struct<`{field}`:array<struct<`{role}`:string,`{text}`:string>>>")[field]
+        items = F.from_json(record, f"struct<`{field}`:array<struct<`{role}`:string,`{text}`:string>>>", JSON)[field]
         names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
         return F.transform(
             F.filter(items, lambda m: m.isNotNull()),
             lambda m: F.struct(F.coalesce(names[m[role]], m[role], F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")),
         )
-    values = F.from_json(record, "map<string,string>")
+    values = F.from_json(record, "map<string,string>", JSON)
     turns = []
     for role, fields in layout["turns"]:
         texts = [values[f] for f in fields]
