@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, line_dedup, mtree, ngram_jaccard, pii, secrets, sentencepiece, toxicity, urls
+from estatelake.llm import chat, decontamination, line_dedup, merkle, mtree, ngram_jaccard, pii, secrets, sentencepiece, toxicity, urls
 from estatelake.llm.common import digest, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,25 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return done.select("doc_id", *[count(k) for k in ("email", "phone", "ip", "card", "iban", "ssn", "given", "surname")], "text")
+
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; a third of them is checked with a text that was tampered with."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF)
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    other = merkle.leaf([merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in LEAF])
+    proofs = merkle.proofs(merkle.manifest(docs, LEAF, "lang", "doc_id", tampered=F.when(tampered, other)))
+    folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("carried.tampered", "leaf"), F.col("proof")))
+    return folded.select(
+        F.col("carried.key").alias("doc_id"), "leaf", "subroot", "root", digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda e, i: xor(e >> 1, 3988292384 * (e & 1)))))"""
+SQL["op13_merkle_manifest"] = merkle.sql("documents", LEAF, "lang", "doc_id", f"{_CRC32} % 3 = 0")
