@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, line_dedup, merkle, mtree, ngram_jaccard, pii, secrets, sentencepiece, toxicity, urls
+from estatelake.llm import chat, decontamination, line_dedup, merkle, mixing, mtree, ngram_jaccard, pii, secrets, sentencepiece, toxicity, urls
 from estatelake.llm.common import digest, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,13 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda e, i: xor(e >> 1, 3988292384 * (e & 1)))))"""
 SQL["op13_merkle_manifest"] = merkle.sql("documents", LEAF, "lang", "doc_id", f"{_CRC32} % 3 = 0")
+
+
+@query
+def op12_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, "source", "size", "doc_id")
+    return mixed.select(
+        "doc_id", "size", "mix.source_size", "mix.target", (F.col("size") * F.col("mix.copies")).alias("taken"), "mix.rate", "mix.copies",
+    )
