@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.llm import chat, decontamination, line_dedup, merkle, mixing, mtree, ngram_jaccard, pii, secrets, sentencepiece, toxicity, urls
+from estatelake.llm import chat, decontamination, hard_negatives, line_dedup, merkle, mixing, mtree, ngram_jaccard, pii, secrets, sentencepiece, toxicity, urls
 from estatelake.llm.common import digest, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,26 @@ def op12_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "mix.source_size", "mix.target", (F.col("size") * F.col("mix.copies")).alias("taken"), "mix.rate", "mix.copies",
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five nearest positives of every fiftieth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.when(F.size("embedding") == 0, F.array().cast("array<long>")).otherwise(mtree.quantised(F.col("embedding")))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("id"), label.alias("label"), vector.alias("vector")
+    )
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0).drop("anchor")
+
+
+SQL["op11_hard_negatives"] = """WITH v AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.n AS a, a.vec_id AS anchor_id, c.n, c.vec_id, c.label = a.label AS same, CAST(list_dot_product(a.x, c.x) AS BIGINT) AS score
+        FROM v a JOIN v c ON a.n <> c.n WHERE a.vec_id % 50 = 0),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.n ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+        s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+    QUALIFY rank <= 3"""
