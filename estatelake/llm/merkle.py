@@ -112,7 +112,8 @@ def manifest(docs: DataFrame, columns: list[str], tree: str, order: str, **carry
     # Null comes first: "-" sorts before "=".
     name = F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("-"))
     carried = F.struct(F.col(tree).alias("tree"), F.col(order).alias("key"), *[c.alias(n) for n, c in carry.items()])
-    leaves = docs.select(name.alias("tree"), F.col(order).alias("order"), leaf([F.col(c) for c in columns]).alias("digest"), carried.alias("carried"))
+    # Laying out by range reads its input twice, so the texts are hashed before.
+    leaves = stored(docs.select(name.alias("tree"), F.col(order).alias("order"), leaf([F.col(c) for c in columns]).alias("digest"), carried.alias("carried")))
     low = levels(placed(leaves, ["order", "digest"]).select("tree", "place", "digest", "size", "carried"))
     tops = low[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     return {"leaves": low, "subroots": levels(placed(tops, ["name"]).select("tree", "place", "digest", "size", "name"))}
