@@ -38,18 +38,24 @@ def sim_hash(norm):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def dedup(docs, similarity=0.9, distance=3, least=25):
-    """[(key, text)] -> [(key, text of the lines that stay)]"""
+def dedup(docs, similarity=0.9, distance=3, least=25, whole=False):
+    """[(key, text)] -> [(key, text of the lines that stay)]; with ``whole`` edit similarity alone makes lines near, and only blank lines are exempt"""
     places = defaultdict(list)
     for key, text in docs:
         for at, line in enumerate((text or "").split("\n")):
-            if len(norm := line_norm(line)) >= least:
+            if len(norm := line_norm(line)) >= (1 if whole else least):
                 places[norm].append((key, at))
     norms, hashes = list(places), [sim_hash(n) for n in places]
     ties = Ties(len(norms))
-    for i, a in enumerate(norms):
-        for j in range(i):
-            if (hashes[i] ^ hashes[j]).bit_count() <= distance and edit_distance(a, norms[j]) <= int(max(len(a), len(norms[j])) * (1 - similarity) + 1e-9):
+    by_length = sorted(range(len(norms)), key=lambda i: len(norms[i]))
+    counts = [Counter(n) for n in norms]
+    for at, i in enumerate(by_length):
+        most = int(len(norms[i]) * (1 - similarity) + 1e-9)
+        for j in reversed(by_length[:at]):
+            if len(norms[i]) - len(norms[j]) > most:
+                break
+            # Each edit takes away or adds at most one sign of either line.
+            if (whole or (hashes[i] ^ hashes[j]).bit_count() <= distance) and (counts[i] - counts[j]).total() <= most and edit_distance(norms[i], norms[j]) <= most:
                 ties.tie(i, j)
     groups = defaultdict(list)
     for i, n in enumerate(norms):

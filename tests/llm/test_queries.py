@@ -30,7 +30,7 @@ def test_pipeline_stages_equal_brute_force(spark):
     raw, clean, lines, single, decontaminated, last = (texts for _, texts in steps)
     assert all(columns == steps[0][0] for columns, _ in steps[:-1])
     assert clean.items() <= raw.items()
-    deduped = dict(brute.dedup(list(clean.items())))
+    deduped = dict(brute.dedup(list(clean.items()), whole=True))
     emptied = {k for k in clean if deduped[k] != clean[k] and not deduped[k].strip()}
     assert lines == {k: t for k, t in deduped.items() if k not in emptied}
     assert single == {k: lines[k] for k, c, _ in brute.links(list(lines.items())) if k == c}
