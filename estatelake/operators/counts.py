@@ -136,3 +136,19 @@ def refresh_counts(listings: DataFrame, units: DataFrame, buildings: DataFrame)
     )
     rental = rental_counts(units, buildings).select(F.lit("040").alias("section_type"), "region", "province", "listings")
     return sale.unionByName(rental)
+
+
+def count_changes(changes: DataFrame) -> DataFrame:
+    """What written rows (structs ``before`` and ``after``, either null) change the counts per type and area by: one less where the row
+    was, one more where it is. Rows without a type count nowhere."""
+    area = lambda side, by: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("section_type", "region", "province")], F.lit(by).alias("by"))
+    both = changes.select(F.explode(F.array(area("before", -1), area("after", 1))).alias("c")).select("c.*")
+    known = both.where(F.col("section_type").isNotNull())
+    moved = known.groupBy("section_type", "region", "province").agg(F.sum("by").cast("long").alias("listings"))
+    return moved.where("listings <> 0")
+
+
+def with_changes(stored: DataFrame, moved: DataFrame) -> DataFrame:
+    """Stored counts after changes to them. An area whose last row is gone stays with 0."""
+    keys = ["section_type", "region", "province"]
+    return stored.select(*keys, "listings").unionByName(moved.select(*keys, "listings")).groupBy(*keys).agg(F.sum("listings").alias("listings"))

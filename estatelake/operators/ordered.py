@@ -60,11 +60,12 @@ def numbered(
     )
 
 
-def with_new_ids(new: DataFrame, stored: DataFrame, key: str, buckets: int = 8192) -> DataFrame:
-    """Gives new rows surrogate ids above the stored ones. The ids depend on the keys only, so a retry repeats them."""
-    highest = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+def with_new_ids(new: DataFrame, stored: DataFrame, key: str, buckets: int = 8192, highest: int | None = None) -> DataFrame:
+    """Gives new rows surrogate ids above the stored ones (or above ``highest``, where the caller knows it). The ids depend on the
+    keys only, so a retry repeats them."""
+    base = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar() if highest is None else F.lit(highest)
     rows = numbered(new, F.pmod(F.xxhash64(key), F.lit(buckets)), [key], "_n")
-    return rows.withColumn("id", (highest + F.col("_n")).cast("long")).drop("_n")
+    return rows.withColumn("id", (base + F.col("_n")).cast("long")).drop("_n")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

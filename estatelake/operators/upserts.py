@@ -21,31 +21,46 @@ from estatelake.session import settled
 class Upsert:
     """``snapshot`` is the table after the batch, ``history`` the rows to append to its change log, and ``classified``
     one row per batch key with the status it counts as (``metric_status``) and the write it caused
-    (``write_status``). ``sightings`` has the status of every row of the batch (key, ordinal, metric_status)."""
+    (``write_status``). ``sightings`` has the status of every row of the batch (key, ordinal, metric_status). ``rejected`` are
+    the rows of the batch without a key, which belong to no row of the table. ``changes`` has the stored and the new row
+    (``before``, ``after``, either null) of every key that was written."""
 
     snapshot: DataFrame
     history: DataFrame | None
     classified: DataFrame
     sightings: DataFrame
+    rejected: DataFrame
+    changes: DataFrame
 
 
-def _sighted(snapshot: DataFrame, batch: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Every row of the batch with ``_before``: the values of the row of its key before it, the stored ones for the first row,
-    null for the first row of a new key. Rows count in the order of ``ordinal`` where the batch has one.
+@dataclass
+class _Batch:
+    """A batch by key: rows of keys met once, and rows of keys met several times with ``_before``, the values of the row of the key
+    before it (the stored ones for the first, null for the first of a new key)."""
+
+    once: DataFrame
+    many: DataFrame
+    rejected: DataFrame
 
-    A key met very often is cut into slices of its ordinals, so it does not fill one task.
+
+def _by_key(snapshot: DataFrame, batch: DataFrame, key: str, values: list[str]) -> _Batch:
+    """Rows of a key count in the order of ``ordinal``, those without one first, ties by ``values`` and then by the whole row, so
+    any batch has one order. Only keys met several times are put in order; the others meet their stored row in the join that
+    is made for them anyway. A key met very often is cut into slices of its ordinals, so it does not fill one task.
     """
+    whole = F.xxhash64(*[F.col(f.name) for f in batch.schema.fields if "map<" not in f.dataType.simpleString()])
     if "ordinal" not in batch.columns:
         batch = batch.withColumn("ordinal", F.lit(0))
+    keyed = batch.where(F.col(key).isNotNull())
+    repeated = keyed.groupBy(key).count().where("count > 1").select(key)
     kind = batch.schema["ordinal"].dataType
-    if hasattr(kind, "names"):
-        slices = F.col(f"ordinal.{kind.names[0]}")
-    else:
-        slices = F.floor(F.col("ordinal") / 1024)
-    rows = with_previous(batch, [key], ["ordinal"], values, slices, "_previous")
+    slices = F.col(f"ordinal.{kind.names[0]}") if hasattr(kind, "names") else F.floor(F.col("ordinal") / 1024)
+    place = F.struct(F.col("ordinal").isNotNull().alias("known"), "ordinal", *values, whole.alias("row"))
+    many = keyed.join(repeated, key, "left_semi").withColumn("_place", place)
+    rows = with_previous(many, [key], ["_place"], values, slices, "_previous")
     stored = snapshot.select(F.col(key).alias("_stored_key"), F.struct(*values).alias("_stored"))
-    joined = rows.join(stored, F.col(key) == F.col("_stored_key"), "left")
-    return settled(joined.withColumn("_before", F.coalesce("_previous", "_stored")).drop("_previous", "_stored_key", "_stored"))
+    rows = rows.join(stored, F.col(key) == F.col("_stored_key"), "left").withColumn("_before", F.coalesce("_previous", "_stored"))
+    return _Batch(keyed.join(repeated, key, "left_anti"), rows.drop("_previous", "_stored_key", "_stored"), batch.where(F.col(key).isNull()))
 
 
 def _changed(values: list[str]) -> Column:
@@ -56,12 +71,26 @@ def _changed(values: list[str]) -> Column:
     return F.col("_before").isNotNull() & differs
 
 
-def _last(rows: DataFrame, key: str) -> DataFrame:
-    """One row per key, as it was met last, with ``_moved``: whether any of its rows changed an amount."""
-    own = [c for c in rows.columns if c not in ("_before", "_step", "_status")]
-    return rows.groupBy(F.col(key).alias("_k")).agg(
-        F.max_by(F.struct(*own), F.col("ordinal")).alias("_row"), F.bool_or("_step").alias("_moved")
-    ).select("_row.*", "_moved")
+def _coming(met: _Batch, many: DataFrame, key: str) -> DataFrame:
+    """One row per key, as it was met last, with ``_moved``: whether any row of a key met several times changed an amount
+    (column ``_step`` of ``many``); null for keys met once."""
+    own = met.once.columns
+    last = many.groupBy(F.col(key).alias("_k")).agg(
+        F.max_by(F.struct(*own), F.col("_place")).alias("_row"), F.bool_or("_step").alias("_moved")
+    )
+    return met.once.withColumn("_moved", F.lit(None).cast("boolean")).unionByName(last.select("_row.*", "_moved"))
+
+
+def _ids(snapshot: DataFrame, inserted: DataFrame, key: str, name: str) -> DataFrame:
+    return snapshot.select(F.col("id").alias(name), key).unionByName(inserted.select(F.col("id").alias(name), key))
+
+
+def _changes(snapshot: DataFrame, rows: DataFrame, kept: list[Column], inserted: DataFrame, key: str) -> DataFrame:
+    """(before, after) of the rows that a batch wrote."""
+    row = F.struct(*snapshot.columns)
+    moved = rows.where(F.col("_write").isin("price", "place")).select(F.struct("s.*").alias("before"), F.struct(*kept).alias("after"))
+    new = inserted.select(F.lit(None).cast(snapshot.select(row.alias("r")).schema["r"].dataType).alias("before"), row.alias("after"))
+    return moved.unionByName(new)
 
 
 def repeated_keys(batch: DataFrame, key: str) -> DataFrame:
@@ -99,24 +128,26 @@ def _cast_like(df: DataFrame, table: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
 
 
-def upsert_listings(snapshot: DataFrame, batch: DataFrame, as_of: Column, baseline: bool = False) -> Upsert:
-    """For-sale listings by ``source_id``.
+def upsert_listings(
+    snapshot: DataFrame, batch: DataFrame, as_of: Column, baseline: bool = False, highest: int | None = None
+) -> Upsert:
+    """For-sale listings by ``source_id``. New rows take ids above ``highest`` (by default the highest of ``snapshot``).
 
     A new listing is inserted without a history row (``baseline`` adds one). A changed price or price text updates the
     price and place columns, the type and ``last_updated``, and logs the new price. A changed section or place alone
     updates those columns and leaves ``last_updated``. Empty and missing price texts are the same text. A key met several
     times in a batch is stored as it was met last, and every change of price between its rows is logged.
     """
-    met = _sighted(snapshot, batch, "source_id", ["price", "price_text", "region", "province"])
+    met = _by_key(snapshot, batch, "source_id", ["price", "price_text", "region", "province"])
     step, moved_place = _changed(["price", "price_text"]), _changed(["region", "province"])
     status = F.when(F.col("_before").isNull(), "new").when(step | moved_place, "updated").otherwise("unchanged")
-    met = met.withColumns({"_step": step, "_status": status})
-    coming = _last(met, "source_id")
+    many = met.many.withColumns({"_step": step, "_status": status})
+    coming = _coming(met, many, "source_id")
     both = _sides(snapshot, coming, "source_id")
-    price = F.col("b._moved")
+    known = F.col("s").isNotNull() & F.col("b").isNotNull()
+    price = F.coalesce("b._moved", known & (_differs("s.price", "b.price") | _differs("s.price_text", "b.price_text", text=True)))
     place = _differs("s.region", "b.region") | _differs("s.province", "b.province")
     section = _differs("s.section_type", "b.section_type")
-    known = F.col("s").isNotNull() & F.col("b").isNotNull()
     write = (
         F.when(F.col("b").isNull(), "absent")
         .when(F.col("s").isNull(), "insert")
@@ -141,17 +172,22 @@ def upsert_listings(snapshot: DataFrame, batch: DataFrame, as_of: Column, baseli
         return stored.alias(c)
 
     kept = rows.where(F.col("s").isNotNull()).select(*[updated(c) for c in snapshot.columns])
-    inserted = with_new_ids(
+    inserted = _cast_like(with_new_ids(
         rows.where(F.col("_write") == "insert").select(
-            *_insert(snapshot.columns, batch.columns, as_of, ("last_updated",))
+            *_insert(snapshot.columns, coming.columns, as_of, ("last_updated",))
         ),
         snapshot,
         "source_id",
-    )
-    after = kept.unionByName(_cast_like(inserted, snapshot))
-    moved = met.where("_step").join(after.select(F.col("id").alias("property_id"), "source_id"), "source_id").select(
-        "property_id", "price", filled(F.col("price_text")).alias("price_text"), as_of.alias("recorded_at")
-    )
+        highest=highest,
+    ), snapshot)
+    after = kept.unionByName(inserted)
+    once = F.col("b._moved").isNull()
+    text = lambda c: filled(F.col(c)).alias("price_text")
+    moved = rows.where(once & (F.col("_write") == "price")).select(
+        F.col("s.id").alias("property_id"), "b.price", text("b.price_text"), as_of.alias("recorded_at")
+    ).unionByName(many.where("_step").join(_ids(snapshot, inserted, "source_id", "property_id"), "source_id").select(
+        "property_id", "price", text("price_text"), as_of.alias("recorded_at")
+    ))
     if baseline:
         moved = moved.unionByName(
             inserted.select(F.col("id").alias("property_id"), "price", "price_text", as_of.alias("recorded_at"))
@@ -162,7 +198,10 @@ def upsert_listings(snapshot: DataFrame, batch: DataFrame, as_of: Column, baseli
     classified = rows.where(F.col("b").isNotNull()).select(
         F.col("_key").alias("source_id"), metric.alias("metric_status"), F.col("_write").alias("write_status")
     )
-    return Upsert(after, moved, classified, met.select("source_id", "ordinal", F.col("_status").alias("metric_status")))
+    seen = rows.where(once & F.col("b").isNotNull()).select("b.source_id", "b.ordinal", metric.alias("metric_status"))
+    sightings = seen.unionByName(many.select("source_id", "ordinal", F.col("_status").alias("metric_status")))
+    changes = _changes(snapshot, rows, [updated(c) for c in snapshot.columns], inserted, "source_id")
+    return Upsert(after, moved, classified, sightings, met.rejected, changes)
 
 
 def first_seen_buildings(units: DataFrame, order: list[str]) -> DataFrame:
@@ -227,20 +266,23 @@ def upsert_buildings(snapshot: DataFrame, seen: DataFrame, as_of: Column) -> Dat
     return kept.unionByName(_cast_like(inserted, snapshot))
 
 
-def upsert_units(snapshot: DataFrame, batch: DataFrame, buildings: DataFrame, as_of: Column) -> Upsert:
+def upsert_units(
+    snapshot: DataFrame, batch: DataFrame, buildings: DataFrame, as_of: Column, highest: int | None = None
+) -> Upsert:
     """Rental units by ``source_id``. A new unit is inserted with a first history row; a changed rent updates the rent
     and fee columns and is logged; a changed fee alone is not a change. A unit stays with its building. A unit met several
     times in a batch is stored as it was met last, and every change of rent between its rows is logged."""
     named = keyed_buildings(batch)
-    met = _sighted(snapshot, named, "source_id", ["rent"])
+    met = _by_key(snapshot, named, "source_id", ["rent"])
     step = _changed(["rent"])
     status = F.when(F.col("_before").isNull(), "new").when(step, "updated").otherwise("unchanged")
-    met = met.withColumns({"_step": step, "_status": status})
-    coming = _last(met, "source_id")
+    many = met.many.withColumns({"_step": step, "_status": status})
+    coming = _coming(met, many, "source_id")
     amounts = [c for c in ("rent", "rent_text", "management_fee", "management_fee_text") if c in named.columns]
     texts = [c for c in amounts if c.endswith("_text")]
     both = _sides(snapshot, coming, "source_id")
-    moved = F.col("s").isNotNull() & F.col("b").isNotNull() & F.col("b._moved")
+    known = F.col("s").isNotNull() & F.col("b").isNotNull()
+    moved = known & F.coalesce("b._moved", _differs("s.rent", "b.rent"))
     write = (
         F.when(F.col("b").isNull(), "absent").when(F.col("s").isNull(), "insert").when(moved, "price").otherwise("keep")
     )
@@ -257,23 +299,30 @@ def upsert_units(snapshot: DataFrame, batch: DataFrame, buildings: DataFrame, as
     kept = rows.where(F.col("s").isNotNull()).select(*[updated(c) for c in snapshot.columns])
     fresh = rows.where(F.col("_write") == "insert").select(
         *_insert(
-            [x for x in snapshot.columns if x != "building_id"], named.columns, as_of, ("insert_date", "last_updated")
+            [x for x in snapshot.columns if x != "building_id"], coming.columns, as_of, ("insert_date", "last_updated")
         ),
         F.col("b.building_key").alias("building_key"),
     )
     owners = buildings.select(F.col("id").alias("building_id"), F.col("source_id").alias("building_key"))
-    inserted = with_new_ids(fresh.join(owners, "building_key", "left").drop("building_key"), snapshot, "source_id")
-    after = kept.unionByName(_cast_like(inserted, snapshot))
+    inserted = _cast_like(with_new_ids(fresh.join(owners, "building_key", "left").drop("building_key"), snapshot, "source_id", highest=highest), snapshot)
+    after = kept.unionByName(inserted)
     # A new unit's first row and every changed one.
-    said = [filled(F.col(c)).alias(c) if c in texts else F.col(c) for c in amounts]
-    log = met.where(F.col("_step") | F.col("_before").isNull()).join(
-        after.select(F.col("id").alias("rental_unit_id"), "source_id"), "source_id"
-    ).select("rental_unit_id", *said, as_of.alias("recorded_at"))
+    said = lambda p: [filled(F.col(p + c)).alias(c) if c in texts else F.col(p + c) for c in amounts]
+    once = F.col("b._moved").isNull()
+    ids = _ids(snapshot, inserted, "source_id", "rental_unit_id")
+    log = rows.where(once & (F.col("_write") == "price")).select(F.col("s.id").alias("rental_unit_id"), *said("b."), as_of.alias("recorded_at"))
+    first = rows.where(once & (F.col("_write") == "insert")).select("b.source_id", *said("b.")).unionByName(
+        many.where(F.col("_step") | F.col("_before").isNull()).select("source_id", *said(""))
+    )
+    log = log.unionByName(first.join(ids, "source_id").select("rental_unit_id", *amounts, as_of.alias("recorded_at")))
     metric = F.when(F.col("s").isNull(), "new").when(moved, "updated").otherwise("unchanged")
     classified = rows.where(F.col("b").isNotNull()).select(
         F.col("_key").alias("source_id"), metric.alias("metric_status"), F.col("_write").alias("write_status")
     )
-    return Upsert(after, log, classified, met.select("source_id", "ordinal", F.col("_status").alias("metric_status")))
+    seen = rows.where(once & F.col("b").isNotNull()).select("b.source_id", "b.ordinal", metric.alias("metric_status"))
+    sightings = seen.unionByName(many.select("source_id", "ordinal", F.col("_status").alias("metric_status")))
+    changes = _changes(snapshot, rows, [updated(c) for c in snapshot.columns], inserted, "source_id")
+    return Upsert(after, log, classified, sightings, met.rejected, changes)
 
 
 @dataclass

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estatelake.fixed_values import RENTAL_TYPE
 from estatelake.functions.records import stations_from_json
 from estatelake.operators import cards, upserts
-from estatelake.operators.counts import locate
+from estatelake.operators.counts import count_changes, locate
 from estatelake.operators.filters import keyed_buildings
 from estatelake.session import settled
 from estatelake.sources.dims import listing_types
@@ -19,11 +20,18 @@ from estatelake.sources.dims import listing_types
 class Ingest:
     """Next tables and history rows by name, and every row of the pages with the status it counts as: a listing met again on
     a later page compares with what the page before said; rows of buildings without a key have no status but are items; a
-    page without items has one row that is no item."""
+    page without items has one row that is no item. ``changed`` names by their bucket keys the rows of each table that may differ from
+    before, ``moved`` has what the counts per area change by."""
 
     tables: dict[str, DataFrame]
     logs: dict[str, DataFrame]
     classified: DataFrame
+    changed: dict[str, DataFrame]
+    moved: DataFrame
+
+
+def _rejects(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(F.lit(name).alias("table"), F.to_json(F.struct(*rows.columns)).alias("row"))
 
 
 def with_section(pages: DataFrame) -> DataFrame:
@@ -68,27 +76,46 @@ def read_sale_pages(sale: DataFrame, project: DataFrame, origin: str) -> DataFra
     ).drop("type_name_ja")
 
 
-def ingest_sales(listing: DataFrame, sale: DataFrame, project: DataFrame, origin: str, as_of: Column) -> Ingest:
-    # Parsing is the expensive part and three outputs need it, so its rows are written once.
-    met = settled(read_sale_pages(sale, project, origin).withColumn("insert_date", F.to_date(as_of)))
+def met_sales(sale: DataFrame, project: DataFrame, origin: str, as_of: Column) -> DataFrame:
+    """Listings of the pages. Parsing is the expensive part and several outputs need it, so its rows are written once."""
+    return settled(read_sale_pages(sale, project, origin).withColumn("insert_date", F.to_date(as_of)))
+
+
+def ingest_sales(
+    listing: DataFrame, sale: DataFrame, project: DataFrame, origin: str, as_of: Column, met: DataFrame | None = None,
+    highest: int | None = None,
+) -> Ingest:
+    """``met`` are the pages' listings where the caller has read them already; ``listing`` may then be those stored rows alone whose
+    keys can be met, with ``highest`` the highest id of the whole table."""
+    met = met_sales(sale, project, origin, as_of) if met is None else met
     batch = met.select(*[c for c in listing.columns if c in met.columns], "ordinal")
-    done = upserts.upsert_listings(listing, batch, as_of)
+    done = upserts.upsert_listings(listing, batch, as_of, highest=highest)
     pages = sale.select("page_id", "url").unionByName(project.select("page_id", "url"))
     classified = _on_pages(pages, met, done.sightings)
-    return Ingest({"listing": done.snapshot}, {"price_history": done.history}, classified)
+    return Ingest(
+        {"listing": done.snapshot}, {"price_history": done.history, "row_reject": _rejects(done.rejected, "listing")}, classified,
+        {"listing": done.changes.select("after.source_id")}, count_changes(done.changes),
+    )
 
 
-def ingest_rentals(tables: dict[str, DataFrame], pages: DataFrame, origin: str, as_of: Column) -> Ingest:
-    """Buildings, units, lines, stations and links of rental pages. Buildings still stored under a unit's id take their
-    building key first, then the page's buildings and units are written."""
+def met_rentals(pages: DataFrame, origin: str) -> DataFrame:
+    """Units of the pages with their buildings, written once."""
     units = cards.extract_rental_units(with_section(pages).select(*_KEEP), origin)
-    met = settled(
-        units.withColumn("ordinal", F.struct("page", "page_id", "building_ordinal", "unit_ordinal"))
-    )
+    return settled(units.withColumn("ordinal", F.struct("page", "page_id", "building_ordinal", "unit_ordinal")))
+
+
+def ingest_rentals(
+    tables: dict[str, DataFrame], pages: DataFrame, origin: str, as_of: Column, met: DataFrame | None = None,
+    highest: int | None = None,
+) -> Ingest:
+    """Buildings, units, lines, stations and links of rental pages. Buildings still stored under a unit's id take their
+    building key first, then the page's buildings and units are written. ``met`` and ``highest`` are as in ``ingest_sales``, with
+    ``tables["rental_unit"]`` the units that can be met."""
+    met = met_rentals(pages, origin) if met is None else met
     seen = upserts.first_seen_buildings(met, ["ordinal"])
     rekeyed = upserts.rekey_buildings(met, tables["rental_unit"], tables["building"])
     building = settled(upserts.upsert_buildings(rekeyed, seen, as_of))
-    done = upserts.upsert_units(tables["rental_unit"], met, building, as_of)
+    done = upserts.upsert_units(tables["rental_unit"], met, building, as_of, highest=highest)
     owners = building.select(F.col("id").alias("building_id"), F.col("source_id").alias("building_key"))
     stops = (
         keyed_buildings(met)
@@ -100,13 +127,23 @@ def ingest_rentals(tables: dict[str, DataFrame], pages: DataFrame, origin: str,
     )
     transit = upserts.upsert_transit(stops, tables["train_line"], tables["station"], tables["building_station"], as_of)
     classified = _on_pages(pages.select("page_id", "url"), met, done.sightings)
+    touched = building.join(seen.select("source_id"), "source_id", "left_semi").select("id")
+    new = lambda name, after: after.select("id").join(tables[name].select("id"), "id", "left_anti")
+    areas = building.select(F.col("id").alias("building_id"), "region", "province")
+    inserted = done.changes.where(F.col("before").isNull()).select("after.building_id").join(areas, "building_id")
+    moved = inserted.groupBy("region", "province").agg(F.count("*").alias("listings"))
     return Ingest(
         {
             "building": building, "rental_unit": done.snapshot, "train_line": transit.line, "station": transit.station,
             "building_station": transit.link,
         },
-        {"rental_price_history": done.history},
+        {"rental_price_history": done.history, "row_reject": _rejects(done.rejected, "rental_unit")},
         classified,
+        {
+            "building": touched, "rental_unit": done.changes.select("after.source_id"), "train_line": new("train_line", transit.line),
+            "station": new("station", transit.station), "building_station": touched.withColumnRenamed("id", "building_id"),
+        },
+        moved.select(F.lit(RENTAL_TYPE).alias("section_type"), "region", "province", "listings"),
     )
 
 

@@ -71,7 +71,18 @@ def stream_window_counts(t: Tables):
     )
 
 
+_CRAWLS: dict[tuple, str] = {}
+
+
 def _crawled(t: Tables) -> str:
+    """The stored tables after two crawls, which the queries about them share within a session."""
+    key = (t.spark.sparkContext.applicationId, t.path)
+    if key not in _CRAWLS:
+        _CRAWLS[key] = _crawl(t)
+    return _CRAWLS[key]
+
+
+def _crawl(t: Tables) -> str:
     """Two crawls of the orders' pages through the ingest stream: in the second one, finished orders are cheaper by the
     digit at the end of their price and the others unchanged."""
     folder = _folder(t)
@@ -106,3 +117,25 @@ def stream_upserted_listings(t: Tables):
 def stream_upserted_history(t: Tables):
     rows = read_log(t.spark, _crawled(t), "price_history")
     return rows.select("price", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded"))
+
+
+@query("SELECT '021' AS section_type, '030' AS region, '13' AS province, count(*) AS listings FROM orders")
+def stream_counts_refreshed(t: Tables):
+    """Counts per area as the batches kept them up to date."""
+    return read_table(t.spark, _crawled(t), "area_count").where("listings > 0")
+
+
+@query(with_views("", """SELECT CAST(1 AS BIGINT) AS version, count(*) AS items, count(*) AS new_items, CAST(0 AS BIGINT) AS updated_items, CAST(0 AS BIGINT) AS unchanged_items FROM crawl
+    UNION ALL SELECT 2, count(*), 0, count(*) FILTER (moved), count(*) FILTER (NOT moved) FROM crawl""", crawl=_CRAWL))
+def stream_observed_metrics(t: Tables):
+    """Counters of each batch, observed while its counters per page were written."""
+    return read_log(t.spark, _crawled(t), "batch_metric")
+
+
+@query("""SELECT o_orderkey + 1 AS page, 2 AS items, 1 AS new_items, CAST((o_orderstatus = 'F') AS BIGINT) AS updated_items,
+    CAST((o_orderstatus <> 'F') AS BIGINT) AS unchanged_items FROM orders""")
+def stream_page_metrics(t: Tables):
+    """Counters of each page over both crawls."""
+    counters = ["items", "new_items", "updated_items", "unchanged_items"]
+    rows = read_log(t.spark, _crawled(t), "page_metric").groupBy(F.col("page").cast("long").alias("page"))
+    return rows.agg(*[F.sum(c).alias(c) for c in counters])

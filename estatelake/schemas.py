@@ -8,6 +8,14 @@ TABLES = {
     "page": "page_id long, url string, kind string, html string",
     "page_reject": "page_id long, url string, kind string, html string",
     "ingest_commit": "query_id string, batch_id long, version long",
+    "ingest_layout": "buckets int",
+    "row_reject": "table string, row string",
+    "stored_id": "table string, id long",
+    "area_count": "section_type string, region string, province string, listings long",
+    "page_metric": (
+        "section_key string, page int, items long, new_items long, updated_items long, unchanged_items long"
+    ),
+    "batch_metric": "version long, items long, new_items long, updated_items long, unchanged_items long",
     "listing": (
         "id long, source_id string, js_id string, region string, province string, section_type string, "
         "property_type string, price long, price_text string, area double, land_area double, land_area_text string, "
@@ -77,3 +85,15 @@ CLUSTERING = {
     "building": ["province", "last_updated"],
     "rental_unit": ["building_id", "rent"],
 }
+
+# Tables that micro-batches write lie in hash buckets of these columns, and a batch writes the buckets it meets. Area counts are a
+# few hundred rows and one bucket.
+BUCKET_KEYS = {
+    "listing": "source_id",
+    "rental_unit": "source_id",
+    "building": "id",
+    "train_line": "id",
+    "station": "id",
+    "building_station": "building_id",
+    "area_count": None,
+}

@@ -1,4 +1,8 @@
-"""Stored tables as Parquet, one directory per version, and the schema changes between versions."""
+"""Stored tables as Parquet and the schema changes between versions.
+
+Tables that are written whole have one directory per version. Tables that micro-batches keep up to date have one directory per
+hash bucket, and a batch overwrites the buckets it meets (Spark's dynamic partition overwrite); all other files stay.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from estatelake.schemas import CLUSTERING, PARTITIONS, TABLES
+from estatelake.schemas import BUCKET_KEYS, CLUSTERING, PARTITIONS, TABLES
 
 
 def _schema(name: str) -> StructType:
@@ -29,8 +33,10 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
 
 
 def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """The given version, or the newest. A table never written reads as empty."""
+    """The given version, or the newest; for a table in buckets its present rows. A table never written reads as empty."""
     known = versions(spark, root, name)
+    if not known and name in BUCKET_KEYS:
+        return read_buckets(spark, root, name).drop("bucket")
     if version is None:
         version = known[-1] if known else None
     if version is None:
@@ -71,6 +77,34 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(name).add("batch", "long")).parquet(f"{root}/{name}").drop("batch")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def bucket_of(name: str, buckets: int) -> Column:
+    """Bucket of a row of a table."""
+    key = BUCKET_KEYS[name]
+    return (F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int") if key else F.lit(0)).alias("bucket")
+
+
+def read_buckets(spark: SparkSession, root: str, name: str, only: list[int] | None = None) -> DataFrame:
+    """Rows of a table in buckets, with their ``bucket``; ``only`` some buckets, whose directories alone are read then."""
+    schema = _schema(name).add("bucket", "integer")
+    if not exists(spark, f"{root}/{name}"):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(f"{root}/{name}")
+    return rows if only is None else rows.where(F.col("bucket").isin(only))
+
+
+def write_buckets(df: DataFrame, root: str, name: str) -> None:
+    """Replaces the buckets (column ``bucket``) that ``df`` has rows of, as whole buckets. Others keep their files. Writing the same
+    rows again gives the same table."""
+    out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _schema(name).fields], "bucket")
+    out = out.hint("rebalance", "bucket").sortWithinPartitions("bucket", *PARTITIONS.get(name, []), *CLUSTERING.get(name, []))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}")
+
+
 def conform(df: DataFrame, name: str, defaults: dict[str, object] | None = None) -> DataFrame:
     """Brings rows of an older layout to the table's schema: adds columns (with a default), drops unknown ones, casts
     the rest (so text dates become dates and timestamps)."""

@@ -101,3 +101,30 @@ def test_pages_count_empty_and_repeated_items(spark):
     stops = metrics.caught_up_page(got)
     assert rows(stops, "stop_page", "stop_reason") == [(3, "no-items")]
     assert dt.date(2026, 1, 2) == done.tables["listing"].first()["insert_date"]
+
+
+def test_rows_without_order_or_key(spark):
+    """A row without an ordinal counts as the key's first, equal ordinals have one order, and rows without a key are set apart."""
+    stored = spark.createDataFrame([(1, "A", "021", "x", "030", "13", 10, "10", T0)], LISTING)
+    row = lambda key, price, at: (key, "021", "x", "030", "13", price, str(price), at)
+    batch = spark.createDataFrame(
+        [row("A", 8, None), row("N", 5, None), row("B", 4, 0), row("B", 3, 0), row(None, 9, 1), row(None, 8, None), row("A", 9, 4), row("A", 8, None)], BATCH
+    )
+    for frame in (batch, batch.repartition(5), batch.coalesce(1)):
+        done = upserts.upsert_listings(stored, frame, AT(T1))
+        assert rows(done.snapshot, "source_id", "price") == [("A", 9), ("B", 4), ("N", 5)]
+        named = done.history.join(done.snapshot.select(F.col("id").alias("property_id"), "source_id"), "property_id")
+        assert rows(named, "source_id", "price") == [("A", 8), ("A", 9), ("B", 4)]
+        assert rows(done.rejected, "price") == [(8,), (9,)] and done.sightings.count() == 6
+        assert rows(done.changes.select("before.price", F.col("after.price").alias("to")), "price", "to") == [(10, 9), (None, 4), (None, 5)]
+    unordered = upserts.upsert_listings(stored, batch.drop("ordinal"), AT(T1))
+    assert rows(unordered.snapshot, "source_id", "price") == [("A", 9), ("B", 4), ("N", 5)]
+
+
+def test_units_without_order_or_key(spark):
+    stored = spark.createDataFrame([(1, "U", 4, 100)], "id long, source_id string, building_id long, rent long").selectExpr("*", "CAST(NULL AS timestamp) AS last_updated")
+    batch = spark.createDataFrame([("U", "building-1", 90, None), ("V", "building-1", 50, None), (None, "building-1", 1, 2), ("W", None, 7, 1)], "source_id string, building_key string, rent long, ordinal int")
+    owners = spark.createDataFrame([(4, "building-1")], "id long, source_id string")
+    done = upserts.upsert_units(stored, batch, owners, AT(T1))
+    assert rows(done.snapshot, "source_id", "rent") == [("U", 90), ("V", 50)]
+    assert rows(done.history, "rental_unit_id", "rent") == [(1, 90), (2, 50)] and done.rejected.count() == 1
