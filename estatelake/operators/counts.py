@@ -86,7 +86,7 @@ def locate(df: DataFrame, state: str = "state") -> DataFrame:
     )
 
 
-def location_transitions(df: DataFrame, located: DataFrame | None = None) -> DataFrame:
+def location_transitions(df: DataFrame) -> DataFrame:
     """How many rows the located region/province would change, per (old, new, prefecture), most frequent first."""
     code = prefecture_code(F.col("state"))
     moved = df.where(code.isNotNull()).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from estatelake.session import shared_folder
 from estatelake.sources.tables import read_log, read_table
 from estatelake.streaming.changes import stream_changes as changes
 from estatelake.streaming.ingest import stream_pages, stream_upsert
-from estatelake.streaming.windows import dedupe_stream, stream_counts
+from estatelake.streaming.windows import dedupe_stream, open_windows, stream_counts
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -38,17 +39,47 @@ def _run(t: Tables, stream: DataFrame) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _run_with_state(t: Tables, stream: DataFrame) -> DataFrame:
+    """The same for a stream with state of its own, which has to be kept in RocksDB whatever the session keeps otherwise."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _run(t, stream)
+    finally:
+        t.spark.conf.set(name, before)
+
+
+def _arrivals(t: Tables) -> DataFrame:
+    """The events as four files that arrive one after the other, by quarters of their time; a tenth of the events of a quarter's last day
+    come a file late, and a last file without events moves the watermark past all of them."""
+    events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / 4
+    at = lambda time: F.floor((F.unix_micros(time) - F.unix_micros(F.lit(low))) / int(step.total_seconds() * 1e6)).cast("int")
+    late = (F.col("event_id") % 10 == 0) & (at(F.col("ts") + F.expr("INTERVAL 1 DAY")) > at(F.col("ts")))
+    events = events.withColumn("part", F.least(at(F.col("ts")) + late.cast("int"), F.lit(3)))
+    folder = _folder(t)
+    end = t.spark.createDataFrame([(high + timedelta(days=3),)], "ts timestamp")
+    for n in range(4):
+        events.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    for c in events.drop("part", "ts").schema:
+        end = end.withColumn(c.name, F.lit(None).cast(c.dataType))
+    end.write.mode("append").parquet(f"{folder}/events")
+    return t.spark.readStream.schema(events.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+
+
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR p <> event_type""")
 def stream_first_and_changes(t: Tables):
     """Unit mode: the first value and every change of it."""
-    return _run(t, changes(_stream(t), "user_id", ["ts", "event_id"], ["event_type"], first=True)).drop("ts")
+    return _run_with_state(t, changes(_arrivals(t), "user_id", "ts", ["event_id"], ["event_type"], first=True, delay="2 days")).drop("ts")
 
 
 @query("""SELECT user_id, event_id, value, event_type FROM (SELECT *, lag(value) OVER w AS v, lag(event_type) OVER w AS p, row_number()
     OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n > 1 AND (p <> event_type OR v <> value)""")
 def stream_changes(t: Tables):
-    return _run(t, changes(_stream(t), "user_id", ["ts", "event_id"], ["value", "event_type"])).drop("ts")
+    return _run_with_state(t, changes(_arrivals(t), "user_id", "ts", ["event_id"], ["value", "event_type"], delay="2 days")).drop("ts")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -59,13 +90,13 @@ def stream_dedupe(t: Tables):
 
 @query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS items,
     count(*) FILTER (value < 10) AS new_items, count(*) FILTER (value >= 10 AND value < 30) AS updated_items FROM events
-    GROUP BY 1, 2, time_bucket(INTERVAL 6 HOUR, ts) HAVING time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <=
-    (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 1 HOUR""")
+    GROUP BY 1, 2""")
 def stream_window_counts(t: Tables):
-    """Windows the watermark has passed; the last ones wait for later data."""
+    """Windows the watermark has passed, and from the rows themselves those it has not."""
     status = F.when(F.col("value") < 10, "new").when(F.col("value") < 30, "updated").otherwise("unchanged")
-    items = _stream(t).select("event_type", status.alias("metric_status"), F.col("ts").cast("timestamp").alias("ts"))
-    rows = _run(t, stream_counts(items, ["event_type"], "ts", "6 hours"))
+    timed = lambda rows: rows.select("event_type", status.alias("metric_status"), F.col("ts").cast("timestamp").alias("ts"))
+    closed = _run(t, stream_counts(timed(_stream(t)), ["event_type"], "ts", "6 hours"))
+    rows = closed.unionByName(open_windows(timed(t.raw("events")), ["event_type"], "ts", "6 hours"))
     return rows.select(
         F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "items", "new_items", "updated_items"
     )

@@ -1,4 +1,4 @@
-"""Change rows from a stream of observed values."""
+"""Change rows from a stream of observed values, in the order of their event time."""
 
 from __future__ import annotations
 
@@ -6,25 +6,56 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+MICROS = "micros_of_time"
 
 
 class _Changes(StatefulProcessor):
-    """Keeps each key's last value and passes on the rows that differ from it."""
+    """Rows wait in list state until the watermark has passed their time; then they are compared in order, each with the one before
+    it, and the key's last value is kept.
+
+    Whatever the files' order, no row that is still to come can lie before a released one. A key has one timer, for its earliest
+    waiting row.
+    """
 
-    def __init__(self, order: list[str], values: list[str], first: bool, state: StructType) -> None:
-        self.order, self.values, self.first, self.state = order, values, first, state
+    def __init__(self, order: list[str], values: list[str], first: bool, row: StructType) -> None:
+        self.order, self.values, self.first, self.row = order, values, first, row
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.state)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.last = handle.getValueState("last", StructType([StructField(v, StringType()) for v in self.values]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # One key's rows of one micro-batch, which the stream's file limit bounds, put in order.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
-        now = batch[self.values].astype(object).where(batch[self.values].notna(), "").astype(str)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for part in rows:
+            self.waiting.appendList(list(part[self.row.names].itertuples(index=False, name=None)))
+            first = int(part[MICROS].min()) // 1000
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None and not any(timer <= earliest for timer in self.handle.listTimers()):
+            self.handle.registerTimer(earliest)
+        yield pd.DataFrame(columns=self.row.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The watermark counts in whole milliseconds.
+        rows = pd.DataFrame(list(self.waiting.get()), columns=self.row.names)
+        due = rows[MICROS] // 1000 <= timerValues.getCurrentWatermarkInMs()
+        later = rows[~due]
+        self.waiting.clear()
+        if len(later):
+            self.waiting.put(list(later.itertuples(index=False, name=None)))
+            self.handle.registerTimer(int(later[MICROS].min()) // 1000)
+        yield self._compared(rows[due])
+
+    def _compared(self, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(self.order, kind="stable", ignore_index=True)
+        if not len(rows):
+            return rows
+        now = rows[self.values].astype(object).where(rows[self.values].notna(), "").astype(str)
         before = now.shift(1)
         stored = self.last.get() if self.last.exists() else None
         if stored is not None:
@@ -33,20 +64,33 @@ class _Changes(StatefulProcessor):
         if stored is None:
             changed.iloc[0] = self.first
         self.last.update(tuple(now.iloc[-1]))
-        yield batch[changed]
+        return rows[changed]
 
     def close(self) -> None:
         pass
 
 
-def stream_changes(events: DataFrame, key: str, order: list[str], values: list[str], first: bool = False) -> DataFrame:
-    """Rows whose values differ from the key's previous row; with ``first`` a key's first row counts as well.
+def stream_changes(
+    events: DataFrame, key: str, time: str, order: list[str], values: list[str], first: bool = False, delay: str = "1 hour"
+) -> DataFrame:
+    """Rows whose values differ from the key's previous row by ``time`` (a timestamp) and then ``order``; with ``first`` a key's first
+    row counts as well. Missing texts compare as empty.
+
+    Rows may come up to ``delay`` late, in any files: a row is compared once the watermark has passed it. A row that is later still
+    is left out, as Spark does with late rows. Rows behind the last watermark stay in the state until later ones come. A key keeps the
+    rows of one delay and its last value. Rows without a key or a time only move the watermark, so such a row (with a time)
+    lets everything before it go.
 
-    The state is one small row per key in RocksDB. Missing texts compare as empty.
+    The session has to keep state in RocksDB (``build_session`` sets it).
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    state = StructType([StructField(v, StringType()) for v in values])
-    rows = events.select(key, *order, *[v for v in values if v not in order])
-    return rows.groupBy(key).transformWithStateInPandas(
-        _Changes(order, values, first, state), outputStructType=rows.schema, outputMode="append", timeMode="None"
+    # A condition on the key alone would be moved below the watermark, which would then not see rows without a key.
+    known = F.when(F.col(time).isNotNull(), F.col(key).isNotNull()).otherwise(False)
+    rows = events.withWatermark(time, delay).where(known)
+    # In the state times are whole microseconds, whatever zone a worker lives in.
+    rows = rows.withColumn(MICROS, F.unix_micros(time))
+    kept = rows.select(*dict.fromkeys([key, MICROS, *[c for c in (*order, *values) if c != time]]))
+    processor = _Changes([MICROS, *[c for c in order if c != time]], values, first, kept.schema)
+    found = rows.select(*kept.columns, time).groupBy(key).transformWithStateInPandas(
+        processor, outputStructType=kept.schema, outputMode="append", timeMode="EventTime"
     )
+    return found.select(key, F.timestamp_micros(MICROS).alias(time), *kept.columns[2:])
