@@ -43,6 +43,10 @@ _CLOSED_BY = {
     "th": {"td", "th", "tr"}, "option": {"option"},
     "p": set("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article form footer header nav hr".split()),
 }
+_CLOSERS = frozenset().union(*_CLOSED_BY.values())
+# The text in these is read by rules of its own, so their tags go through the parser every time.
+_OWN_TEXT = frozenset("script style textarea title iframe noembed noframes noscript xmp plaintext".split())
+_TAGS_KEPT = 20_000
 # An optional end never reaches out of these.
 _FENCE = {"ul", "ol", "dl", "table", "html", "body", "div", "select", "article", "section"}
 
@@ -54,6 +58,29 @@ class _Walk(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.read: tuple | None = None
+
+    # Tags that a worker has read before, by their text: pages of a site repeat most of theirs.
+    tags: dict[str, tuple] = {}
+
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines are not counted."""
+        return j
+
+    def parse_starttag(self, i: int) -> int:
+        end = self.check_for_whole_start_tag(i)
+        known = self.tags.get(self.rawdata[i:end]) if end >= 0 else None
+        if known is not None:
+            tag, attrs, alone = known
+            self._start(tag, attrs, alone)
+            return end
+        self.read = None
+        after = super().parse_starttag(i)
+        if self.read and after == end and self.read[0] not in _OWN_TEXT:
+            if len(self.tags) >= _TAGS_KEPT:
+                self.tags.clear()
+            self.tags[self.rawdata[i:end]] = self.read
+        return after
 
     def _add(self, tag: str, attrs: list, text: str | None) -> None:
         parent = self.open[-1] + 1 if self.open else 0
@@ -66,22 +93,27 @@ class _Walk(HTMLParser):
             self.nodes[at]["size"] = len(self.nodes) - at - 1
         del self.open[depth:]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.nodes[self.open[depth]]["tag"]
-            if tag in _CLOSED_BY.get(name, ()):
-                self._close_to(depth)
-            elif name in _FENCE:
-                break
-        pairs = {k: v or "" for k, v in reversed(attrs)}
-        self._add(tag, list(pairs.items())[::-1], None)
+    def _start(self, tag: str, attrs: list, alone: bool) -> None:
+        if tag in _CLOSERS:
+            for depth in range(len(self.open) - 1, -1, -1):
+                name = self.nodes[self.open[depth]]["tag"]
+                if tag in _CLOSED_BY.get(name, ()):
+                    self._close_to(depth)
+                elif name in _FENCE:
+                    break
+        self._add(tag, attrs, None)
         if tag not in _VOID:
             self.open.append(len(self.nodes) - 1)
+            if alone:
+                self._close_to(len(self.open) - 1)
+
+    def handle_starttag(self, tag: str, attrs: list, alone: bool = False) -> None:
+        pairs = {k: v or "" for k, v in reversed(attrs)}
+        self.read = tag, list(pairs.items())[::-1], alone
+        self._start(*self.read)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self._close_to(len(self.open) - 1)
+        self.handle_starttag(tag, attrs, True)
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
@@ -93,9 +125,10 @@ class _Walk(HTMLParser):
         self._add("#text", [], data)
 
 
-def _walk(html: str | None) -> list[dict] | None:
+def walked(html: str | None) -> list[dict] | None:
     if html is None:
         return None
+    """Entries of a page as dicts with the fields of NODES."""
     walk = _Walk()
     walk.feed(html)
     walk.close()
@@ -106,7 +139,7 @@ def _walk(html: str | None) -> list[dict] | None:
 @F.arrow_udf(NODES)
 def html_nodes(pages: pa.Array) -> pa.Array:
     """The page's elements and texts in document order."""
-    return pa.array([_walk(page.as_py()) for page in pages], type=_ARROW_NODES)
+    return pa.array([walked(page.as_py()) for page in pages], type=_ARROW_NODES)
 
 
 Matcher = Callable[[Column], Column]

@@ -15,6 +15,7 @@ from estatelake.fixed_values import (
     MOVIE_ICON, TYPED_LABELS,
 )
 from estatelake.functions import markup as m
+from estatelake.functions.layouts import html_extract
 from estatelake.functions.measures import known, parse_area, parse_size
 from estatelake.functions.money import (
     building_coverage, floor_area_ratio, parse_price, parse_rent, price_per_tsubo,
@@ -67,93 +68,31 @@ def _pair(key: Column, value: Column) -> Column:
 # --- sale cards ------------------------------------------------------------------------------------------------------
 
 
-def _line_pairs(box: Column) -> Column:
-    """Label and value of every line of a card's fact box, in the order later pairs overwrite earlier ones."""
-
-    def value_of(dd: Column) -> Column:
-        spans = F.filter(dd, m.element("span", "dottable-value"))
-        return F.when(F.size(spans) > 0, m.trimmed_text_of(dd, F.get(spans, F.lit(0)))).otherwise(
-            trim_all(m.text_content(dd))
-        )
-
-    def pair_of_label(dt: Column) -> Column:
-        dd_in = lambda holder: m.inside(holder, m.first(holder, m.has_tag("dd")))
-        dd = m.let(m.inside(box, m.parent_of(box, dt)), dd_in)
-        return _pair(m.trimmed_text_of(box, dt), m.let(dd, value_of))
-
-    def pair_of_cell(td: Column) -> Column:
-        return m.let(
-            m.inside(box, td),
-            lambda cell: _pair(
-                m.trimmed_text_of(cell, m.first(cell, m.has_tag("dt"))),
-                m.trimmed_text_of(cell, m.first(cell, m.has_tag("dd"))),
-            ),
-        )
-
-    def line_entries(line: Column) -> Column:
-        labels = F.transform(F.filter(line, m.has_tag("dt")), pair_of_label)
-        cells = F.transform(m.descend(line, m.has_tag("tr"), m.has_tag("td")), pair_of_cell)
-        return F.concat(labels, cells)
-
-    lines = F.filter(box, m.element("div", "dottable-line"))
-    return F.flatten(F.transform(F.transform(lines, lambda n: m.inside(box, n)), line_entries))
-
-
-def _card_facts(box: Column) -> Column:
+def _card_facts(card: Column) -> Column:
     """The label/value map of a card's fact box."""
-    name_labels = F.filter(box, lambda n: (n["tag"] == "dt") & (m.text_of(box, n) == LABEL_NAME))
-    name = m.let(
-        m.inside(box, m.parent_of(box, F.get(name_labels, F.lit(0)))),
-        lambda holder: m.trimmed_text_of(holder, m.first(holder, m.has_tag("dd"))),
-    )
-    first_span = lambda item: m.trimmed_text_of(item, m.first(item, m.has_tag("span")))
-    photo_types = m.let(
-        m.inside(box, m.first(box, m.element("ul", "property_unit-info-pct"))),
-        lambda ul: F.array_join(
-            _non_empty(
-                F.transform(
-                    F.transform(F.filter(ul, m.has_tag("li")), lambda li: m.inside(ul, li)), first_span
-                )
-            ),
-            ", ",
-        ),
-    )
-    extra = F.array(
-        _pair(F.lit(LABEL_NAME), F.coalesce(name, F.lit(""))),
-        _pair(F.lit(LABEL_PHOTOS), F.coalesce(photo_types, F.lit(""))),
-    )
-    pairs = F.filter(F.concat(_line_pairs(box), extra), lambda e: (e["key"] != "") & (e["value"] != ""))
-    return _last_wins(pairs)
+    lines = F.zip_with(card["labels"], card["values"], lambda k, v: _pair(trim_all(k), trim_all(v)))
+    photo_types = F.array_join(_non_empty(F.transform(card["photo_types"], trim_all)), ", ")
+    extra = F.array(_pair(F.lit(LABEL_NAME), trim_all(card["name"])), _pair(F.lit(LABEL_PHOTOS), photo_types))
+    return _last_wins(F.filter(F.concat(lines, extra), lambda e: (e["key"] != "") & (e["value"] != "")))
 
 
 def extract_sale_cards(pages: DataFrame, origin: str) -> DataFrame:
     """One row per for-sale card with its raw texts and its label/value map ``facts``. Cards without an id or a fact
     box are left out."""
+    keep = [x for x in pages.columns if x not in ("html", "url")]
+    found = pages.select(*keep, F.explode(html_extract("html", "sale")).alias("c"))
     c = F.col("c")
-    source_id = m.attr(m.first(c, lambda n: (n["tag"] == "input") & F.contains(m.attr(n, "name"), F.lit("bsnc"))), "value")
-    clip_key = m.attr(m.first(c, m.element("input", "js-clipkey")), "value")
-    thumbs = F.transform(
-        m.descend(c, m.element("ul", "property_unit-thumb"), m.has_tag("img")), lambda n: m.attr(n, "rel")
-    )
-    cards = _cards(pages, m.class_contains("property_unit "))
-    keep = [x for x in cards.columns if x != "c"]
-    box = m.inside(c, m.first(c, m.element("div", "dottable")))
-    return (
-        cards.withColumns({"source_id": source_id, "box": box})
-        .where((F.col("source_id") != "") & F.col("box").isNotNull())
-        .select(
-            *keep,
-            "source_id",
-            F.coalesce(filled(clip_key), F.col("source_id")).alias("js_id"),
-            _non_empty(
-                _all_text(c, m.descend(c, m.element("ul", "property_unit-pcts"), m.has_tag("li"), m.element("span", "ui-pct")))
-            ).alias("tags"),
-            m.trimmed_text_of(c, m.first(c, m.element("h2", "property_unit-title"))).alias("title"),
-            absolute_url(m.attr(m.first(c, m.has_tag("a")), "href"), origin).alias("url"),
-            m.attr(m.first(c, m.element("div", "ui-media-object"), m.has_tag("img")), "rel").alias("main_image_url"),
-            F.filter(thumbs, lambda u: (u != "") & ~F.contains(u, F.lit(MOVIE_ICON))).alias("image_urls"),
-            _card_facts(F.col("box")).alias("facts"),
-        )
+    return found.select(
+        *keep,
+        c["ordinal"].alias("ordinal"),
+        c["source_id"].alias("source_id"),
+        F.coalesce(filled(c["clip_key"]), c["source_id"]).alias("js_id"),
+        _non_empty(F.transform(c["tags"], trim_all)).alias("tags"),
+        trim_all(c["title"]).alias("title"),
+        absolute_url(c["href"], origin).alias("url"),
+        c["main_image_url"].alias("main_image_url"),
+        F.filter(c["thumbs"], lambda u: (u != "") & ~F.contains(u, F.lit(MOVIE_ICON))).alias("image_urls"),
+        _card_facts(c).alias("facts"),
     )
 
 
