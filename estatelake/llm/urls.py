@@ -98,7 +98,8 @@ def url_verdicts(
     hits = possible(probes, bloom_filter(listed, blocks), blocks, broadcast=small)
     exact = hits.join(F.broadcast(listed) if small else listed, "entry")
     best = F.max(F.struct(F.length("entry").alias("n"), "entry_verdict", "entry"))
-    judged = exact.groupBy("host", "path").agg(best.alias("best"))
-    return pages.join(judged, ["host", "path"], "left").select(
-        *pages.columns, F.col("best.entry").alias("rule"), F.coalesce("best.entry_verdict", F.lit(default)).alias("verdict")
+    judged = exact.groupBy(F.col("host").alias("__host"), F.col("path").alias("__path")).agg(best.alias("__best"))
+    same = (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path"))
+    return pages.join(judged, same, "left").select(
+        *pages.columns, F.col("__best.entry").alias("rule"), F.coalesce("__best.entry_verdict", F.lit(default)).alias("verdict")
     )

@@ -129,6 +129,13 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in urls.url_verdicts(pages, nothing, broadcast_entries=-1).collect()} == {"allow"}
 
 
+def test_url_verdicts_with_clashing_columns(spark):
+    pages = spark.createDataFrame([("http://a.com/x", 1, "b", "e", 2, "r")], "url string, best int, entry string, shape string, block int, rule string")
+    listed = spark.createDataFrame([("com/", "block")], "entry string, verdict string")
+    got = urls.url_verdicts(pages, listed).collect()
+    assert [(r.best, r.entry, r.shape, r.block, r.rule, r.verdict) for r in got] == [(1, "b", "e", 2, "com/", "block")]
+
+
 def test_bloom_filter_loses_no_entry_and_passes_few_others(spark):
     listed = spark.range(2000).select(F.concat(F.lit("e"), "id").alias("entry"))
     probes = spark.range(20_000).select(F.concat(F.lit("e"), "id").alias("entry"))
