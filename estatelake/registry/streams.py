@@ -127,7 +127,7 @@ def _crawl(t: Tables) -> str:
     day = lambda n: F.to_timestamp(F.lit(f"2024-02-0{n + 1} 00:00:00"))
     for crawl in (first, second):
         crawl.write.mode("append").parquet(f"{folder}/pages")
-        stream_upsert(stream_pages(t.spark, f"{folder}/pages"), f"{folder}/tables", SITE, f"{folder}/state", day).awaitTermination()
+        stream_upsert(stream_pages(t.spark, f"{folder}/pages"), f"{folder}/tables", SITE, f"{folder}/state", day, buckets=16).awaitTermination()
     return f"{folder}/tables"
 
 
