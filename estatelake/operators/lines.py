@@ -14,6 +14,7 @@ from estatelake.fixed_values import (
 from estatelake.functions.replies import parse_choice
 from estatelake.functions.text import filled, nfkc
 from estatelake.functions.transit import bare_name, bigrams, fallback_kind, transit_kind
+from estatelake.session import settled
 
 
 def _tokens(c: Column, own: str, other: str) -> Column:
@@ -32,6 +33,7 @@ def _tokens(c: Column, own: str, other: str) -> Column:
 
 
 _BIGRAM, _SHORT_NAME, _SHORT_TARGET = "b:", "n:", "t:"
+HOT_TARGETS = 16  # a bigram in more comparable names than this makes no pairs
 
 
 def canonical_targets(canonical: DataFrame) -> DataFrame:
@@ -45,40 +47,109 @@ def canonical_targets(canonical: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(names: DataFrame, column: str, own: str, other: str, size: str) -> DataFrame:
+    """(name, number of its bigrams, token) of every distinct name."""
+    grams = F.size(bigrams(F.col(column))).alias(size)
+    return names.select(column, grams, F.explode(_tokens(F.col(column), own, other)).alias("token"))
+
+
+def _score(shared: Column, n: Column, t: Column) -> Column:
+    norm, target = F.col("norm"), F.col("target")
+    return F.greatest(
+        F.when(norm == target, F.lit(1.0)).otherwise(F.lit(2.0) * shared / (n + t)),
+        F.when(F.contains(target, norm), F.lit(CONTAINED_IN_TARGET)).otherwise(F.lit(0.0)),
+        F.when(F.contains(norm, target), F.lit(CONTAINS_TARGET)).otherwise(F.lit(0.0)),
+    )
+
+
 def name_pairs(names: DataFrame, targets: DataFrame) -> DataFrame:
     """Similarity of each distinct ``norm`` to each distinct ``target`` with a score above 0: (norm, target, score).
 
     Pairs come from shared pieces, and the pieces are counted on the way: all rows of one name leave one task, so the
     count folds there before anything is shuffled. Without a shared piece both the dice score and the containment
-    scores are 0, so no pair is missed.
+    scores are 0, so no pair is missed. All pairs are the result here; for the best few per name, ``best_targets``
+    leaves out the pairs that frequent pieces alone would make.
     """
     left = names.select("norm").where(F.col("norm") != "").distinct()
     right = targets.select("target").distinct()
-    left_tokens = left.select(
-        "norm", F.size(bigrams(F.col("norm"))).alias("_n"),
-        F.explode(_tokens(F.col("norm"), _SHORT_NAME, _SHORT_TARGET)).alias("token"),
-    )
-    right_tokens = right.select(
-        "target", F.size(bigrams(F.col("target"))).alias("_t"),
-        F.explode(_tokens(F.col("target"), _SHORT_TARGET, _SHORT_NAME)).alias("token"),
-    )
     shared = (
-        left_tokens.join(right_tokens, "token")
+        _pieces(left, "norm", _SHORT_NAME, _SHORT_TARGET, "_n")
+        .join(_pieces(right, "target", _SHORT_TARGET, _SHORT_NAME, "_t"), "token")
         .groupBy("norm", "target")
         .agg(
             F.count_if(F.startswith("token", F.lit(_BIGRAM))).alias("_shared"),
             F.first("_n").alias("_n"), F.first("_t").alias("_t"),
         )
     )
-    norm, target = F.col("norm"), F.col("target")
-    score = F.greatest(
-        F.when(norm == target, F.lit(1.0)).otherwise(F.lit(2.0) * F.col("_shared") / (F.col("_n") + F.col("_t"))),
-        F.when(F.contains(target, norm), F.lit(CONTAINED_IN_TARGET)).otherwise(F.lit(0.0)),
-        F.when(F.contains(norm, target), F.lit(CONTAINS_TARGET)).otherwise(F.lit(0.0)),
-    )
+    score = _score(F.col("_shared"), F.col("_n"), F.col("_t"))
     return shared.select("norm", "target", score.alias("score")).where(F.col("score") > 0)
 
 
+def best_targets(wanted: DataFrame, targets: DataFrame, facts: DataFrame, local: Column, k: int, hot: int) -> DataFrame:
+    """(norm, ekidata_id, score) with every line that can be among the ``k`` best of a (norm, region), and its exact score.
+
+    ``wanted`` has norm and region, ``targets`` ekidata_id and target, ``facts`` one row per ekidata_id with ord; ``local``
+    is true where a line serves the region. A bigram in more than ``hot`` targets is hot and makes no pairs of its own:
+
+    - Names and targets that share any other piece are paired, at most ``hot`` targets per piece.
+    - A target inside a name, or a name inside a target, made of hot bigrams only is met under its rarest bigram.
+    - What is left shares hot bigrams only, so its score follows from the name's hot bigrams, its size and the region.
+      Names that agree in these share one ranking. A line's score there is no higher than its true one and equals it
+      where the line was not paired otherwise, so a line beyond its first ``k`` has ``k`` better ones in truth as well.
+    """
+    posts = _pieces(targets.select("target").distinct(), "target", _SHORT_TARGET, _SHORT_NAME, "_t")
+    is_bigram = F.startswith("token", F.lit(_BIGRAM))
+    held = posts.groupBy("token").agg(F.count("*").alias("_held"))
+    posts = settled(posts.join(held, "token").withColumn("_hot", is_bigram & (F.col("_held") > hot)))
+    names = wanted.select("norm").where(F.col("norm") != "").distinct()
+    # A name of one character is contained in targets under pieces of its own, and there are only as many as characters.
+    pieces = settled(
+        _pieces(names, "norm", _SHORT_NAME, _SHORT_TARGET, "_n")
+        .join(posts.select("token", "_held", "_hot").distinct(), "token")
+        .withColumn("_hot", F.col("_hot") & (F.length("norm") > 1))
+    )
+    by_token = posts.select("token", "target")
+    rarest = lambda df, c, size: (
+        df.where(is_bigram).groupBy(c, size).agg(F.min(F.struct("_held", "token")).alias("_rarest"), F.count("*").alias("_all"))
+        .where((F.col("_rarest._held") > hot) & (F.col("_all") == F.col(size))).select(c, "_rarest.token")
+    )
+    paired = pieces.where(~F.col("_hot")).join(by_token, "token").select("norm", "target")
+    inside_name = pieces.where("_hot").join(rarest(posts, "target", "_t"), "token").where(F.contains("norm", "target"))
+    inside_target = rarest(pieces, "norm", "_n").join(by_token, "token").where(F.contains("target", "norm"))
+    met = paired.unionByName(inside_name.select("norm", "target")).unionByName(inside_target.select("norm", "target"))
+    met = met.distinct().join(targets, "target").select("norm", "ekidata_id")
+
+    alike = pieces.where("_hot").groupBy("norm", "_n").agg(F.sort_array(F.collect_set("token")).alias("_tokens"))
+    alike = alike.join(wanted.select("norm", "region").distinct(), "norm")
+    kinds = alike.select("_tokens", "_n", "region").distinct()
+    shared = (
+        kinds.select("_tokens").distinct().select("_tokens", F.explode("_tokens").alias("token"))
+        .join(posts.where("_hot").select("token", "target", "_t"), "token")
+        .groupBy("_tokens", "target").agg(F.count("*").alias("_shared"), F.first("_t").alias("_t"))
+    )
+    kind = ["_tokens", "_n", "region"]
+    ranked = (
+        kinds.join(shared, "_tokens").join(targets, "target").groupBy(*kind, "ekidata_id")
+        .agg(F.max(F.lit(2.0) * F.col("_shared") / (F.col("_n") + F.col("_t"))).alias("score"))
+        .join(facts, "ekidata_id")
+        .withColumn("score", _boosted(local))
+        .withColumn("_rank", F.row_number().over(W.partitionBy(*kind).orderBy(F.desc("score"), F.asc("ord"))))
+        .where(F.col("_rank") <= k)
+    )
+    same = (F.col("a._tokens") == F.col("r._tokens")) & (F.col("a._n") == F.col("r._n")) & F.col("a.region").eqNullSafe(F.col("r.region"))
+    listed = alike.alias("a").join(ranked.alias("r"), same).select("a.norm", "r.ekidata_id")
+
+    pairs = met.unionByName(listed).distinct().join(names.withColumn("_grams", bigrams(F.col("norm"))), "norm")
+    forms = targets.withColumn("_forms", bigrams(F.col("target")))
+    score = _score(F.size(F.array_intersect("_grams", "_forms")), F.size("_grams"), F.size("_forms"))
+    scored = pairs.join(forms, "ekidata_id").groupBy("norm", "ekidata_id").agg(F.max(score).alias("score"))
+    return scored.where(F.col("score") > 0)
+
+
+def _boosted(local: Column) -> Column:
+    return F.col("score") + F.when(local, F.lit(REGION_BOOST)).otherwise(F.lit(0.0))
+
+
 def normalised(lines: DataFrame) -> DataFrame:
     """Lines with their comparable name ``norm`` and the folded label ``folded``. Folding runs once per name."""
     names = lines.select("name").distinct()
@@ -87,38 +158,32 @@ def normalised(lines: DataFrame) -> DataFrame:
 
 
 def line_candidates(
-    lines: DataFrame, canonical: DataFrame, k: int = CANDIDATES_DEFAULT, areas: DataFrame | None = None
+    lines: DataFrame, canonical: DataFrame, k: int = CANDIDATES_DEFAULT, areas: DataFrame | None = None, hot: int = HOT_TARGETS
 ) -> DataFrame:
     """The k most similar canonical lines per (name, region): name, region, ekidata_id, score, rank.
 
     A candidate whose prefectures lie in the name's region gains a little. Equal scores keep the reference set's order.
+    ``hot`` decides how pairs are found, not which.
     """
     wanted = normalised(lines.select("name", "region").distinct())
     # Names are scored against names: many labels fold to one norm and many lines share a target.
     targets = canonical_targets(canonical)
-    scored = (
-        name_pairs(wanted, targets)
-        .join(targets, "target")
-        .groupBy("norm", "ekidata_id")
-        .agg(F.max("score").alias("score"))
-    )
-    facts = canonical.select("ekidata_id", "ord", "prefectures")
+    facts = canonical.select("ekidata_id", "ord")
+    local = F.lit(False)
     if areas is not None:
         # Regions a canonical line runs through; a dimension of at most 47 prefectures per line.
         serving = (
             canonical.select("ekidata_id", F.explode("prefectures").alias("province"))
-            .join(areas.select("province", "region"), "province")
+            .join(areas.select("province", F.col("region").alias("_region")), "province")
             .groupBy("ekidata_id")
-            .agg(F.collect_set("region").alias("_regions"))
+            .agg(F.collect_set("_region").alias("_regions"))
         )
         facts = facts.join(serving, "ekidata_id", "left")
         local = F.coalesce(F.array_contains("_regions", F.col("region")), F.lit(False))
-    else:
-        local = F.lit(False)
-    pairs = wanted.join(scored, "norm").join(facts, "ekidata_id")
-    boosted = pairs.withColumn("score", F.col("score") + F.when(local, F.lit(REGION_BOOST)).otherwise(F.lit(0.0)))
+    scored = best_targets(wanted, targets, facts, local, k, hot)
+    pairs = wanted.join(scored, "norm").join(facts, "ekidata_id").withColumn("score", _boosted(local))
     rank = F.row_number().over(W.partitionBy("name", "region").orderBy(F.desc("score"), F.asc("ord")))
-    return boosted.select("name", "region", "ekidata_id", "score", rank.alias("rank")).where(F.col("rank") <= k)
+    return pairs.select("name", "region", "ekidata_id", "score", rank.alias("rank")).where(F.col("rank") <= k)
 
 
 def rule_decisions(lines: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def proposal_page(df: DataFrame, page: int | None, size: int = PROPOSALS_PER_PAG
     last = F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
     current = F.least(F.greatest(F.lit(asked).cast("long"), F.lit(1).cast("long")), last)
     # Positions come from one count per (changed, id bucket) and numbering inside it.
-    bucket = F.struct(~F.col("changed"), F.floor(F.col("id") / 100_000))
+    bucket = F.struct((~F.col("changed")).alias("same"), F.floor(F.col("id") / 100_000).alias("ids"))
     rows = numbered(df, bucket, ["id"], "position")
     start = (current - 1) * size
     return rows.where((F.col("position") > start) & (F.col("position") <= start + size)).orderBy("position")
@@ -112,5 +112,5 @@ def with_children(
     """
     child_key = child_key or key
     mine = child.join(parent.select(F.col(key).alias(child_key)).distinct(), child_key, "left_semi")
-    listed = numbered(mine, slice_by, order, "child_no", [child_key])
+    listed = numbered(mine, slice_by, order, "child_no", [child_key], parts=1)
     return parent.join(listed, parent[key] == listed[child_key], "left").drop(listed[child_key])

@@ -62,8 +62,8 @@ def translation_worklist(df: DataFrame) -> DataFrame:
 
 
 def assign_batches(df: DataFrame, size: int = TEXTS_PER_REQUEST, id: str = "id", order: list[str] = [], width: int = 100_000) -> DataFrame:
-    """Adds ``batch``: consecutive rows by id in groups of ``size``. Rows are counted per id range first, so no task
-    numbers more than one range."""
+    """Adds ``batch``: consecutive rows by id, ``order`` and then all other columns, in groups of ``size``. Rows are
+    counted per id range and per group of ranges, so no task numbers more than one range or sees all ranges."""
     rows = numbered(df, F.floor(F.col(id) / width), [id, *order], "_position")
     return rows.withColumn("batch", F.floor((F.col("_position") - 1) / size).cast("long")).drop("_position")
 

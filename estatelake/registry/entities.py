@@ -100,6 +100,20 @@ def name_candidates(t: Tables):
     return _candidates(t).withColumn("score", F.round("score", 9))
 
 
+_HOT = _MATCHED | dict(
+    raw=_RAW.replace("p_name AS kanji", "p_name || 'qz' AS kanji"), lines=_LINES.replace("p_brand || ' ' || p_name AS name", "p_brand || ' ' || p_name || 'qz' AS name")
+)
+
+
+@query(with_views("", "SELECT * FROM ranked WHERE rank <= 5", **_HOT))
+def hot_name_candidates(t: Tables):
+    """One bigram is in every label and in a form of every canonical line."""
+    raw = canonical_raw(t).withColumn("name_kanji", F.concat("name_kanji", F.lit("qz")))
+    labels = line_rows(t).withColumn("name", F.concat("name", F.lit("qz")))
+    found = lines.line_candidates(labels, settled(merge_canonical(raw)), 5, _areas(t), hot=4)
+    return found.withColumn("score", F.round("score", 9))
+
+
 @query(f"""SELECT p_partkey, round(CASE WHEN p_name = p_type THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect(a, b))
     / (len(a) + len(b)) END, 9) AS score FROM (SELECT p_partkey, p_name, p_type, {_GRAMS.format('p_name')} AS a,
     {_GRAMS.format("lower(p_type)")} AS b FROM part)""")

@@ -1,6 +1,7 @@
 """Table-to-table jobs on small hand-made tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Observation
@@ -149,6 +150,47 @@ def test_candidates_match_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [1, 3, 16])
+def test_hot_pieces_make_no_pairs_and_lose_no_candidate(spark, hot):
+    """One bigram is in every name and target; names inside targets and targets inside names, single characters, ties."""
+    draw = random.Random(hot)
+    text = lambda: "".join(draw.choice("abcde") for _ in range(draw.randint(0, 6)))
+    names = {text() + "qz" + text() for _ in range(60)} | {"q", "z", "a", "qz", "zz", "none"}
+    forms = [[text() + "qz" + text(), text() + "qz"] for _ in range(40)] + [["qz", "q"], ["zq", "qz"], ["a", "zqzqz"]]
+    raw = [(i, "", f"c{i}", f[0], f[1], "", [], [str(i % 5)]) for i, f in enumerate(forms)]
+    canon = canonical.merge_canonical(spark.createDataFrame(raw, tables.TABLES["canonical_line"]))
+    wanted = spark.createDataFrame([(n, r) for n in sorted(names) for r in ("0", "1", None)], "name string, region string")
+    areas = spark.createDataFrame([(str(i), str(i % 2)) for i in range(5)], "province string, region string")
+    got = lines.line_candidates(wanted, canon, 7, areas, hot)
+
+    grams = lambda s: {s[i : i + 2] for i in range(len(s) - 1)} or {s}
+
+    def score(n, t):
+        dice = 1.0 if n == t else 2 * len(grams(n) & grams(t)) / (len(grams(n)) + len(grams(t)))
+        return max(dice, 0.85 if n in t else 0, 0.8 if t in n else 0)
+
+    want = set()
+    for n in names:
+        for r in ("0", "1", None):
+            scores = [(max(score(n, t) for t in f), i) for i, f in enumerate(forms)]
+            best = sorted((-(s + 0.05 * (str(i % 5 % 2) == r)), i) for s, i in scores if s > 0)[:7]
+            want |= {(n, r, f"c{i}", round(-s, 9), at) for at, (s, i) in enumerate(best, 1)}
+    assert {(x.name, x.region, x.ekidata_id, round(x.score, 9), x["rank"]) for x in got.select("*").collect()} == want
+
+
+def test_numbers_over_very_many_ranges(spark):
+    """A million ranges: totals run inside groups of ranges and over the groups, and equal keys are told apart by all columns."""
+    n = 1_000_000
+    rows_ = spark.range(n).select((F.col("id") * 3).alias("id"), F.lit("x").alias("text"))
+    got = ordered.numbered(rows_, F.col("id"), ["id"], "at", parts=16)
+    assert got.where(F.col("at") != F.col("id") / 3 + 1).count() == 0 and got.count() == n
+    tied = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (None, "c", 1), (1, "a", 3), (7, None, 0)], "id long, text string, v int")
+    got = translations.assign_batches(tied.repartition(5), size=2, width=3)
+    assert rows(got, "id", "text", "v", "batch") == sorted(
+        [(None, "c", 1, 0), (1, "a", 3, 0), (1, "a", 9, 1), (1, "b", 2, 1), (7, None, 0, 2)], key=repr
+    )
+
+
 def test_line_proposals_with_a_decider(spark):
     raw = spark.createDataFrame(
         [(0, "a", "1", "山手線", "やまのてせん", "Yamanote", [], ["13"]), (1, "", "2", "中央線", "", "", ["JR中央線"], ["13", "20"]), (2, "c", "2", "中央線", "", "Chuo", ["中央本線"], ["13"])],
