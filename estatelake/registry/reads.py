@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from estatelake.fixed_values import PREFECTURES_JA, REGIONS
@@ -13,6 +15,8 @@ from estatelake.operators import counts, filters, listings, rentals
 from estatelake.operators.filters import filter_listings, listing_condition
 from estatelake.registry import query
 from estatelake.registry.tables import Tables, with_views
+from estatelake.session import shared_folder
+from estatelake.sources import paged
 
 AREA = {"region": "1", "province": "6"}
 IN_AREA = "region = '1' AND province = '6'"
@@ -77,6 +81,15 @@ def listing_page(t: Tables):
     return listings.listing_page(rows, page=2).select(*_PAGE.split(", "))
 
 
+@query(with_views("listing", f"SELECT {_PAGE} FROM listing ORDER BY price DESC, id LIMIT 12 OFFSET 480"))
+def deep_listing_page(t: Tables):
+    """Page 41 of all listings, from a copy stored in that order."""
+    path = f"{shared_folder(t.spark)}/ordered-{uuid.uuid4().hex}"
+    order = [F.desc("price"), F.asc("id")]
+    paged.write_in_order(t.listing.select(*_PAGE.split(", ")), path, order, 32)
+    return paged.read_page(t.spark, path, order, 41, 12)
+
+
 @query(with_views("listing", f"""SELECT {_PAGE} FROM listing WHERE section_type = '1-URGENT' AND region = '1'
     AND price >= 60000000 AND price < 100000000 AND (building_area >= 60 OR (building_area = 0 AND area >= 60))
     AND walking_minutes > 0 AND walking_minutes <= 10 ORDER BY price DESC, id LIMIT 12"""))
