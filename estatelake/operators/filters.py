@@ -47,6 +47,11 @@ def in_scope(df: DataFrame, **scope: str) -> DataFrame:
     return df
 
 
+def within(df: DataFrame, scope: dict[str, str]) -> DataFrame:
+    """Equality on those columns of the scope that the rows carry; rows that carry none stay whole."""
+    return in_scope(df, **{c: v for c, v in scope.items() if c in df.columns})
+
+
 def filter_listings(
     df: DataFrame, scope: dict[str, str], price: str = "any", size: str = "any", walk: str = "any"
 ) -> DataFrame:

@@ -16,7 +16,8 @@ from estatelake.operators.filters import filter_listings, listing_condition
 from estatelake.registry import query
 from estatelake.registry.tables import Tables, with_views
 from estatelake.session import shared_folder
-from estatelake.sources import paged
+from estatelake.plans import search
+from estatelake.sources import families, paged
 
 AREA = {"region": "1", "province": "6"}
 IN_AREA = "region = '1' AND province = '6'"
@@ -279,6 +280,58 @@ def cheapest_units(t: Tables):
     return listings.cheapest_units(t.unit, 3, ["size", "part", "station_id", "floor"])
 
 
+# --- children stored with the area of their parents ------------------------------------------------------------------
+
+
+def _stored_rentals(t: Tables) -> str:
+    root = f"{shared_folder(t.spark).rstrip('/')}/family-{uuid.uuid4().hex}"
+    families.write_family(root, t.building, {"units": (t.unit, "building_id"), "links": (t.link, "building_id")}, ranges=32)
+    return root
+
+
+@query(with_views("building unit", f"""SELECT building_id, rent, size, part, station_id, floor, region, province
+    FROM unit JOIN (SELECT id, region, province FROM building WHERE {IN_AREA} AND EXISTS
+    (SELECT 1 FROM unit WHERE building_id = building.id AND rent >= 50000 AND rent <= 75000)
+    ORDER BY last_updated DESC, id LIMIT 10 OFFSET 10) ON id = building_id WHERE rent >= 50000 AND rent <= 75000"""))
+def stored_rental_units(t: Tables):
+    """The second page's units from the stored family."""
+    return search.stored_rental_units(t.spark, _stored_rentals(t), AREA, 2, 50_000, 75_000)
+
+
+@query(with_views("building unit", f"""SELECT count(*) AS units FROM unit JOIN building ON building_id = id
+    WHERE {IN_AREA} AND rent >= 75000"""))
+def stored_unit_count(t: Tables):
+    root = _stored_rentals(t)
+    building, units = (filters.in_scope(families.read_family(t.spark, root, n), **AREA) for n in ("parents", "units"))
+    return rentals.count_units(filters.filter_units(units, min_rent=75_000), building)
+
+
+@query(with_views("building station link line", f"""SELECT building.id, station_id, walking_minutes, station.name AS station,
+    line.name AS line FROM building LEFT JOIN link ON building_id = building.id LEFT JOIN station
+    ON station.id = station_id LEFT JOIN line ON line.id = train_line_id WHERE {IN_AREA}"""))
+def stored_building_stations(t: Tables):
+    """Stations of an area's buildings from the stored family."""
+    root = _stored_rentals(t)
+    building, links = (filters.in_scope(families.read_family(t.spark, root, n), **AREA) for n in ("parents", "links"))
+    return rentals.with_stations(building, links.drop(*families.AREA), t.station, t.line).select(
+        "id", "station_id", "walking_minutes", "station", "line"
+    )
+
+
+@query(with_views("listing history", """SELECT id, l.price, building_area, region, greatest(coalesce(max(CASE WHEN n = 2 THEN h.price END)
+    - max(CASE WHEN n = 1 THEN h.price END), 0), 0) AS cut FROM
+    (SELECT * FROM listing WHERE section_type = '1-URGENT' AND region = '1' AND province = '6' ORDER BY price, id LIMIT 12) l
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY recorded_at DESC, price DESC) AS n FROM history) h
+    ON property_id = id AND n <= 2 GROUP BY id, l.price, building_area, region"""))
+def stored_listing_search(t: Tables):
+    """A search page whose price history is stored with the listings' areas."""
+    root = f"{shared_folder(t.spark).rstrip('/')}/family-{uuid.uuid4().hex}"
+    families.write_family(root, t.listing, {"history": (t.history.drop("price_text"), "property_id")}, ranges=32)
+    listing, history = (families.read_family(t.spark, root, n) for n in ("parents", "history"))
+    page = search.listing_search(listing, history, {"section_type": "1-URGENT", **AREA})
+    return page.select("id", "price", "building_area", "region", "cut")
+
+
 # --- price history ---------------------------------------------------------------------------------------------------
 
 
