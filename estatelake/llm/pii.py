@@ -2,12 +2,14 @@
 
 A replacement is drawn from HMAC-SHA256 of the entity's type and normal form, so an entity gets the same one everywhere, in the
 format of each place: digits for digits, the same separators, the same case. Cards keep their first digit and stay valid, IBANs
-keep the country and stay valid, addresses of one mail domain share a domain, names keep gender and script, and a surname is
-replaced alike with and without a given name.
+keep the country and stay valid, addresses of one mail domain share a domain and those of different domains do not, names keep
+gender and script, and a surname is replaced alike with and without a given name. Titles, also chains of them, are no names.
 
 Draws may collide. All distinct entities of the corpus form a table; of those that drew the same replacement the one that had it
-first (then the smallest) keeps it, and no replacement may be a real entity; the others draw again until nothing collides. Only
-these exceptions have to be known when texts are rewritten.
+first (then the smallest) keeps it, and no replacement may be a real entity; the others draw again until nothing collides. Names,
+mail domains and the local parts of addresses grow with the attempts, so they never run out; numbers have to keep their format, and
+if the corpus holds so much of one format that draws still collide after ``MOST_ATTEMPTS``, the job ends with an error. Only
+the exceptions have to be known when texts are rewritten.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql.pandas.functions import ArrowUDFType, arrow_udf
 from estatelake.llm.common import stored
 
 BROADCAST_EXCEPTIONS = 100_000
+MOST_ATTEMPTS = 64  # with two thirds of a format in use, one entity in 10^11 would still collide then
 FOUND = "array<struct<kind:string,norm:string>>"
 
 # Titles and given names that mark a person, by gender (f, m, or n for unknown). Fixed values.
@@ -61,8 +64,11 @@ _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _CARD = re.compile(r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)*"
-_TITLED = re.compile(rf"(?<!\w)({'|'.join(sum(TITLES.values(), []))})\.?[  ](?:({_NAME})[  ])?({_NAME})")
-_GIVEN = re.compile(rf"(?<!\w)({'|'.join(sum(GIVEN.values(), []))})(?:[  ]({_NAME}))?(?!\w)")
+_TITLE = f"(?:{'|'.join(sum(TITLES.values(), []))})"
+_PERSON = rf"(?!{_TITLE}(?![\w-])){_NAME}"
+_TITLED = re.compile(rf"(?<!\w)((?:{_TITLE}\.?[ \u00a0])+)(?:({_PERSON})[ \u00a0])?({_PERSON})")
+_GIVEN = re.compile(rf"(?<!\w)({'|'.join(sum(GIVEN.values(), []))})(?:[ \u00a0]({_PERSON}))?(?!\w)")
+_ONE_TITLE = re.compile(_TITLE)
 _WORD_OF_NAME = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _CODE = re.compile(r"\+(\d{1,3})(?=\D)")
 
@@ -91,11 +97,12 @@ def _digits(text: str) -> str:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a whole text, in order, never overlapping; the kind that comes first
     in this function has precedence. Kinds of names end in gender and script."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order
 
     def take(start: int, end: int, kind: str, norm: str) -> None:
-        if norm and not any(a < end and start < b for a, b, _, _ in found):
-            found.append((start, end, kind, norm))
+        i = bisect_right(found, start, key=lambda f: f[0])
+        if norm and (i == 0 or found[i - 1][1] <= start) and (i == len(found) or end <= found[i][0]):
+            insort(found, (start, end, kind, norm))
 
     if "@" in text:
         for m in _EMAIL.finditer(text):
@@ -120,7 +127,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if digits[0] in "3456" and (luhn(digits) == 0 or len(digits) == 16):
                 take(*m.span(), "card", digits)
     for m in _TITLED.finditer(text):
-        gender = next(g for g, names in TITLES.items() if m[1] in names)
+        genders = [g for t in _ONE_TITLE.findall(m[1]) for g, names in TITLES.items() if t in names]
+        gender = next((g for g in genders if g != "n"), "n")
         last = 3 if m[3][0].isupper() else 2
         if not m[last] or not m[last][0].isupper():
             continue
@@ -132,12 +140,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             take(*m.span(1), f"given-{GENDER[m[1].lower()]}-{script_of(m[1])}", m[1].lower())
             take(*m.span(2), f"surname-{script_of(m[2])}", m[2].lower())
     people: dict[str, str] = {}
-    for _, _, kind, norm in sorted(found):
+    for _, _, kind, norm in found:
         if kind.startswith(("given", "surname")):
             people.setdefault(norm, kind)
     if people:
         # Mentions of a person who is known by now need no title or given name; small letters are other words.
-        taken = sorted(found)
+        taken = list(found)
         starts = [f[0] for f in taken]
         for m in _WORD_OF_NAME.finditer(text):
             kind = people.get(m[0].lower())
@@ -148,6 +156,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
+def domain_of(email: str) -> str:
+    return email.rpartition("@")[2]
+
+
 class _Draw:
     """Numbers from a keyed stream."""
 
@@ -171,14 +183,17 @@ class _Draw:
         )
 
 
-def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The normal form of an entity's replacement at a given attempt."""
+def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0, domain: str | None = None) -> str:
+    """The normal form of an entity's replacement at a given attempt; ``domain`` is the replacement of an address's domain (by
+    default its first one)."""
     draw = _Draw(key, kind, norm, attempt)
+    more = "a" * (attempt // 4)
     if kind == "email":
-        local, _, domain = norm.rpartition("@")
-        labels = domain.split(".")
-        shared = _Draw(key, "domain", domain)
-        return f"{draw.like(local)}@{'.'.join([*(shared.like(x) for x in labels[:-1]), labels[-1]])}"
+        local, _, real = norm.rpartition("@")
+        return f"{draw.like(local + more)}@{domain or surrogate(key, 'domain', real)}"
+    if kind == "domain":
+        first, *others = norm.split(".")
+        return ".".join([draw.like(first + more), *(draw.like(x) for x in others[:-1]), *others[-1:]])
     if kind == "ip":
         return ".".join(str(x) for x in (1 + draw.below(223), draw.below(256), draw.below(256), 1 + draw.below(254)))
     if kind.startswith("phone"):
@@ -216,42 +231,59 @@ def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
     pieces, kinds, at = [], [], 0
     for start, end, kind, norm in detect(text):
         tail = "." * (len(text[start:end]) - len(text[start:end].rstrip("."))) if kind == "email" else ""
-        pieces += [text[at:start], in_format_of(text[start:end], kind, surrogate(key, kind, norm, attempts.get((kind, norm), 0))), tail]
+        real = domain_of(norm) if kind == "email" else None
+        domain = surrogate(key, "domain", real, attempts.get(("domain", real), 0)) if real else None
+        drawn = surrogate(key, kind, norm, attempts.get((kind, norm), 0), domain)
+        pieces += [text[at:start], in_format_of(text[start:end], kind, drawn), tail]
         kinds.append(re.split(r"[+-]", kind)[0])
         at = end
     return "".join([*pieces, text[at:]]), kinds
 
 
 def _drawn(key: bytes):
-    def run(kinds: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for kind, norm, attempt in kinds:
-            yield pa.array([surrogate(key, k, n, a) for k, n, a in zip(kind.to_pylist(), norm.to_pylist(), attempt.to_pylist())], pa.string())
+    def run(rows: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in rows:
+            yield pa.array([surrogate(key, *row) for row in zip(*(c.to_pylist() for c in columns))], pa.string())
 
     return arrow_udf(run, "string", ArrowUDFType.SCALAR_ITER)
 
 
-def settled_attempts(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm, attempt, surrogate) of distinct entities (kind, norm): no two surrogates of a kind are alike, and none is an
-    entity of its kind."""
+def _settled(entities: DataFrame, key: bytes) -> DataFrame:
     draw = _drawn(key)
-    entities = stored(entities.select("kind", "norm").distinct())
     real = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("is_real"))
     now = entities.withColumn("attempt", F.lit(0))
-    while True:
-        now = stored(now.withColumn("surrogate", draw("kind", "norm", "attempt")).select("kind", "norm", "attempt", "surrogate"))
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
+    for _ in range(MOST_ATTEMPTS):
+        now = stored(now.withColumn("surrogate", draw("kind", "norm", "attempt", "domain")))
+        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"))
         marked = now.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         again = F.col("is_real").isNotNull() | (F.col("first.norm") != F.col("norm"))
-        marked = stored(marked.select("kind", "norm", "attempt", again.alias("again")))
+        marked = stored(marked.select("kind", "norm", "domain", "attempt", again.alias("again")))
         if not marked.where("again").limit(1).count():
-            return now
-        now = marked.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+            return now.select("kind", "norm", "attempt", "surrogate")
+        now = marked.select("kind", "norm", "domain", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+    kinds = [r.kind for r in marked.where("again").select("kind").distinct().limit(10).collect()]
+    raise ValueError(f"no surrogates left in the format of {', '.join(kinds)}")
+
+
+def settled_attempts(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, norm, attempt, surrogate) of distinct entities (kind, norm) and of the domains of addresses: no two surrogates of a
+    kind are alike, and none is an entity of its kind. Domains are settled before the addresses that hold them."""
+    entities = stored(entities.select("kind", "norm").distinct())
+    is_email, domain = F.col("kind") == "email", F.substring_index("norm", "@", -1)
+    domains = entities.where(is_email).select(F.lit("domain").alias("kind"), domain.alias("norm"))
+    others = stored(entities.where(~is_email).union(domains).distinct())
+    others = _settled(others.withColumn("domain", F.lit(None).cast("string")), key)
+    drawn = others.where("kind = 'domain'").select(F.col("norm").alias("real"), F.col("surrogate").alias("domain"))
+    emails = entities.where(is_email).withColumn("real", domain).join(drawn, "real").select("kind", "norm", "domain")
+    return others.unionByName(_settled(stored(emails), key))
 
 
 def _entities(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("norm", pa.string())]))
     for batch in texts:
-        yield pa.array([[{"kind": k, "norm": n} for _, _, k, n in detect(t)] if t else [] for t in batch.to_pylist()], kind)
+        rows = [[(k, n) for _, _, k, n in detect(t)] if t else [] for t in batch.to_pylist()]
+        rows = [row + [("domain", domain_of(n)) for k, n in row if k == "email"] for row in rows]
+        yield pa.array([[{"kind": k, "norm": n} for k, n in row] for row in rows], kind)
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
