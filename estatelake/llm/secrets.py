@@ -1,6 +1,10 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on every long token.
 
-The battery asks of each distinct token of 20 and more characters whether it can be ordinary text of its alphabet. The null
+Candidates are tokens of 20 and more characters and, since a secret behind ordinary words is diluted in its token, also the pieces
+of 20 and more letters and digits between a token's signs. Where a token and its pieces are found, the pieces stand for it if one
+of them is far stronger, else the token does.
+
+The battery asks of each distinct candidate whether it can be ordinary text of its alphabet. The null
 hypothesis is ordinary text: letters come unevenly, kinds of characters (lower, upper, digit) change rarely, vowels and
 consonants alternate. Three tests look for the opposite:
 
@@ -26,6 +30,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # the same matches as HEX with 24 and more characters
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+# A run of letters and digits with a sign before or behind it, so a part of a token and not all of it.
+PIECE = r"(?<=[+/_=-])[A-Za-z0-9]{20,}+|(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+(?=[+/_=-])"
+STRONGER = 100.0  # how many times smaller a piece's p has to be than its token's
 KINDS = ["assign", "access", "hex", "random"]
 
 # Alphabets in the order in which they are tried: name, what a token has to look like, number of characters.
@@ -57,8 +64,9 @@ def _spans(text: Column, found: Column, pattern: str) -> Column:
 
 
 def pattern_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds assign, access, hex and tokens: the spans of the patterns and of the long tokens in a text without nulls."""
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": LONG_HEX, "tokens": TOKEN}
+    """Adds assign, access, hex, tokens and pieces: the spans of the patterns, of the long tokens and of their long pieces in a text
+    without nulls."""
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": LONG_HEX, "tokens": TOKEN, "pieces": PIECE}
     found = df.withColumns({f"__{k}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for k, p in patterns.items()})
     spans = found.withColumns({k: _spans(F.col(text), F.col(f"__{k}"), p) for k, p in patterns.items()})
     return spans.withColumns({
@@ -139,20 +147,41 @@ def _of_kind(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s.start.alias("start"), number, F.lit(kind).alias("kind"), s.end.alias("end"), s.token.alias("token")))
 
 
+def strongest(found: DataFrame, row: list[str]) -> DataFrame:
+    """Of the found candidates (start, end, p and ``whole``, true for a token) of each row those that stand: a token, or its pieces.
+
+    Tokens never overlap and a piece lies in one token, so in order of their starts one pass tells a piece's token.
+    """
+    order = Window.partitionBy(*row).orderBy("start", F.desc("end"), F.desc("whole"))
+    token = F.last(F.when(F.col("whole"), F.struct("start", "end")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = found.withColumn("__token", token)
+    inside = F.coalesce(F.col("__token.end") >= F.col("end"), F.lit(False))
+    placed = placed.withColumn("__group", F.when(inside, F.col("__token.start")).otherwise(F.col("start")))
+    group = Window.partitionBy(*row, "__group")
+    best, of_token = F.min(F.when(~F.col("whole"), F.col("p"))).over(group), F.min(F.when(F.col("whole"), F.col("p"))).over(group)
+    by_pieces = of_token.isNull() | F.coalesce(best * STRONGER <= of_token, F.lit(False)) & (of_token > 0)
+    return placed.withColumn("__pieces", by_pieces).where(F.col("whole") != F.col("__pieces")).drop("__token", "__group", "__pieces")
+
+
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.01) -> DataFrame:
     """One row per row of ``docs``: the key and ``spans``, an array of (start, kind number, kind, end, token) in order.
 
-    A null text counts as empty and gives no spans; repeated rows get the same spans. A long token that overlaps a pattern's
-    span is not named twice. Only the key, a hash of the text and the spans are written and shuffled, never the texts; a token
+    A null text counts as empty and gives no spans; repeated rows get the same spans. A long token or piece that overlaps a
+    pattern's span is not named twice. Only the key, a hash of the text and the spans are written and shuffled, never the texts; a token
     that many documents share is tested once and found again by a join that adaptive execution may split.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     scanned = stored(pattern_spans(docs.select(F.col(key), content.alias("__text")), "__text").withColumn("same", F.xxhash64("__text")).drop("__text"))
     scanned = scanned.withColumn("base", F.concat(*[_of_kind(k) for k in KINDS[:3]]))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b.start < t.end) & (t.start < b.end)))
-    long = scanned.where(F.size("tokens") > 0).select(key, "same", F.explode(free).alias("t")).select(key, "same", "t.*")
-    flagged = discoveries(battery(long.select("token").distinct()), rate).select("token")
-    more = long.join(flagged, "token").groupBy(key, "same").agg(F.collect_set(
+    def free(name: str, whole: bool) -> Column:
+        apart = F.filter(name, lambda t: ~F.exists("base", lambda b: (b.start < t.end) & (t.start < b.end)))
+        return F.transform(apart, lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.token.alias("token"), F.lit(whole).alias("whole")))
+
+    candidates = F.concat(free("tokens", True), free("pieces", False))
+    long = scanned.where(F.size("tokens") > 0).select(key, "same", F.explode(candidates).alias("t")).select(key, "same", "t.*")
+    flagged = discoveries(battery(long.select("token").distinct()), rate).select("token", "p")
+    found = long.join(flagged, "token").distinct()
+    more = strongest(found, [key, "same"]).groupBy(key, "same").agg(F.collect_set(
         F.struct("start", F.lit(3).alias("n"), F.lit(KINDS[3]).alias("kind"), "end", "token")
     ).alias("more"))
     same_key = F.col("s." + key).eqNullSafe(F.col("m." + key)) & (F.col("s.same") == F.col("m.same"))
