@@ -328,6 +328,30 @@ _QUIET = """SELECT user_id AS section_key, CAST(date_diff('day', TIMESTAMP '2024
     AS updated_items FROM events GROUP BY 1, 2"""
 
 
+_STOPS = """, ranked AS (SELECT *, row_number() OVER w AS n, CASE WHEN new_items + updated_items = 0 THEN 1 ELSE 0 END
+    AS still FROM quiet WINDOW w AS (PARTITION BY section_key ORDER BY page)),
+    pairs AS (SELECT section_key, page, CASE WHEN still = 1 AND lag(still) OVER (PARTITION BY section_key ORDER BY page) = 1
+    THEN page END AS stop FROM ranked),
+    stops AS (SELECT section_key, coalesce(min(stop), max(page)) AS stop_page, CASE WHEN min(stop) IS NULL THEN 'completed'
+    ELSE 'caught-up' END AS stop_reason FROM pairs GROUP BY section_key)"""
+_SUMMARIES = _STOPS + """, summaries AS (SELECT section_key, max(page) AS total_pages, section_key % 7 AS run_id,
+    CAST(count(*) FILTER (page <= stop_page) AS INTEGER) AS pages_fetched,
+    CAST(sum(items) FILTER (page <= stop_page) AS INTEGER) AS items_processed,
+    CAST(sum(new_items) FILTER (page <= stop_page) AS INTEGER) AS new_items,
+    CAST(sum(updated_items) FILTER (page <= stop_page) AS INTEGER) AS updated_items, any_value(stop_reason) AS stop_reason
+    FROM quiet JOIN stops USING (section_key) GROUP BY section_key) """
+
+
+def _days(t: Tables):
+    return t.raw("events").groupBy(
+        F.col("user_id").alias("section_key"),
+        F.datediff("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).alias("page"),
+    ).agg(
+        F.count("*").alias("items"), F.count_if(F.col("event_type") == "signup").alias("new_items"),
+        F.count_if(F.col("event_type") == "purchase").alias("updated_items"),
+    )
+
+
 @query(with_views("", """, ranked AS (SELECT *, row_number() OVER w AS n, CASE WHEN new_items + updated_items = 0 THEN 1 ELSE 0 END
     AS still FROM quiet WINDOW w AS (PARTITION BY section_key ORDER BY page)),
     pairs AS (SELECT section_key, page, CASE WHEN still = 1 AND lag(still) OVER (PARTITION BY section_key ORDER BY page) = 1
@@ -336,14 +360,37 @@ _QUIET = """SELECT user_id AS section_key, CAST(date_diff('day', TIMESTAMP '2024
     ELSE 'caught-up' END AS stop_reason FROM pairs GROUP BY section_key""", quiet=_QUIET))
 def caught_up_pages(t: Tables):
     """Users as sections, days as pages: the first two days in a row without a signup or purchase end the section."""
-    days = t.raw("events").groupBy(
-        F.col("user_id").alias("section_key"),
-        F.datediff("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).alias("page"),
-    ).agg(
-        F.count("*").alias("items"), F.count_if(F.col("event_type") == "signup").alias("new_items"),
-        F.count_if(F.col("event_type") == "purchase").alias("updated_items"),
+    return metrics.caught_up_page(_days(t))
+
+
+def _summaries(t: Tables):
+    """A run has the users of one remainder by seven."""
+    days = _days(t)
+    sections = days.groupBy("section_key").agg(F.max("page").alias("total_pages")).withColumn("run_id", F.col("section_key") % 7)
+    return metrics.section_summary(sections, days, metrics.caught_up_page(days))
+
+
+@query(with_views("", _SUMMARIES + "SELECT * FROM summaries", quiet=_QUIET))
+def section_summaries(t: Tables):
+    return _summaries(t)
+
+
+@query(with_views("", _SUMMARIES + """SELECT run_id, CAST(sum(items_processed) AS BIGINT) AS items, CAST(sum(pages_fetched) AS BIGINT)
+    AS pages, CAST(sum(new_items) AS BIGINT) AS new_items, CAST(sum(updated_items) AS BIGINT) AS updated_items
+    FROM summaries GROUP BY run_id""", quiet=_QUIET))
+def run_totals(t: Tables):
+    return metrics.run_totals(_summaries(t))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+    THEN TIMESTAMP '2024-06-01' WHEN o_orderstatus = 'P' THEN o_orderdate END AS detail_fetched_at FROM orders""")
+def fetched_listings(t: Tables):
+    """Orders as listings; those with a returned line have been fetched again."""
+    listings_ = t.raw("orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate")).alias("detail_fetched_at")
     )
-    return metrics.caught_up_page(days)
+    again = t.raw("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return upserts.mark_fetched(listings_, again, F.to_timestamp_ntz(F.lit("2024-06-01 00:00:00")))
 
 
 @query(with_views("observation", """SELECT source_id, event_id, price FROM (SELECT *, lag(price) OVER w AS p, row_number()

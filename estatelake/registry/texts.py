@@ -151,6 +151,37 @@ def normalised_names(t: Tables):
 # --- labels, urls, records -------------------------------------------------------------------------------------------
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'Order ' || o_orderkey END AS title,
+    coalesce(own, concat_ws(',', CASE WHEN o_orderstatus = 'O' THEN 'm' || o_orderkey || '.jpg' END,
+    CASE WHEN o_orderstatus <> 'F' THEN 'a.jpg,b.jpg' END)) AS photos FROM orders LEFT JOIN (SELECT l_orderkey,
+    string_agg('d' || l_linenumber || '.jpg', ',' ORDER BY l_linenumber) AS own FROM lineitem WHERE l_returnflag = 'R'
+    GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def listing_galleries(t: Tables):
+    """Orders as listings with a name and their photos; returned lines are photos of the detail page."""
+    returned = t.raw("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list("l_linenumber")).alias("numbers")
+    )
+    status = F.col("o_orderstatus")
+    main = F.when(status == "O", F.concat(F.lit("m"), _S("o_orderkey"), F.lit(".jpg"))).otherwise("")
+    extras = F.when(status != "F", F.array(F.lit("a.jpg"), F.lit(" "), F.lit(None).cast("string"), F.lit("b.jpg")))
+    detail = F.transform("numbers", lambda n: F.concat(F.lit("d"), n.cast("string"), F.lit(".jpg")))
+    name = F.when(status == "F", "").otherwise(F.concat(F.lit("Order "), _S("o_orderkey")))
+    return t.raw("orders").join(returned, "o_orderkey", "left").select(
+        F.col("o_orderkey").alias("id"), labels.building_name(name, F.col("o_orderpriority")).alias("title"),
+        F.array_join(labels.gallery(main, extras, detail), ",").alias("photos"),
+    )
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN '{"status":"' || o_orderpriority || '","key":"' || o_orderkey
+    || '"}' ELSE '{}' END AS log FROM orders""")
+def run_log_texts(t: Tables):
+    """Run logs as JSON; finished runs have an empty log, partial ones none."""
+    log = F.create_map(F.lit("status"), F.col("o_orderpriority"), F.lit("key"), _S("o_orderkey"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    kept = F.when(F.col("o_orderstatus") == "O", log).when(F.col("o_orderstatus") == "F", none)
+    return t.raw("orders").select(F.col("o_orderkey").alias("id"), records.map_to_json(kept).alias("log"))
+
+
 @query("""SELECT p_partkey AS id, CASE WHEN p_size > 30 THEN p_type WHEN p_size > 10 THEN p_name ELSE p_brand END AS shown,
     CASE WHEN p_size > 30 THEN 3 WHEN p_size > 10 THEN 2 ELSE 0 END AS photos,
     concat_ws(', ', CASE WHEN p_size > 30 THEN p_type END, CASE WHEN p_size > 10 THEN p_name END, p_brand) AS address_line FROM part""")
