@@ -551,9 +551,12 @@ def page_totals(pages: DataFrame) -> DataFrame:
     )
 
 
-def select_nodes(pages: DataFrame, query: str) -> DataFrame:
-    """One row per element a selector finds: (page_id, ordinal, tag, attrs, text)."""
+def select_nodes(pages: DataFrame, query: str, references: tuple[str, ...] = ()) -> DataFrame:
+    """One row per element a selector finds: (page_id, ordinal, tag, attrs, text). Where ``references`` are named, only these are read,
+    and only with their semicolon; all others stay as they are written."""
     nodes = F.col("nodes")
+    if references:
+        pages = pages.withColumn("html", m.only_references(F.col("html"), references))
     found = F.transform(
         m.select(nodes, query),
         lambda n: F.struct(n["tag"].alias("tag"), n["attrs"].alias("attrs"), m.text_of(nodes, n).alias("text")),

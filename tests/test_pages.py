@@ -103,3 +103,11 @@ def test_details_resolve_to_the_outline(spark):
     facts, photos = cards.resolve_details(spark.createDataFrame(rows, "page_id long, url string, html string"), "https://i/?src=gazo")
     assert sorted(tuple(r) for r in facts.collect()) == [(1, 0, "構造・階建て", "RC15 階建"), (3, 0, "価格", "1万円")]
     assert sorted(r["page_id"] for r in photos.collect()) == [1, 3]
+
+
+def test_only_named_references_of_a_title_are_read(spark):
+    page = '<title>a&lt;b &amp;&quot; c&amp</title><script>if (a && b) {}</script><p title="x&amp;y&z">&copy</p>'
+    titles = cards.select_nodes(pages(spark, page), "//title", references=("lt", "gt", "amp")).collect()
+    assert [r["text"] for r in titles] == ["a<b &&quot; c&amp"]
+    script, p = (cards.select_nodes(pages(spark, page), f"//{tag}", references=("lt", "gt", "amp")).first() for tag in ("script", "p"))
+    assert script["text"] == "if (a && b) {}" and p["text"] == "&copy" and p["attrs"]["title"] == "x&y&z"
