@@ -382,17 +382,20 @@ def _first_rows(rows: DataFrame) -> DataFrame:
 
 def resolve_details(pages: DataFrame, photo_prefix: str) -> tuple[DataFrame, DataFrame]:
     """Facts and photos of every page that is not itself an outline. A page with an outline takes the outline's facts
-    where that has any; the photos are always the page's own."""
+    where that has any; the photos are always the page's own.
+
+    Every side of the joins grows with the pages, while Spark estimates sides read back from a checkpoint by the pages' own input, which
+    may be far smaller; so no side may be broadcast, which would bring it to the driver."""
     details = settled(read_details(pages, photo_prefix))
     ids = details.select(
         F.col("page_id").alias("outline_id"), F.col("url").alias("outline_url"), (F.size("facts") > 0).alias("_filled")
     )
-    pairs = details.where(F.col("outline_url").isNotNull()).select("page_id", "outline_url").join(ids, "outline_url")
+    pairs = details.where(F.col("outline_url").isNotNull()).select("page_id", "outline_url").hint("merge").join(ids, "outline_url")
     outlines = pairs.select(F.col("outline_id").alias("page_id")).distinct()
     borrowed = pairs.where("_filled").select("page_id", F.col("outline_id").alias("_from"))
-    shown = details.join(outlines, "page_id", "left_anti")
-    own = shown.join(borrowed.select("page_id"), "page_id", "left_anti").select("page_id", "facts")
-    lent = details.select(F.col("page_id").alias("_from"), "facts").join(borrowed, "_from").select("page_id", "facts")
+    shown = details.join(outlines.hint("merge"), "page_id", "left_anti")
+    own = shown.join(borrowed.select("page_id").hint("merge"), "page_id", "left_anti").select("page_id", "facts")
+    lent = details.select(F.col("page_id").alias("_from"), "facts").join(borrowed.hint("merge"), "_from").select("page_id", "facts")
     return detail_facts(own.unionByName(lent)), detail_photos(shown)
 
 

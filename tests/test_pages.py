@@ -142,3 +142,11 @@ def test_a_batch_of_pages_is_held_a_few_at_a_time(spark, monkeypatch):
     layouts.html_extract("html", "pager")
     out = caught["f"](kept([PLAIN, None] * 150))
     assert len(out) == 300 and out.null_count == 150 and max(most) <= 64
+
+
+def test_detail_joins_bring_no_side_to_the_driver(spark):
+    made = pages(spark, "<table><tr><th class='thSideLGray'>A</th><td>1</td></tr></table>")
+    facts, photos = cards.resolve_details(made, "g/")
+    for rows in (facts, photos):
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
