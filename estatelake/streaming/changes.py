@@ -33,7 +33,7 @@ class _Changes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for part in rows:
-            self.waiting.appendList(list(part[self.row.names].itertuples(index=False, name=None)))
+            self.waiting.appendList(list(zip(*[part[c] for c in self.row.names])))
             first = int(part[MICROS].min()) // 1000
             earliest = first if earliest is None else min(earliest, first)
         if earliest is not None and not any(timer <= earliest for timer in self.handle.listTimers()):
@@ -42,29 +42,35 @@ class _Changes(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # The watermark counts in whole milliseconds.
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.row.names)
-        due = rows[MICROS] // 1000 <= timerValues.getCurrentWatermarkInMs()
-        later = rows[~due]
-        self.waiting.clear()
-        if len(later):
-            self.waiting.put(list(later.itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(later[MICROS].min()) // 1000)
-        yield self._compared(rows[due])
-
-    def _compared(self, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(self.order, kind="stable", ignore_index=True)
-        if not len(rows):
-            return rows
-        now = rows[self.values].astype(object).where(rows[self.values].notna(), "").astype(str)
-        before = now.shift(1)
+        at, passed = self.row.names.index(MICROS), timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for row in self.waiting.get():
+            (due if row[at] // 1000 <= passed else later).append(tuple(row))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(int(min(row[at] for row in later)) // 1000)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(self._compared(due), columns=self.row.names)
+
+    def _compared(self, rows: list[tuple]) -> list[tuple]:
+        """The rows that differ from the one before them. A key has few rows at a time, so they are compared as they are: a frame for
+        each would cost more than the rows, and would turn whole numbers next to a missing one into fractions."""
+        if not rows:
+            return []
+        missing = lambda v: v is None or v != v
+        order, values = ([self.row.names.index(c) for c in names] for names in (self.order, self.values))
+        rows = sorted(rows, key=lambda row: [(True, 0) if missing(row[i]) else (False, row[i]) for i in order])
         stored = self.last.get() if self.last.exists() else None
-        if stored is not None:
-            before.iloc[0] = list(stored)
-        changed = (now != before).any(axis=1)
-        if stored is None:
-            changed.iloc[0] = self.first
-        self.last.update(tuple(now.iloc[-1]))
-        return rows[changed]
+        before = None if stored is None else tuple(stored)
+        changed = []
+        for row in rows:
+            now = tuple("" if missing(row[i]) else str(row[i]) for i in values)
+            if now != before if before is not None else self.first:
+                changed.append(row)
+            before = now
+        self.last.update(before)
+        return changed
 
     def close(self) -> None:
         pass

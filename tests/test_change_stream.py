@@ -32,3 +32,42 @@ def test_files_out_of_order_give_the_changes_in_order(spark, tmp_path):
         changes = [("a", 3, "y"), ("a", 5, "w"), ("a", 6, "x"), ("b", 3, "z")]
         assert sorted(rows(got, "k", "n", "v"), key=repr) == sorted(changes + want, key=repr)
         assert got.where(F.col("at") == at(30)).count() == 1
+
+
+def test_whole_numbers_beside_a_missing_one_compare_as_they_are():
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from estatelake.streaming.changes import MICROS, _Changes
+
+    class State:
+        def __init__(self, rows=()):
+            self.rows, self.value, self.timers = list(rows), None, []
+
+        def get(self):
+            return iter(self.rows) if self.value is None else self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        registerTimer = put
+        getCurrentWatermarkInMs = lambda self: 10
+
+    names = [MICROS, "n", "value"]
+    changes = _Changes([MICROS, "n"], ["value"], False, StructType([StructField(c, LongType()) for c in names]))
+    changes.handle, changes.last = State(), State()
+    found = []
+    for rows in ([(1000, 1, None), (2000, 2, 7)], [(3000, 3, 7), (4000, None, 8), (4000, 4, 7)]):
+        changes.waiting = State(rows)
+        for part in changes.handleExpiredTimer(None, State(), None):
+            found += [int(v) for v in part["value"]]
+        assert not changes.waiting.rows
+    assert found == [7, 8]
