@@ -150,3 +150,14 @@ def test_detail_joins_bring_no_side_to_the_driver(spark):
     for rows in (facts, photos):
         plan = rows._jdf.queryExecution().sparkPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_pages_of_one_frame_differ_in_what_they_say():
+    page = lambda n, title="t": f'<title>{title}</title><ul><li id="{n}">a{n} &amp; b<li>c{n}</ul><script>x&amp;{n}</script>'
+    m._FRAMES.clear()
+    for html in (page(1), page(2), page(3, ""), page(4)):
+        assert m.walked(html) == m.parsed(html)
+    assert len(m._FRAMES) == 2
+    assert m._plainly_walked(page(5)).places["li"] == [i for i, n in enumerate(m.parsed(page(5))) if n["tag"] == "li"]
+    long = "".join(page(n) for n in range(200))
+    assert m.walked(long) == m.parsed(long) and len(m._FRAMES) == 2
