@@ -23,13 +23,13 @@ def numbered_replies(replies: DataFrame, reply: str, drop_unknown: bool = False)
     """One row per numbered line of a reply: all columns but the reply, plus ``item`` (1-based) and ``answer``."""
     line = r"^([0-9]+)[.)](?U)\s*(.+)$"
     keep = [c for c in replies.columns if c != reply]
-    rows = (
-        replies.select(*keep, F.explode(F.split(reply, "\n")).alias("_line"))
-        .select(
-            *keep,
-            F.regexp_extract("_line", line, 1).try_cast("int").alias("item"),
-            trim_all(F.regexp_extract("_line", line, 2)).alias("answer"),
-        )
-        .where(F.col("item").isNotNull())
+    # Only lines that begin with a digit are read by the pattern, and what it found is exploded, so that no later condition reads them again.
+    numbers = F.filter(F.split(reply, "\n"), lambda text: F.substring(text, 1, 1).between("0", "9"))
+    found = F.transform(
+        numbers,
+        lambda text: F.struct(
+            F.regexp_extract(text, line, 1).try_cast("int").alias("item"), trim_all(F.regexp_extract(text, line, 2)).alias("answer")
+        ),
     )
+    rows = replies.select(*keep, F.explode(found).alias("_found")).select(*keep, "_found.*").where(F.col("item").isNotNull())
     return rows.where(F.lower("answer") != "unknown") if drop_unknown else rows

@@ -137,3 +137,10 @@ def test_urls_and_records(spark):
     ]
     assert values(spark, urls.photo_key, ["https://i/?src=gazo%2F1.jpg&w=1", "https://i/1.jpg"]) == ["gazo/1.jpg", None]
     assert [len(v) for v in values(spark, records.stations_from_json, ['[{"line":"a"}]', "[", None, '{"line":"a"}'])] == [1, 0, 0, 0]
+
+
+def test_a_line_of_a_reply_is_read_once_for_each_value(spark):
+    rows = spark.createDataFrame([(7, "Here:\n1. a\r\n12) b c \n٣. d\n.5. e\n99999999999. f\n2.\n3. g")], "id int, reply string")
+    found = replies.numbered_replies(rows, "reply", True)
+    assert [(r["item"], r["answer"]) for r in found.collect()] == [(1, "a"), (12, "b c"), (3, "g")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
