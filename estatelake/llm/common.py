@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelake.session import shared_folder
+from estatelake.session import stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back. Several readers then share one computation, and a
-    lost executor costs a read instead of the plan behind it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def digest(texts: Column) -> Column:
     """Lower-case hex SHA-256 of a text in UTF-8."""
     return F.sha2(F.encode(texts, "UTF-8"), 256)

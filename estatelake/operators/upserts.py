@@ -15,7 +15,7 @@ from estatelake.functions.text import filled, name_key
 from estatelake.functions.urls import without_query
 from estatelake.operators.filters import keyed_buildings, legacy_buildings
 from estatelake.operators.ordered import with_new_ids, with_previous
-from estatelake.session import settled
+from estatelake.session import settled, stored
 
 
 @dataclass
@@ -347,14 +347,11 @@ def upsert_transit(
     width or case only are one name. ``decisions`` (name, kind, canonical_id, canonical_name) and ``names``
     (type, name, translated_name) complete new rows where given.
     """
-    # Names fold once each, and of several mentions of a stop by one building only the first and last matter.
-    names_met = stops.select("line", "station").distinct()
-    keys = names_met.withColumns({"line_key": name_key(F.col("line")), "station_key": name_key(F.col("station"))})
-    met = stops.groupBy("building_id", "line", "station").agg(
-        F.max_by("walking_minutes", "ordinal").alias("walking_minutes"), F.max("ordinal").alias("ordinal"),
-        F.min(F.struct("ordinal", "region")).alias("_first"),
+    # Names fold once each and find their rows without the buildings; only the links, made last, have a row per building and stop.
+    names_met = stops.where(F.col("line").isNotNull() & F.col("station").isNotNull()).groupBy("line", "station").agg(
+        F.min(F.struct("ordinal", "region")).alias("_first")
     )
-    keyed = settled(met.join(keys, ["line", "station"]))
+    keyed = stored(names_met.withColumns({"line_key": name_key(F.col("line")), "station_key": name_key(F.col("station"))}))
     known_lines = line.withColumn("line_key", name_key(F.col("name")))
     wanted_lines = keyed.groupBy("line_key").agg(
         F.min_by(
@@ -394,9 +391,10 @@ def upsert_transit(
 
     station_by_key = stations.groupBy("train_line_id", "station_key").agg(F.min("id").alias("_by_key"))
     station_by_name = stations.groupBy("train_line_id", F.col("name").alias("station")).agg(F.min("id").alias("_by_name"))
-    at = placed.join(station_by_key, ["train_line_id", "station_key"]).join(
+    found = placed.join(station_by_key, ["train_line_id", "station_key"]).join(
         station_by_name, ["train_line_id", "station"], "left"
-    ).withColumn("station_id", F.coalesce("_by_name", "_by_key"))
+    ).select("line", "station", F.coalesce("_by_name", "_by_key").alias("station_id"))
+    at = stops.select("building_id", "line", "station", "walking_minutes", "ordinal").join(stored(found), ["line", "station"])
     coming = at.groupBy("building_id", "station_id").agg(F.max_by("walking_minutes", "ordinal").alias("_minutes"))
     both = link.join(coming, ["building_id", "station_id"], "full_outer")
     seen = F.col("_minutes").isNotNull()

@@ -128,3 +128,15 @@ def test_units_without_order_or_key(spark):
     done = upserts.upsert_units(stored, batch, owners, AT(T1))
     assert rows(done.snapshot, "source_id", "rent") == [("U", 90), ("V", 50)]
     assert rows(done.history, "rental_unit_id", "rent") == [(1, 90), (2, 50)] and done.rejected.count() == 1
+
+
+def test_names_of_stops_find_their_rows_without_the_buildings(spark):
+    none = lambda name: spark.createDataFrame([], tables.TABLES[name])
+    stops = spark.createDataFrame(
+        [(1, "L", "S", 5, "010", 1), (1, "L", "S", 7, "010", 4), (2, "Ｌ", "s", 3, "020", 2), (2, "L", "S", 9, "010", 3), (3, None, "S", 1, "010", 0)],
+        "building_id long, line string, station string, walking_minutes int, region string, ordinal long",
+    )
+    done = upserts.upsert_transit(stops, none("train_line"), none("station"), none("building_station"), AT(T1))
+    assert rows(done.line, "name", "region") == [("L", "010")] and rows(done.station, "name") == [("S",)]
+    assert rows(done.link, "building_id", "walking_minutes") == [(1, 7), (2, 9)]
+    assert "line_key" not in done.link._jdf.queryExecution().optimizedPlan().toString()
