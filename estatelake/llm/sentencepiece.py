@@ -248,27 +248,25 @@ class Decoder:
         self.bytes_of = {i: b for b, i in pieces.byte_ids.items()}
         self.surface = [t.replace(BLANK, " ") if k == NORMAL else "" for t, k in zip(pieces.texts, pieces.kinds)]
         self.surface = [pieces.unknown_surface if k == UNKNOWN else s for s, k in zip(self.surface, pieces.kinds)]
-        self.is_byte = np.array([k == BYTE for k in pieces.kinds], bool)
+        self.is_byte = np.array([i in self.bytes_of for i in range(len(pieces.kinds))], bool)
         self.kinds = pieces.kinds
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
             return ""
-        if self.is_byte[ids].any():
-            found, pending = [], bytearray()
-            for i in ids.tolist():
-                if i in self.bytes_of:
-                    pending.append(self.bytes_of[i])
-                    continue
-                if pending:
-                    found.append(_utf8(pending))
-                    pending.clear()
-                found.append(self.surface[i])
-            found.append(_utf8(pending))
-            text = "".join(found)
-        else:
-            text = "".join(map(self.surface.__getitem__, ids.tolist()))
-        first = next((i for i in ids.tolist() if self.kinds[i] != CONTROL), None)
+        listed = ids.tolist()
+        found, pending, start = [], bytearray(), 0
+        for at in np.flatnonzero(self.is_byte[ids]).tolist():
+            if start < at:
+                found.append(_utf8(pending))
+                pending.clear()
+                found.extend(map(self.surface.__getitem__, listed[start:at]))
+            pending.append(self.bytes_of[listed[at]])
+            start = at + 1
+        found.append(_utf8(pending))
+        found.extend(map(self.surface.__getitem__, listed[start:]))
+        text = "".join(found)
+        first = next((i for i in listed if self.kinds[i] != CONTROL), None)
         return text[1:] if first is not None and self.kinds[first] == NORMAL and self.surface[first][:1] == " " else text
 
 
