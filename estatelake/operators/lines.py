@@ -323,14 +323,12 @@ def merge_lines(lines: DataFrame, stations: DataFrame, links: DataFrame) -> Merg
     survivors = line_survivors(lines, stations)
     doomed = survivors.where(F.col("id") != F.col("survivor_id"))
     target = survivors.select(F.col("id").alias("train_line_id"), "survivor_id")
-    moved = stations.join(target, "train_line_id").select(
-        "id", "name", "survivor_id",
-        F.struct(
-            (F.col("train_line_id") != F.col("survivor_id")).alias("moved"), "train_line_id", "id"
-        ).alias("_order"),
-    )
-    winners = moved.groupBy("survivor_id", "name").agg(F.min_by("id", "_order").alias("station_id"))
-    stations_map = moved.join(winners, ["survivor_id", "name"]).select("id", "station_id", "survivor_id", "_order")
+    # Stations and links are many, so their rows carry plain columns; the order is made of them where it is needed.
+    moved = stations.join(target, "train_line_id").select("id", "name", "survivor_id", "train_line_id")
+    other = (F.col("train_line_id") != F.col("survivor_id")).alias("other")
+    winners = moved.groupBy("survivor_id", "name").agg(F.min(F.struct(other, "train_line_id", "id")).alias("_first"))
+    winners = winners.select("survivor_id", "name", F.col("_first.id").alias("station_id"))
+    stations_map = moved.join(winners, ["survivor_id", "name"]).select("id", "station_id", "survivor_id", "train_line_id")
     kept_stations = (
         stations.join(stations_map.select("id", "station_id", "survivor_id"), "id", "left")
         .where(F.col("station_id").isNull() | (F.col("station_id") == F.col("id")))
@@ -339,23 +337,23 @@ def merge_lines(lines: DataFrame, stations: DataFrame, links: DataFrame) -> Merg
         ])
     )
     placed = links.join(
-        stations_map.select(F.col("id").alias("station_id"), F.col("station_id").alias("_to"), "_order"), "station_id", "left"
+        stations_map.select(F.col("id").alias("station_id"), F.col("station_id").alias("_to"), "survivor_id", "train_line_id"), "station_id", "left"
     )
-    untouched = placed.where(F.col("_to").isNull()).select(*links.columns)
-    # One link per building and station is left; which one it is folds before the shuffle.
+    # One link per building and station is left of those that moved or were met; which one it is folds before the shuffle. The others are
+    # groups by their own id, so that links meet their stations in one join and not in one for each kind.
     rest = [c for c in links.columns if c not in ("building_id", "station_id")]
-    moved_links = (
-        placed.where(F.col("_to").isNotNull())
-        .groupBy("building_id", F.col("_to").alias("station_id"))
+    own = F.when(F.col("_to").isNull(), F.col("id")).alias("_own")
+    kept_links = (
+        placed.groupBy("building_id", F.coalesce("_to", "station_id").alias("_at"), own)
         .agg(F.min_by(F.struct(*rest), F.struct(
-            (F.col("station_id") != F.col("_to")).alias("moved"), "_order", "id"
+            (F.col("station_id") != F.col("_to")).alias("moved"), other, "train_line_id", F.col("station_id").alias("station"), "id"
         )).alias("l"))
-        .select("building_id", "station_id", "l.*")
+        .select("building_id", F.col("_at").alias("station_id"), "l.*")
         .select(*links.columns)
     )
     kept_lines = lines.join(doomed.select("id"), "id", "left_anti").select(*lines.columns)
     plan = doomed.select("canonical_id", "survivor_id", F.col("id").alias("removed_id"))
-    return MergedLines(kept_lines, kept_stations, untouched.unionByName(moved_links), plan)
+    return MergedLines(kept_lines, kept_stations, kept_links, plan)
 
 
 def merge_plan_lines(plan: DataFrame, lines: DataFrame) -> DataFrame:

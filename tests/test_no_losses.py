@@ -140,3 +140,17 @@ def test_names_of_stops_find_their_rows_without_the_buildings(spark):
     assert rows(done.line, "name", "region") == [("L", "010")] and rows(done.station, "name") == [("S",)]
     assert rows(done.link, "building_id", "walking_minutes") == [(1, 7), (2, 9)]
     assert "line_key" not in done.link._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_meet_their_merged_stations_in_one_join(spark):
+    line = spark.createDataFrame([(1, "A", "7", "A"), (2, "a", "7", "A"), (3, "B", None, None)], "id long, name string, canonical_id string, canonical_name string")
+    station = spark.createDataFrame([(11, "S", 1), (21, "S", 2), (22, "T", 2), (31, "S", 3)], "id long, name string, train_line_id long")
+    link = spark.createDataFrame(
+        [(1, 5, 11, 4), (2, 5, 21, 3), (3, 5, 22, 2), (4, 5, 31, 1), (5, 6, 31, 9), (6, 6, 31, 8), (7, 7, 99, 6)],
+        "id long, building_id long, station_id long, walking_minutes int",
+    ).repartition(2)
+    done = lines.merge_lines(line, station, link)
+    kept = [(1, 5, 11, 4), (3, 5, 22, 2), (4, 5, 31, 1), (5, 6, 31, 9), (6, 6, 31, 8), (7, 7, 99, 6)]
+    assert sorted(map(tuple, done.link.select("id", "building_id", "station_id", "walking_minutes").collect())) == kept
+    plan = done.link._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Repartition 2") == 1
