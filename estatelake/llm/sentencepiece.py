@@ -92,6 +92,7 @@ class Encoder:
 
         self.pieces = pieces
         self.ids, self.scores = pieces.ids, pieces.scores
+        self.costs = {t: -self.scores[i] for t, i in self.ids.items()}
         self.sizes = [len(t) for t in pieces.texts]
         self.finder = ahocorasick.Automaton()
         for text, i in self.ids.items():
@@ -114,25 +115,23 @@ class Encoder:
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging: best score first, ties from the left. Characters without a piece stay."""
         parts: list[str | None] = list(text)
-        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        queue: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right < len(parts) and (whole := parts[left] + parts[right]) in self.ids:
-                heapq.heappush(queue, (-self.scores[self.ids[whole]], left, right, whole))
-
-        for i in range(len(parts) - 1):
-            offer(i, i + 1)
+        n, costs = len(parts), self.costs
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(cost, i, i + 1, whole) for i in range(n - 1) if (cost := costs.get(whole := text[i : i + 2])) is not None]
+        heapq.heapify(queue)
         while queue:
             _, left, right, whole = heapq.heappop(queue)
-            if parts[left] is None or parts[right] is None or parts[left] + parts[right] != whole or after[left] != right:
+            if parts[left] is None or parts[right] is None or after[left] != right or parts[left] + parts[right] != whole:
                 continue
             parts[left], parts[right] = whole, None
-            after[left] = after[right]
-            if after[right] < len(parts):
-                before[after[right]] = left
-            offer(before[left], left)
-            offer(left, after[left])
+            last, right = before[left], after[right]
+            after[left] = right
+            if last >= 0 and (cost := costs.get(wider := parts[last] + whole)) is not None:
+                heapq.heappush(queue, (cost, last, left, wider))
+            if right < n:
+                before[right] = left
+                if (cost := costs.get(wider := whole + parts[right])) is not None:
+                    heapq.heappush(queue, (cost, left, right, wider))
         return [p for p in parts if p is not None]
 
     def compatible(self, left: int, right: int) -> bool:
@@ -149,15 +148,16 @@ class Encoder:
     def backtrack(self, text: str) -> list[int]:
         """The ids of a text whose characters all have pieces."""
         # Mostly the leftmost longest pieces fit together as they stand; then this is the result, as there is only one.
-        vocabulary, last = len(self.sizes), -1
+        vocabulary, last, pairs = len(self.sizes), -1, self.pairs
         greedy = [i for _, (_, i) in self.finder.iter_long(text)]
         for i in greedy:
-            if not self.compatible(last, i):
+            fits = pairs.get(last * vocabulary + i)
+            if not (self.compatible(last, i) if fits is None else fits):
                 break
             last = i
         else:
             return greedy
-        n, sizes, shorter, pairs = len(text), self.sizes, self.shorter, self.pairs
+        n, sizes, shorter = len(text), self.sizes, self.shorter
         longest = [-1] * n
         for end, (back, i) in self.finder.iter(text):
             longest[end - back] = i  # ends only grow, so the longest stays
@@ -231,15 +231,16 @@ class Encoder:
         words = self.word.findall(escaped) if self.cuts else [escaped]
         known, older = self.known, self.older
         found = list(map(known.get, words))
-        for i, ids in enumerate(found):
-            if ids is None:
-                word = words[i]
-                ids = known.get(word) or older.get(word) or self._word(word)
-                if len(word) <= MEMORY_CHARS:
-                    known[word] = ids
-                found[i] = ids
-                if len(known) >= MEMORY_WORDS:
-                    self.known, self.older = known, older = {}, known
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            word = words[at]
+            ids = known.get(word) or older.get(word) or self._word(word)
+            if len(word) <= MEMORY_CHARS:
+                known[word] = ids
+            found[at] = ids
+            if len(known) >= MEMORY_WORDS:
+                self.known, self.older = known, older = {}, known
         return b"".join(found)
 
 
